@@ -190,13 +190,13 @@ def a15(spark, folder):
     return A.fallback_rows(docs.withColumn("rna_fallback", F.col("toxic") == 1)).select("doc_id")
 
 
-def _u(tag: str, iterations: int) -> str:
+def _u(tag: str) -> str:
     return f"""((('0x' || substr(md5(s_suppkey || '|' || i || '|42|{tag}'), 1, 12))::BIGINT::DOUBLE + 0.5e0) / 281474976710656e0)"""
 
 
 _NOISY = f"""WITH base AS (SELECT s_suppkey, s_nationkey % 4 AS stratum, (s_acctbal + 1000) / 11000e0 AS score FROM supplier),
-c AS (SELECT *, unnest(range(1, 201)) AS i FROM base),
-n AS (SELECT *, score + sqrt(ln({_u('u', 200)}) * -2e0) * cos({_u('v', 200)} * 6.283185307179586e0) * 0.02e0 AS noisy FROM c),
+c AS (SELECT *, unnest(range(1, 1001)) AS i FROM base),
+n AS (SELECT *, score + sqrt(ln({_u('u')}) * -2e0) * cos({_u('v')} * 6.283185307179586e0) * 0.02e0 AS noisy FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY noisy DESC, s_suppkey) AS rank FROM n)"""
 
 
@@ -212,17 +212,17 @@ def _suppliers(spark, folder):
       round(avg(rank), 6) AS rank_mean FROM r GROUP BY s_suppkey""",
 )
 def a16(spark, folder):
-    out = A.rank_intervals(_suppliers(spark, folder), "s_suppkey", "score", iterations=200)
+    out = A.rank_intervals(_suppliers(spark, folder), "s_suppkey", "score")
     return out.select("s_suppkey", *[F.round(c, 6).alias(c) for c in ("rank_low", "rank_high", "rank_mean")])
 
 
 @query(
     "A16_top_presence",
     f"""{_NOISY}, h AS (SELECT stratum, count(DISTINCT i) AS n FROM r WHERE rank <= 5 GROUP BY 1)
-    SELECT DISTINCT base.stratum, coalesce(n, 0) / 200e0 AS top_probability FROM base LEFT JOIN h USING (stratum)""",
+    SELECT DISTINCT base.stratum, coalesce(n, 0) / 1000e0 AS top_probability FROM base LEFT JOIN h USING (stratum)""",
 )
 def a16_top(spark, folder):
-    return A.top_presence(_suppliers(spark, folder), "s_suppkey", "score", "stratum", iterations=200)
+    return A.top_presence(_suppliers(spark, folder), "s_suppkey", "score", "stratum")
 
 
 @query(
@@ -260,10 +260,12 @@ H2 = f"""SELECT 'H2' AS test_id, {_T.format('count(*) FILTER (S_Cargo = 1 AND S_
 H3 = f"""SELECT 'H3' AS test_id, {_T.format('S_Immuno - 0.7594e0 >= 0.1e0')} AS verdict, design_id AS best_design,
   S_Immuno AS best_value, round(S_Immuno - 0.7594e0, 4) AS delta, round(S_Immuno - 0.7243e0, 4) AS delta_secondary
   FROM designs WHERE strategy = 'C' ORDER BY S_Immuno DESC, design_id LIMIT 1"""
+ENDS = f"""ends AS (SELECT {sql_round('low', 4)} AS round_low, {sql_round('high', 4)} AS round_high
+  FROM (SELECT min(score) AS low, max(score) AS high FROM designs WHERE strategy = 'B'))"""
 H4 = f"""SELECT 'H4' AS test_id, {_T.format('count(*) >= 10')} AS verdict, count(*) AS n_survivors,
   min(protein_length_aa) AS length_min, max(protein_length_aa) AS length_max, round(avg(protein_length_aa), 1) AS length_mean,
-  count(DISTINCT genus) AS n_genera, round(min(score), 4) AS score_min, round(max(score), 4) AS score_max
-  FROM designs WHERE strategy = 'B'"""
+  count(DISTINCT genus) AS n_genera, round_low AS score_min, round_high AS score_max
+  FROM designs, ends WHERE strategy = 'B' GROUP BY round_low, round_high"""
 
 
 @query("V1_count_test", f"WITH {DESIGNS} {H1}")
@@ -289,7 +291,7 @@ def v3(spark, folder):
     return V.hypothesis_best_gain(designs(spark, folder))
 
 
-@query("V4_survivor_test", f"WITH {DESIGNS} {H4}")
+@query("V4_survivor_test", f"WITH {DESIGNS}, {ENDS} {H4}")
 def v4(spark, folder):
     return V.hypothesis_survivors(designs(spark, folder))
 
@@ -307,7 +309,7 @@ def v5(spark, folder):
 
 @query(
     "V6_rollup_verdicts",
-    f"""WITH {DESIGNS}, v AS (SELECT verdict FROM ({H1}) UNION ALL SELECT verdict FROM ({H2})
+    f"""WITH {DESIGNS}, {ENDS}, v AS (SELECT verdict FROM ({H1}) UNION ALL SELECT verdict FROM ({H2})
       UNION ALL SELECT verdict FROM ({H4})),
     c AS (SELECT count(*) FILTER (verdict = 'PASS') AS n_pass, count(*) FILTER (verdict = 'FAIL') AS n_fail FROM v)
     SELECT n_pass, n_fail, 5 - n_pass - n_fail AS n_not_evaluable,

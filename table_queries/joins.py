@@ -73,7 +73,7 @@ def j3(spark, folder):
     links AS (SELECT r_regionkey, r_name FROM region),
     p AS (SELECT core, s_name, r_name, s_suppkey, r_regionkey,
       list_transform(list_append(parts, s_name), lambda x: repeat(x, 4)) AS t FROM cores, guides, links),
-    x AS (SELECT *, array_to_string(t, r_name) AS full_sequence FROM p),
+    x AS (SELECT *, replace(array_to_string(t, chr(1)), chr(1), r_name) AS full_sequence FROM p),
     n AS (SELECT *, row_number() OVER (ORDER BY core, s_suppkey, r_regionkey) AS rank FROM x
       WHERE length(full_sequence) BETWEEN 250 AND 1200)
     SELECT printf('A_%03d_%s_%s_%s', rank, core, s_name, r_name) AS design_id, full_sequence,

@@ -30,17 +30,10 @@ def round_exact(c: Column, digits: int) -> Column:
     """Round the binary value to `digits`, halves to even.
 
     Spark's round works on the shortest decimal text, which turns 0.99125 (stored slightly below) into 0.9913.
-    The scaled product is split into its rounded part and its exact error, and the error decides near halves.
+    Number formatting rounds the stored value, and names its operand once, so nested scores stay small plans.
     """
-    scale = float(10**digits)
-    product = c * scale
-    spread = c * 134217729.0
-    high = spread - (spread - c)
-    error = (high * scale - product) + (c - high) * scale
-    base = F.floor(product).cast("double")
-    beyond = (product - base) - 0.5 + error
-    up = (beyond > 0) | ((beyond == 0) & (F.pmod(base, F.lit(2.0)) == 1.0))
-    return F.when(F.abs(product) >= float(2**52), c).otherwise(F.when(up, base + 1.0).otherwise(base) / scale)
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", c.cast("double"), F.lit(pattern)).try_cast("double")
 
 
 # --- weighted scores -------------------------------------------------------------------------------------------

@@ -84,19 +84,21 @@ def _nearest_blocked(
     left = have.withColumn("cb", block(candidate_blocks)).withColumn(
         "kb", F.explode(F.sequence(F.lit(0), F.lit(known_blocks - 1)))
     )
-    right = vectors.withColumn("kb", block(known_blocks)).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), F.lit(candidate_blocks - 1)))
+    right = vectors.select(
+        F.col(vector_col).alias("known_vector"),
+        block(known_blocks).alias("known_kb"),
+        F.explode(F.sequence(F.lit(0), F.lit(candidate_blocks - 1))).alias("known_cb"),
     )
 
     def near(batch: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
         if len(batch) == 0 or len(reference) == 0:
             return pd.DataFrame({key: batch[key][:0], "distance": pd.Series(dtype=float)})
-        matrix, blank = _unit_rows(reference[vector_col], empty)
+        matrix, blank = _unit_rows(reference["known_vector"], empty)
         return pd.DataFrame({key: batch[key], "distance": _nearest(batch[vector_col], matrix, blank, empty)})
 
     partial = (
         left.groupBy("cb", "kb")
-        .cogroup(right.groupBy("cb", "kb"))
+        .cogroup(right.groupBy("known_cb", "known_kb"))
         .applyInPandas(near, f"`{key}` {id_type}, distance double")
     )
     return partial.groupBy(key).agg(F.min("distance").alias("distance"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnow.functions.scalars import number
 from winnow.session import materialise
 
 
@@ -57,11 +58,10 @@ def medians(df: DataFrame, groups: Sequence[str], value_col: str, out_col: str =
     """
     keys = list(groups) or ["_all"]
     source = df if groups else df.withColumn("_all", F.lit(1))
-    data = source.select(*keys, F.col(value_col).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
+    # no filter on the value: it would be pushed below the projection and copy the value's whole expression
+    data = source.select(*keys, number(value_col).alias("_v"))
     sketch = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.count("_v").alias("_n"),
         F.percentile_approx("_v", F.array(F.lit(0.499), F.lit(0.501)), 10000).alias("_q"),
     )
     bounds = sketch.select(*keys, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
@@ -70,7 +70,7 @@ def medians(df: DataFrame, groups: Sequence[str], value_col: str, out_col: str =
     # values below the bracket collapse to one row per group before the ranking window
     slot = F.when(F.col("_v") < F.col("_lo"), F.lit(None)).otherwise(F.col("_v"))
     counted = (
-        near.filter(F.col("_v") <= F.col("_hi"))
+        near.filter(F.coalesce(F.col("_v") <= F.col("_hi"), F.lit(False)))
         .select(*keys, "_n", slot.alias("_v"))
         .groupBy(*keys, "_n", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
