@@ -94,18 +94,18 @@ def a7(spark, folder):
 
 @query(
     "A8_confidence_statistics",
-    f"""WITH {SQL_ATOMS} SELECT design_id, round(avg(b), 6) AS mean_plddt, min(b) AS min_plddt, max(b) AS max_plddt,
+    f"""WITH {SQL_ATOMS} SELECT design_id, round(avg(b), 9) AS mean_plddt, min(b) AS min_plddt, max(b) AS max_plddt,
       count(b) AS n_residues, string_agg(printf('%.2f', b), ',' ORDER BY res_seq) AS per_residue FROM atoms GROUP BY design_id""",
 )
 def a8(spark, folder):
     out = A.confidence_statistics(parse_atoms(atom_lines(spark, folder)))
     text = F.array_join(F.transform("per_residue", lambda b: F.format_string("%.2f", b)), ",")
-    return out.withColumns({"mean_plddt": F.round("mean_plddt", 6), "per_residue": text})
+    return out.withColumns({"mean_plddt": F.round("mean_plddt", 9), "per_residue": text})
 
 
 @query(
     "A8_confidence_at_positions",
-    f"""WITH {SQL_ATOMS} SELECT vec_id AS design_id, coalesce(round(avg(b), 6), 0) AS site_mean, coalesce(min(b), 0) AS site_min,
+    f"""WITH {SQL_ATOMS} SELECT vec_id AS design_id, coalesce(round(avg(b), 9), 0) AS site_mean, coalesce(min(b), 0) AS site_min,
       count(b) AS site_found FROM embeddings LEFT JOIN atoms ON design_id = vec_id AND res_seq IN (11, 60, 102, 105, 241)
       AND embeddings.label <> 3 GROUP BY vec_id""",
 )
@@ -115,7 +115,7 @@ def a8_positions(spark, folder):
     )
     wanted = table(spark, folder, "embeddings").select(F.col("vec_id").alias("design_id"), sites.alias("positions"))
     out = A.confidence_at_positions(parse_atoms(atom_lines(spark, folder)), wanted)
-    return out.withColumn("site_mean", F.round("site_mean", 6))
+    return out.withColumn("site_mean", F.round("site_mean", 9))
 
 
 @query(

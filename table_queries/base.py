@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from winnow import constants as K
 from winnow.functions import scalars as S
 from winnow.functions.sequences import letters
+from winnow.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,8 +29,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+# tables with costly rows: a file of one row group would otherwise be processed by one task
+HEAVY = {"documents", "embeddings", "pages", "conversations"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 def designs(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +66,6 @@ def designs(spark: SparkSession, folder: str) -> DataFrame:
     )
     axes = base.withColumns(
         {
-            "mech_class_tier_a": F.col("tier_a"),
             "S_DSB": S.score_class("tier_a"),
             "S_Spec": F.least(F.lit(1.0), F.col("tier_a_confidence") * 0.9 + F.col("composite_prob") * 0.1),
             "S_Cargo": S.score_cargo("tier_a", "composite"),
@@ -137,7 +142,7 @@ raw AS (
     1e0 - l_tax * 2e0 AS S_Immuno
   FROM lineitem),
 axes AS (
-  SELECT *, tier_a AS mech_class_tier_a,
+  SELECT *,
     CASE tier_a WHEN '{K.CLASS_FREE}' THEN 1e0 WHEN '{K.CLASS_NUCLEASE}' THEN 0e0 ELSE 0.5e0 END AS S_DSB,
     least(1e0, tier_a_confidence * 0.9e0 + composite_prob * 0.1e0) AS S_Spec,
     CASE WHEN tier_a = '{K.CLASS_FREE}' AND composite THEN 1e0 WHEN tier_a = '{K.CLASS_FREE}' THEN 0.85e0

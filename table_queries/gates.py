@@ -109,11 +109,11 @@ def g9(spark, folder):
 
 @query(
     "G10_filter_class",
-    f"""WITH {DESIGNS} SELECT design_id, 'PASS' AS mech_class_flag FROM designs WHERE tier_a = '{K.CLASS_FREE}'
+    f"""WITH {DESIGNS} SELECT design_id, 'PASS' AS class_flag FROM designs WHERE tier_a = '{K.CLASS_FREE}'
     AND tier_a_confidence >= 0.8e0""",
 )
 def g10(spark, folder):
-    return G.filter_class(designs(spark, folder)).select("design_id", "mech_class_flag")
+    return G.filter_class(designs(spark, folder)).select("design_id", "class_flag")
 
 
 @query(

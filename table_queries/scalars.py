@@ -423,10 +423,10 @@ def p28(spark, folder):
 @query(
     "P30_flag_class",
     f"""WITH {DESIGNS} SELECT design_id, CASE tier_a WHEN 'UNCLASSIFIED' THEN 'UNCLASSIFIED_MANUAL_REVIEW'
-      WHEN 'DSB_NUCLEASE' THEN 'DSB_NUCLEASE_DISCARD' ELSE 'PASS' END AS mech_class_flag FROM designs""",
+      WHEN 'DSB_NUCLEASE' THEN 'DSB_NUCLEASE_DISCARD' ELSE 'PASS' END AS class_flag FROM designs""",
 )
 def p30(spark, folder):
-    return designs(spark, folder).select("design_id", S.flag_class("tier_a").alias("mech_class_flag"))
+    return designs(spark, folder).select("design_id", S.flag_class("tier_a").alias("class_flag"))
 
 
 _DELTA = " UNION ALL ".join(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from winnow import constants as K
 from winnow.functions import scalars as S
-from winnow.operators.numbering import medians, null_safe_join, rank_in_group
+from winnow.operators.numbering import medians, rank_in_group
+from winnow.session import spread
 
 
 def strategy_breakdown(
@@ -218,7 +219,8 @@ def noisy_scores(
     df: DataFrame, id_col: str, score_col: str, iterations: int, sigma: float, seed: int
 ) -> DataFrame:
     """One noisy copy of every score per iteration."""
-    copies = df.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    # copies are made where the rows are, so few input splits would leave cores idle
+    copies = spread(df).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     noise = hash_normal(F.col(id_col).cast("string"), F.col("iteration").cast("string"), F.lit(str(seed)))
     return copies.withColumn("noisy_score", S.number(score_col) + noise * sigma)
 
@@ -234,13 +236,15 @@ def rank_intervals(
 ) -> DataFrame:
     """Rank interval of each design over noisy re-rankings.
 
-    Ranks come from range-partitioned ranking within the iteration, so one iteration may hold any number of designs.
+    An iteration holds one row per design; beyond the size of a task it is ranked over range partitions.
     """
+    designs = df.count()
     noisy = noisy_scores(df.select(id_col, score_col), id_col, score_col, iterations, sigma, seed)
     ranked = rank_in_group(
         noisy.select(id_col, "iteration", "noisy_score"),
         ["iteration"],
         [F.desc_nulls_last("noisy_score"), F.asc(id_col)],
+        largest_group=designs,
     )
     tail = (1.0 - level) / 2.0
     return ranked.groupBy(id_col).agg(

@@ -56,7 +56,7 @@ TRIAGE_GATES = (
     Gate("A", ("esmfold_mean_plddt", "mean_plddt", "af3_mean_plddt"), "ge", K.TRIAGE_PLDDT),
     Gate("B", ("ddg_kcal_mol",), "le", K.TRIAGE_DDG),
     Gate("C", ("active_site_pass",), "true", on_null="keep"),
-    Gate("D", ("mech_class_tier_a",), "eq", K.CLASS_FREE),
+    Gate("D", ("tier_a",), "eq", K.CLASS_FREE),
     Gate("E", ("score",), "ge", 0.0),
 )
 
@@ -157,7 +157,7 @@ def filter_class(
     minimum: float = K.GATE_CONFIDENCE,
     label: str = K.CLASS_FREE,
 ) -> DataFrame:
-    flagged = df.withColumn("mech_class_flag", S.flag_class(label_col))
+    flagged = df.withColumn("class_flag", S.flag_class(label_col))
     return flagged.filter((F.col(label_col) == label) & (S.number(confidence_col) >= minimum))
 
 
@@ -281,7 +281,7 @@ def select_designs(
     require_free: bool = True,
     top_k: int = 10,
     strategy_col: str = "strategy",
-    label_col: str = "mech_class_tier_a",
+    label_col: str = "tier_a",
     score_col: str = "score",
     id_col: str = "design_id",
 ) -> DataFrame:

@@ -124,9 +124,8 @@ def check_geometry(
 ) -> DataFrame:
     """Observed against reference pair distances.
 
-    `references` has one row per reference: its residues (array<int>) and pairs (array<struct<r1,r2,dist>>). Atoms
-    are cut to the reference residues before the shuffle, so a design gathers at most that many rows, and distances
-    are taken inside the row instead of by a self-join.
+    `references` has one row per reference: its residues (array<int>) and pairs (array<struct<r1,r2,dist>>). A
+    design gathers only its reference residues, and distances are taken inside the row instead of by a self-join.
     """
     wanted = designs.withColumn(
         reference_col,
@@ -135,14 +134,16 @@ def check_geometry(
         else F.lit(default_reference),
     )
     known = wanted.join(references, reference_col, "left")
-    sites = known.select(key, F.explode("residues").alias("res_seq"))
+    # one pass over the atoms: the residues of the reference, and whether the design has a structure at all
+    site = F.when(
+        F.array_contains("residues", F.col("res_seq")), F.struct("res_seq", F.struct("x", "y", "z", "b"))
+    )
     found = (
-        atoms.join(sites, [key, "res_seq"])
+        atoms.join(known.select(key, "residues"), key)
         .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("res_seq", F.struct("x", "y", "z", "b")))).alias("_at"))
+        .agg(F.map_from_entries(F.collect_list(site)).alias("_at"), F.lit(True).alias("_has_structure"))
     )
-    present = atoms.select(key).distinct().withColumn("_has_structure", F.lit(True))
-    joined = known.join(found, key, "left").join(present, key, "left")
+    joined = known.join(found, key, "left")
 
     at = F.coalesce("_at", F.create_map().cast("map<int,struct<x:double,y:double,z:double,b:double>>"))
     joined = joined.withColumn("_at", at)

@@ -145,19 +145,29 @@ def mean_pairwise_identity(df: DataFrame, sequence_col: str) -> DataFrame:
     A pair contributes its matches divided by the longer length. Matches are counted from the number of sequences
     sharing a character at a position, by length, so the cost is linear in the text and no pair is formed.
     """
-    texts = df.filter(F.length(sequence_col) > 0).select(
-        F.col(sequence_col).alias("s"), F.length(sequence_col).alias("len")
-    )
-    cells = (
-        texts.select("len", F.posexplode(F.split("s", "")).alias("at", "ch"))
-        .filter(F.col("ch") != "")
-        .groupBy("at", "ch", "len")
-        .agg(F.count(F.lit(1)).alias("n"))
+
+    def cells(batches):
+        # characters as (position, code point) numbers, counted by length within the batch
+        for batch in batches:
+            parts = []
+            for text in batch["s"]:
+                codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+                places = (np.arange(len(codes), dtype=np.int64) << 21) | codes
+                parts.append(pd.DataFrame({"cell": places, "len": len(codes), "n": 1}))
+            if parts:
+                yield pd.concat(parts).groupby(["cell", "len"], sort=False, as_index=False)["n"].sum()
+
+    texts = df.filter(F.length(sequence_col) > 0).select(F.col(sequence_col).alias("s"))
+    counted = (
+        texts.mapInPandas(cells, "cell long, len long, n long")
+        .repartition("cell")  # one shuffle serves the grouping and the window
+        .groupBy("cell", "len")
+        .agg(F.sum("n").alias("n"))
     )
-    shorter = Window.partitionBy("at", "ch").orderBy("len").rowsBetween(Window.unboundedPreceding, -1)
+    shorter = Window.partitionBy("cell").orderBy("len").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(shorter), F.lit(0))
     pairs = F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * before
-    by_length = cells.withColumn("m", pairs).groupBy("len").agg(F.sum("m").alias("m"))
+    by_length = counted.withColumn("m", pairs).groupBy("len").agg(F.sum("m").alias("m"))
     total = by_length.agg(F.sum(F.col("m") / F.col("len")).alias("identity_sum"))
     count = df.filter(F.col(sequence_col).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
     both = total.unionByName(count, allowMissingColumns=True).agg(

@@ -15,6 +15,7 @@ from winnow import constants as K
 from winnow.functions import scalars as S
 from winnow.functions.sequences import mutation_fingerprint
 from winnow.operators.numbering import rank_in_group, rank_top
+from winnow.session import materialise
 
 
 def by_score(score_col: str, id_col: str) -> list[Column]:
@@ -33,6 +34,15 @@ def cap_per_group(
     return df.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= limit).drop("_rn")
 
 
+def finalists(df: DataFrame, stratum_col: str, order: Sequence[Column], limit: int) -> DataFrame:
+    """The best rows of every stratum, written once.
+
+    They include the global top and the best row of any stratum, so the diversity rules read this small table
+    several times instead of recomputing the scored input.
+    """
+    return materialise(cap_per_group(df, stratum_col, order, limit), "finalists")
+
+
 def cap_per_genus(
     df: DataFrame,
     probability_col: str = "composite_prob",
@@ -98,6 +108,14 @@ def swap_top(
     other stratum outside the top, and returns to the head of the remainder. With fewer than `top` rows nothing is
     done.
     """
+    order = by_score(score_col, id_col)
+    best = finalists(df, stratum_col, order, max(keep, top) + 1)
+    return _swap_top(best, score_col, stratum_col, id_col, top, crowd, keep)
+
+
+def _swap_top(
+    df: DataFrame, score_col: str, stratum_col: str, id_col: str, top: int, crowd: int, keep: int
+) -> DataFrame:
     order = by_score(score_col, id_col)
     head = rank_top(df, order, max(keep, top) + 1, "_rank")
     in_top = head.filter(F.col("_rank") <= top)
@@ -145,10 +163,12 @@ def enforce_diversity(
     The pad adds the best rows of short strata and cuts back to `top_k` by score, so it mostly changes nothing; when
     it adds any row, the result is re-sorted by score.
     """
-    swapped = swap_top(df, score_col, stratum_col, id_col, keep=top_k)
+    order = by_score(score_col, id_col)
+    best = finalists(df, stratum_col, order, max(top_k, 5, min_per_strategy) + 1)
+    swapped = _swap_top(best, score_col, stratum_col, id_col, 5, 4, top_k)
     if min_per_strategy <= 0:
         return swapped
-    return pad_strata(df, swapped, top_k, min_per_strategy, score_col, stratum_col, id_col)
+    return pad_strata(best, swapped, top_k, min_per_strategy, score_col, stratum_col, id_col)
 
 
 def pad_strata(
@@ -196,6 +216,7 @@ def diverse_top(
     The best rows of absent strata replace the lowest rows that are not the best of their stratum.
     """
     order = by_score(score_col, id_col)
+    df = finalists(df, stratum_col, order, k)
     top = rank_top(df, order, k, "_rank")
     within = Window.partitionBy(stratum_col).orderBy("_rank")
     everything = Window.partitionBy(F.lit(1))

@@ -19,8 +19,6 @@ def score_and_triage(
 ) -> DataFrame:
     """Axes, score and gates: one projection and one filter, no shuffle."""
     scored = score_batch(designs, **scoring)
-    if "mech_class_tier_a" not in scored.columns and "tier_a" in scored.columns:
-        scored = scored.withColumn("mech_class_tier_a", F.col("tier_a"))
     return apply_gates(scored, gates, mode)
 
 

@@ -50,3 +50,13 @@ def materialise(df: DataFrame, label: str = "frame") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores when the scan has fewer splits than cores, as with one-row-group files.
+
+    Tables with a split per core or more are returned as they are, so large scans gain no shuffle. Filters and
+    column pruning still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
