@@ -72,12 +72,7 @@ def parse_confidence(records: DataFrame, value_col: str = "value") -> DataFrame:
 
 def read_confidence_json(spark: SparkSession, path: str) -> DataFrame:
     """Whole small JSON files, searched recursively; the id is the file name."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .text(path)
-    )
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     return parse_confidence(files.select(_stem().alias("design_id"), "value"))
 
 
