@@ -21,6 +21,16 @@ def number(c: ColumnLike) -> Column:
     return F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
 
 
+def at_least(c: ColumnLike, threshold: float) -> Column:
+    """Filter form of >=: reaches the scan, and NaN does not pass."""
+    return (col(c) >= threshold) & ~F.isnan(col(c))
+
+
+def above(c: ColumnLike, threshold: float) -> Column:
+    """Filter form of >."""
+    return (col(c) > threshold) & ~F.isnan(col(c))
+
+
 def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     # least/greatest skip NULL operands, so a missing value has to be kept apart
     return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from winnow import constants as K
 from winnow.functions import scalars as S
 from winnow.operators.numbering import medians, rank_in_group
-from winnow.session import spread
 
 
 def strategy_breakdown(
@@ -219,8 +218,9 @@ def noisy_scores(
     df: DataFrame, id_col: str, score_col: str, iterations: int, sigma: float, seed: int
 ) -> DataFrame:
     """One noisy copy of every score per iteration."""
-    # copies are made where the rows are, so few input splits would leave cores idle
-    copies = spread(df).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    # copies are made where the rows are, so the narrow input is dealt over all cores first
+    dealt = df.repartition(df.sparkSession.sparkContext.defaultParallelism, id_col)
+    copies = dealt.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     noise = hash_normal(F.col(id_col).cast("string"), F.col("iteration").cast("string"), F.lit(str(seed)))
     return copies.withColumn("noisy_score", S.number(score_col) + noise * sigma)
 

@@ -24,6 +24,20 @@ COMPARISONS: dict[str, Callable[[Column, object], Column]] = {
 }
 
 
+# the same comparisons on the bare column, so that a filter reaches the scan; only >= and > would let NaN pass
+PUSHABLE: dict[str, Callable[[Column, object], Column]] = {
+    "ge": lambda c, v: (c >= v) & ~F.isnan(c),
+    "gt": lambda c, v: (c > v) & ~F.isnan(c),
+    "le": lambda c, v: c <= v,
+    "lt": lambda c, v: c < v,
+    "between": lambda c, v: c.between(*v),
+    "eq": lambda c, v: c == v,
+    "true": lambda c, v: c.cast("boolean"),
+    "has_text": lambda c, v: F.length(c) > 0,
+}
+NUMERIC = ("ge", "gt", "le", "lt", "between")
+
+
 @dataclass(frozen=True)
 class Gate:
     """One gate: the first existing column, a comparison, and what a NULL does ('drop' or 'keep')."""
@@ -38,6 +52,15 @@ class Gate:
     def condition(self, column: str) -> Column:
         return F.coalesce(COMPARISONS[self.comparison](F.col(column), self.value), F.lit(self.on_null == "keep"))
 
+    def kept(self, column: str) -> Column:
+        """Filter form of the condition: a NULL result drops the row, so dropping needs no wrapper."""
+        c = F.col(column)
+        passes = PUSHABLE[self.comparison](c, self.value)
+        if self.on_null == "drop":
+            return passes
+        missing = c.isNull() | F.isnan(c) if self.comparison in NUMERIC else c.isNull()
+        return missing | passes
+
     @property
     def flag(self) -> str:
         return f"gate_{self.name}_pass"
@@ -80,7 +103,7 @@ def apply_gates(df: DataFrame, gates: Sequence[Gate], mode: str = "filter") -> D
     active, _ = resolve_gates(df, gates)
     if mode == "filter":
         for gate, column in active:
-            df = df.filter(gate.condition(column))
+            df = df.filter(gate.kept(column))
         return df.withColumns({gate.flag: F.lit(True) for gate, _ in active}) if active else df
     flagged = df.withColumns({gate.flag: gate.condition(column) for gate, column in active})
     return flagged.withColumn("first_failed_gate", first_failed([g for g, _ in active]))
@@ -147,7 +170,7 @@ def filter_ddg(df: DataFrame, column: str = "ddg_kcal_mol", limit: float = K.TRI
     """Keep missing values and values up to the limit; pass everything when the column is absent."""
     if column not in df.columns:
         return df
-    return df.filter(Gate("ddg", (column,), "le", limit, "keep").condition(column))
+    return df.filter(Gate("ddg", (column,), "le", limit, "keep").kept(column))
 
 
 def filter_class(
@@ -158,7 +181,7 @@ def filter_class(
     label: str = K.CLASS_FREE,
 ) -> DataFrame:
     flagged = df.withColumn("class_flag", S.flag_class(label_col))
-    return flagged.filter((F.col(label_col) == label) & (S.number(confidence_col) >= minimum))
+    return flagged.filter((F.col(label_col) == label) & S.at_least(confidence_col, minimum))
 
 
 def gate_composite(
@@ -173,7 +196,7 @@ def gate_composite(
     if label is not None:
         out = out.filter(F.col(label_col) == label)
     if min_confidence is not None:
-        out = out.filter(S.number(confidence_col) >= min_confidence)
+        out = out.filter(S.at_least(confidence_col, min_confidence))
     return out
 
 
@@ -233,7 +256,7 @@ def prefilter(df: DataFrame, plddt_col: str = "esmfold_plddt", cutoff: float = K
 def identity_range(
     df: DataFrame, column: str, low: float = K.IDENTITY_RANGE[0], high: float = K.IDENTITY_RANGE[1], on_null: str = "keep"
 ) -> DataFrame:
-    return df.filter(Gate("identity", (column,), "between", (low, high), on_null).condition(column))
+    return df.filter(Gate("identity", (column,), "between", (low, high), on_null).kept(column))
 
 
 def rmsd_check(rmsd: str | Column, limit: float = K.RMSD_MAX) -> Column:
@@ -325,7 +348,7 @@ def search(
     id_col: str = "design_id",
 ) -> DataFrame:
     """Case-insensitive search over the text columns with score and flag filters."""
-    out = df.filter(S.number(score_col) >= min_score)
+    out = df.filter(S.at_least(score_col, min_score))
     if strategy is not None:
         out = out.filter(F.col(strategy_col) == strategy)
     if beaters_only:

@@ -193,12 +193,13 @@ def check_geometry(
 # --- chimera library -------------------------------------------------------------------------------------------
 
 
-def block_product(small: DataFrame, large: DataFrame, blocks: int = 8) -> DataFrame:
+def block_product(small: DataFrame, large: DataFrame, blocks: int | None = None) -> DataFrame:
     """All combinations of two frames as an equi-join on a block number.
 
     The larger side is dealt into blocks and the smaller one copied to each, so every task holds a bounded share of
     the output whatever the values are.
     """
+    blocks = blocks or large.sparkSession.sparkContext.defaultParallelism
     copies = small.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = large.withColumn("_block", F.pmod(F.xxhash64(*large.columns), F.lit(blocks)).cast("int"))
     return dealt.join(copies, "_block").drop("_block")

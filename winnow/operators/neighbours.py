@@ -12,6 +12,7 @@ from winnow.functions import scalars as S
 
 BROADCAST_ROWS = 10_000
 BLOCK_ROWS = 4_096
+CELLS = 2_000_000
 
 
 def _unit_rows(vectors, empty: str) -> tuple[np.ndarray, np.ndarray]:
@@ -147,15 +148,23 @@ def mean_pairwise_identity(df: DataFrame, sequence_col: str) -> DataFrame:
     """
 
     def cells(batches):
-        # characters as (position, code point) numbers, counted by length within the batch
+        # characters as (position, code point) numbers, counted by length; flushed at a fixed number of cells
+        parts, held = [], 0
+
+        def counted():
+            return pd.concat(parts).groupby(["cell", "len"], sort=False, as_index=False)["n"].sum()
+
         for batch in batches:
-            parts = []
             for text in batch["s"]:
                 codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
                 places = (np.arange(len(codes), dtype=np.int64) << 21) | codes
                 parts.append(pd.DataFrame({"cell": places, "len": len(codes), "n": 1}))
-            if parts:
-                yield pd.concat(parts).groupby(["cell", "len"], sort=False, as_index=False)["n"].sum()
+                held += len(codes)
+                if held >= CELLS:
+                    yield counted()
+                    parts, held = [], 0
+        if parts:
+            yield counted()
 
     texts = df.filter(F.length(sequence_col) > 0).select(F.col(sequence_col).alias("s"))
     counted = (

@@ -262,7 +262,7 @@ def catalog_rank(df: DataFrame, score_col: str = "score", id_col: str = "design_
 def beaters(
     df: DataFrame, threshold: float = K.LOCKPOINT_VERBATIM, score_col: str = "score", id_col: str = "design_id"
 ) -> DataFrame:
-    return df.filter(S.beats(score_col, threshold)).orderBy(*by_score(score_col, id_col))
+    return df.filter(S.above(score_col, threshold)).orderBy(*by_score(score_col, id_col))
 
 
 def top_k(df: DataFrame, k: int, score_col: str = "score", id_col: str = "design_id") -> DataFrame:
@@ -308,7 +308,7 @@ def nearest_misses(
 ) -> DataFrame:
     """Best rows not above the threshold, with the axis that loses most against the reference (1 by default)."""
     reference = reference or {a: 1.0 for a in profile}
-    below = df.filter(S.number(score_col) <= threshold)
+    below = df.filter(F.col(score_col) <= threshold)
     gaps = F.array(
         *[
             F.struct(
