@@ -200,6 +200,18 @@ DEFAULT_PARENT = "IS621"
 RENAMED_PARENTS = {"IS622": "ISCro4"}
 CATALOG_ALIASES = {"accession": "uniprot_acc", "length": "protein_length_aa", "sequence": "protein_sequence"}
 
+# Status texts, strategy names and notes written into result tables.
+FLAG_PASS = "PASS"
+FLAG_REVIEW = "UNCLASSIFIED_MANUAL_REVIEW"
+FLAG_DISCARD = "DSB_NUCLEASE_DISCARD"
+SCORE_METHOD = "local_axis_implementations"
+STRATEGY_SWAP = "A_domain_swap"
+STRATEGY_ORTHOLOG = "B_ortholog_discovery"
+STRATEGY_TARGETED = "C_deimm"
+STRUCTURE_DEFERRED = "DEFERRED_STEP12"
+SWAP_NOTE = "anti_mode_collapse: replaced rank-%d %s with %s"
+UNKNOWN_NAME = "Unknown"
+
 # Hypotheses, in order, and the wording of the roll-up.
 HYPOTHESES = (
     ("H1", "count of designs above the lockpoint", "n_beating >= 5"),

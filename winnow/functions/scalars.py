@@ -102,7 +102,7 @@ def score_immuno(precomputed: ColumnLike, strategy: ColumnLike, load: ColumnLike
     """Measured value first, the baseline for the targeted strategy, else a proxy from the window load."""
     base = K.BASELINE_IMMUNO
     proxy = clip((1.0 + (base - col(load).cast("double") / 50.0) * 0.1) * base)
-    fallback = F.when(col(strategy) == "C_deimm", base).otherwise(F.coalesce(proxy, F.lit(base)))
+    fallback = F.when(col(strategy) == K.STRATEGY_TARGETED, base).otherwise(F.coalesce(proxy, F.lit(base)))
     return F.coalesce(number(precomputed), fallback)
 
 
@@ -129,9 +129,9 @@ def proxy_programmability(probability: ColumnLike, composite: ColumnLike) -> Col
 def flag_class(label: ColumnLike) -> Column:
     label = col(label)
     return (
-        F.when(label == K.CLASS_UNKNOWN, "UNCLASSIFIED_MANUAL_REVIEW")
-        .when(label == K.CLASS_NUCLEASE, "DSB_NUCLEASE_DISCARD")
-        .otherwise("PASS")
+        F.when(label == K.CLASS_UNKNOWN, K.FLAG_REVIEW)
+        .when(label == K.CLASS_NUCLEASE, K.FLAG_DISCARD)
+        .otherwise(K.FLAG_PASS)
     )
 
 
@@ -160,7 +160,7 @@ def parent_of(
 def genus_of(organism: ColumnLike) -> Column:
     """First word of the organism name; blank or missing names become Unknown."""
     word = F.split(F.trim(col(organism)), r"\s+")[0]
-    return F.when(F.length(word) > 0, word).otherwise("Unknown")
+    return F.when(F.length(word) > 0, word).otherwise(K.UNKNOWN_NAME)
 
 
 def mass_kda(sequence: ColumnLike) -> Column:

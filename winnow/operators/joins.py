@@ -46,7 +46,7 @@ def enrich_metadata(
         }
     )
     out = filled.select(*base.columns).unionByName(base.filter(~usable))
-    organism = F.coalesce(F.col(organism_col), F.lit("Unknown"))
+    organism = F.coalesce(F.col(organism_col), F.lit(K.UNKNOWN_NAME))
     return out.withColumn(organism_col, organism).withColumn(
         genus_col, F.coalesce(F.col(genus_col), S.genus_of(organism_col))
     )
@@ -264,7 +264,7 @@ def generate_chimeras(
     )
     return numbered.select(
         F.format_string("A_%03d_%s_%s_%s", "_rank", "core", "guide", "linker").alias("design_id"),
-        F.lit("A_domain_swap").alias("strategy"),
+        F.lit(K.STRATEGY_SWAP).alias("strategy"),
         used.alias("modules_used"),
         junctions.alias("linkers"),
         "full_sequence",

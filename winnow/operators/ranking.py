@@ -55,7 +55,7 @@ def cap_per_genus(
     genus = F.col(genus_col) if genus_col in df.columns else F.lit(None).cast("string")
     if organism_col in df.columns:
         genus = F.coalesce(genus, S.genus_of(organism_col))
-    filled = df.withColumn(genus_col, F.coalesce(genus, F.lit("Unknown")))
+    filled = df.withColumn(genus_col, F.coalesce(genus, F.lit(K.UNKNOWN_NAME)))
     return cap_per_group(filled, genus_col, by_score(probability_col, id_col), limit)
 
 
@@ -134,7 +134,7 @@ def _swap_top(
         outside.join(F.broadcast(crowded), different).orderBy(*order).limit(1)
     )
     note = F.format_string(
-        "anti_mode_collapse: replaced rank-%d %s with %s", F.col("_out_rank"), F.col("_dominant"), F.col(stratum_col)
+        K.SWAP_NOTE, F.col("_out_rank"), F.col("_dominant"), F.col(stratum_col)
     )
     newcomer = alternative.select(*df.columns, F.lit(0).alias("_block"), note.alias("diversity_note"))
     swap = alternative.select("_out", F.col(id_col).alias("_in"))

@@ -144,11 +144,11 @@ def score_batch(
     composite = given(composite_col, True).cast("boolean")
     confidence = given(confidence_col, 1.0).cast("double")
     probability = given(probability_col, 1.0).cast("double")
-    strategy = given(strategy_col, "A_domain_swap")
+    strategy = given(strategy_col, K.STRATEGY_SWAP)
     sequence = F.col(sequence_col)
     measured = S.number(given(immuno_col, None))
 
-    needs_scan = measured.isNull() & ~F.coalesce(strategy == "C_deimm", F.lit(False))
+    needs_scan = measured.isNull() & ~F.coalesce(strategy == K.STRATEGY_TARGETED, F.lit(False))
     scanned = df.withColumn(
         "_load", window_load(F.when(needs_scan, sequence), positions=False)["weighted_load"]
     )
@@ -176,7 +176,7 @@ def score_batch(
         {
             **rounded,
             "beats_lockpoint": F.col(score_col) > threshold,
-            "score_method": F.lit("local_axis_implementations"),
+            "score_method": F.lit(K.SCORE_METHOD),
         }
     ).drop("_load")
 

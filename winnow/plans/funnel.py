@@ -68,7 +68,7 @@ def ortholog_funnel(
         has_sequence(survivors), "B", key, by_score("composite_prob", key)
     )
     return numbered.withColumns(
-        {"strategy": F.lit("B_ortholog_discovery"), "gate_5_status": F.lit("DEFERRED_STEP12")}
+        {"strategy": F.lit(K.STRATEGY_ORTHOLOG), "gate_5_status": F.lit(K.STRUCTURE_DEFERRED)}
     )
 
 
@@ -87,5 +87,5 @@ def write_funnel(candidates: DataFrame, folder: str) -> None:
             "gate_7_applied": F.coalesce(F.bool_or(F.col("gate_7_pass").isNotNull()), F.lit(False)),
             "n_genera_represented": F.count_distinct("genus"),
         },
-        gate_5_status="DEFERRED_STEP12",
+        gate_5_status=K.STRUCTURE_DEFERRED,
     )

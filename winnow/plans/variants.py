@@ -82,4 +82,4 @@ def write_chimeras(designs: DataFrame, folder: str) -> None:
     write_catalog(designs, f"{folder}/designs")
     stored = designs.sparkSession.read.schema(designs.schema).parquet(f"{folder}/designs")
     write_fasta(stored, f"{folder}/designs_fasta", "design_id", "full_sequence", width=0)
-    write_summary(stored, f"{folder}/manifest", "design_id", {}, strategy="A_domain_swap")
+    write_summary(stored, f"{folder}/manifest", "design_id", {}, strategy=K.STRATEGY_SWAP)
