@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from winnow import constants as K
 from winnow.functions import scalars as S
-from winnow.functions.sequences import apply_mutations
+from winnow.functions.sequences import apply_mutations, novel_count, positional_identity
 from winnow.functions.windows import window_load
 from winnow.operators.aggregates import epitopes_removed
+from winnow.operators.gates import identity_range
 from winnow.operators.joins import generate_chimeras, slice_modules
-from winnow.operators.ranking import dedupe_variants
+from winnow.operators.ranking import dedupe_variants, sort_novel_first
+from winnow.operators.sets import exclude_recoveries
 from winnow.sources.catalog import load_registry, write_catalog, write_summary
 from winnow.sources.fasta import write_fasta
 
@@ -83,3 +85,23 @@ def write_chimeras(designs: DataFrame, folder: str) -> None:
     stored = designs.sparkSession.read.schema(designs.schema).parquet(f"{folder}/designs")
     write_fasta(stored, f"{folder}/designs_fasta", "design_id", "full_sequence", width=0)
     write_summary(stored, f"{folder}/manifest", "design_id", {}, strategy=K.STRATEGY_SWAP)
+
+
+def score_redesigns(
+    records: DataFrame, wild_type: str, low: float | None = None, high: float | None = None
+) -> DataFrame:
+    """Redesigned sequences (id, sequence) with identity to the wild type, most novel first.
+
+    Exact recoveries are dropped; identity bounds apply when given.
+    """
+    novel = exclude_recoveries(records, "sequence", wild_type)
+    parent = F.lit(wild_type)
+    scored = novel.withColumns(
+        {
+            "sequence_identity_to_wt": S.round_exact(positional_identity("sequence", parent), 4),
+            "novel_residues_count": novel_count("sequence", parent),
+        }
+    )
+    if low is not None and high is not None:
+        scored = identity_range(scored, "sequence_identity_to_wt", low, high)
+    return sort_novel_first(scored, "sequence_identity_to_wt", "id")
