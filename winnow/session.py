@@ -21,6 +21,8 @@ def build_session(app: str = "winnow", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # HotSpot interprets methods above this size; Spark then splits the stage's code instead
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         # long texts: bound what one Arrow batch hands to a Python worker
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         **conf,
