@@ -272,3 +272,18 @@ def test_upsert_skips_known_ids_and_replays(spark, tmp_path):
     assert run("ck") == [1, 2]
     put(spark, src, "b", [(2, 5.0), (3, 1.0)])
     assert run("ck") == [1, 2, 3]
+
+
+class _Bare:
+    """Just enough of a session to ask for the scratch folder."""
+
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"test-{master}"})()
+
+
+def test_unset_folder_is_refused_on_a_cluster():
+    bare = _Bare("local[2]")
+    assert checkpoint_root(bare) == checkpoint_root(bare)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(_Bare("yarn"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local_roots: dict[str, str] = {}
 
 
 def build_session(app: str = "winnow", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,9 +40,11 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="winnow-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    # the key is a core setting, which a running session cannot change
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="winnow-")
+    return _local_roots[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
