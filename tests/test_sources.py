@@ -287,3 +287,21 @@ def test_unset_folder_is_refused_on_a_cluster():
     assert checkpoint_root(bare) == checkpoint_root(bare)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_root(_Bare("yarn"))
+
+
+def test_hypothesis_report_agrees_with_single_tests(spark):
+    from winnow.operators import checks as V
+
+    scored = triage.score_and_triage(designs(spark)).withColumn("protein_length_aa", F.length("protein_sequence"))
+    scored = scored.withColumn("genus", F.lit("G"))
+    got = {r["test_id"]: r["verdict"] for r in release.hypothesis_results(scored).collect()}
+    single = [
+        V.hypothesis_count_above(scored),
+        V.hypothesis_existence(scored),
+        V.hypothesis_best_gain(scored),
+        V.hypothesis_survivors(scored),
+        V.hypothesis_diversity(scored),
+    ]
+    assert got == {r["test_id"]: r["verdict"] for t in single for r in t.select("test_id", "verdict").collect()}
+    empty = {r["test_id"]: r["verdict"] for r in release.hypothesis_results(scored.limit(0)).collect()}
+    assert empty["H3"] == "NOT_EVALUABLE" and empty["H1"] == "FAIL"
