@@ -99,7 +99,7 @@ SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LINES_SQL = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {SQL_WORDS} AS words FROM documents),
 places AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i,
-  unnest(list_transform(range(1, len(words) - 3), x -> array_to_string(words[x:x + 4], ' '))) AS w FROM d),
+  unnest(list_transform(range(1, len(words) - 3), lambda x: array_to_string(words[x:x + 4], ' '))) AS w FROM d),
 windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM places),
 repeats AS (SELECT doc_id, count(DISTINCT pos) AS n FROM
   (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM windows WHERE n > 1) GROUP BY doc_id),
