@@ -50,7 +50,7 @@ def _order(doc_id: str, size: Column, seed: int) -> Column:
 
 
 def _bucket(order: Column) -> Column:
-    return F.substring(order["digest"], 1, 4)
+    return F.substring(order["digest"], 1, 3)
 
 
 def mix(
@@ -66,7 +66,7 @@ def mix(
 
     A source's target is a number of whole passes and a rest. All documents get the whole passes; the rest goes to the
     first documents in a seeded order of the source, as long as half of the next still fits, so that the taken words
-    are within half a document of the target. The cut is found from sums of 65,536 digest buckets per source and then
+    are within half a document of the target. The cut is found from sums of 4,096 digest buckets per source and then
     inside one bucket, so no source is sorted as a whole; the documents themselves meet only one row per source.
 
     Null text has size 0; a null source is a source of its own, the last; null ids are ordered by size; repeated rows
