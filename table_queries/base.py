@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from winnow import constants as K
 from winnow.functions import scalars as S
 from winnow.functions.sequences import letters
-from winnow.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,13 +28,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-# tables with costly rows: a file of one row group would otherwise be processed by one task
-HEAVY = {"documents", "embeddings", "pages", "conversations"}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(df) if name in HEAVY else df
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def designs(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,10 +74,10 @@ def designs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
-    """id and upper-case letters of a text table."""
+    """id and upper-case letters of a text table, dealt once over all tasks: a file of one row group is one split."""
     keys = {"documents": "doc_id", "benchmark": "item_id"}
     df = table(spark, folder, name)
-    return df.select(F.col(keys[name]).alias("id"), letters("text").alias("sequence"))
+    return df.select(F.col(keys[name]).alias("id"), letters("text").alias("sequence")).repartition("id")
 
 
 # --- SQL building blocks ---------------------------------------------------------------------------------------

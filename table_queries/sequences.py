@@ -55,19 +55,19 @@ def q3(spark, folder):
 
 @query(
     "Q4_build_orf",
-    f"""WITH {BENCH}, c AS (SELECT item_id, unnest(range(1, length(s) + 1)) AS pos, s FROM bench),
-    t AS (SELECT item_id, string_agg(CASE s[pos] {CODON_CASE} ELSE 'NNN' END, '' ORDER BY pos) AS dna FROM c GROUP BY item_id)
-    SELECT item_id, CASE WHEN s LIKE 'T%' THEN 'GCCACC' || 'ATG' || dna || 'TGA' END AS orf,
-      CASE WHEN s LIKE 'M%' THEN 'GCCACC' || dna || 'TGA' END AS strict
-    FROM bench LEFT JOIN t USING (item_id)""",
+    f"""WITH {DOCS}, c AS (SELECT doc_id, unnest(range(1, length(s) + 1)) AS pos, s FROM docs),
+    t AS (SELECT doc_id, string_agg(CASE s[pos] {CODON_CASE} ELSE 'NNN' END, '' ORDER BY pos) AS dna FROM c GROUP BY doc_id)
+    SELECT doc_id, md5(CASE WHEN s LIKE 'T%' THEN 'GCCACC' || 'ATG' || dna || 'TGA' END) AS orf,
+      md5(CASE WHEN s LIKE 'M%' THEN 'GCCACC' || dna || 'TGA' END) AS strict
+    FROM docs LEFT JOIN t USING (doc_id)""",
 )
 def q4(spark, folder):
-    df = sequences(spark, folder, "benchmark")
+    df = sequences(spark, folder)
     leading = F.when(F.col("sequence").startswith("T"), F.concat(F.lit("M"), "sequence"))
     return df.select(
-        F.col("id").alias("item_id"),
-        Q.build_orf(leading, strict=False).alias("orf"),
-        Q.build_orf("sequence", strict=False).alias("strict"),
+        F.col("id").alias("doc_id"),
+        F.md5(Q.build_orf(leading, strict=False)).alias("orf"),
+        F.md5(Q.build_orf("sequence", strict=False)).alias("strict"),
     )
 
 
@@ -81,11 +81,17 @@ def q5(spark, folder):
 
 @query(
     "Q6_kmer_windows",
-    f"""WITH {BENCH} SELECT item_id, pos::INTEGER AS start, substr(s, pos, 9) AS "window"
-    FROM (SELECT item_id, s, unnest(range(1, length(s) - 7)) AS pos FROM bench)""",
+    f"""WITH {DOCS}, w AS (SELECT doc_id, pos, substr(s, pos, 9) AS w FROM (SELECT doc_id, s, unnest(range(1, length(s) - 7)) AS pos FROM docs))
+    SELECT doc_id, count(*) AS n, sum(pos * ascii(w[1]))::BIGINT AS firsts, sum(pos * ascii(w[5]))::BIGINT AS middles,
+      sum(pos * ascii(w[9]))::BIGINT AS lasts FROM w GROUP BY doc_id""",
 )
 def q6(spark, folder):
-    return Q.kmer_windows(sequences(spark, folder, "benchmark"), "id", "sequence", 9).withColumnRenamed("id", "item_id")
+    """All windows of all documents, compared by their number and by sums over position and letters."""
+    windows = Q.kmer_windows(sequences(spark, folder), "id", "sequence", 9)
+    letter = lambda k: F.sum(F.col("start").cast("long") * F.ascii(F.substring("window", k, 1)))
+    return windows.groupBy(F.col("id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n"), letter(1).alias("firsts"), letter(5).alias("middles"), letter(9).alias("lasts")
+    )
 
 
 _WINDOWS = f"""
@@ -211,9 +217,19 @@ def q12(spark, folder):
     )
 
 
-@query("Q12_mean_pairwise_identity_documents")
+@query(
+    "Q12_mean_pairwise_identity_documents",
+    f"""WITH {DOCS}, ch AS (SELECT length(s) AS len, s, unnest(range(1, length(s) + 1)) AS pos FROM docs),
+    cells AS (SELECT pos, s[pos] AS c, len, count(*) AS k FROM ch GROUP BY ALL),
+    shared AS (SELECT len, k * (k - 1) / 2 + k * coalesce(sum(k) OVER (PARTITION BY pos, c ORDER BY len
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM cells),
+    n AS (SELECT count(*) * (count(*) - 1) // 2 AS n_pairs FROM docs)
+    SELECT n_pairs, round((SELECT sum(m / len) FROM shared) / n_pairs, 9) AS mean_identity FROM n""",
+)
 def q12_documents(spark, folder):
-    return mean_pairwise_identity(sequences(spark, folder), "sequence")
+    return mean_pairwise_identity(sequences(spark, folder), "sequence").withColumn(
+        "mean_identity", F.round("mean_identity", 9)
+    )
 
 
 @query(

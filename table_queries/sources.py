@@ -26,20 +26,26 @@ def s2(spark, folder):
 
 
 def _written_fasta(spark, folder):
+    """Every third id begins with '#', and every file with lines that belong to no record."""
     docs = sequences(spark, folder).join(
         table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", "source"), "id"
     )
+    named = docs.withColumn("id", F.concat(F.when(F.col("id") % 3 == 0, "#").otherwise(""), "id"))
     path = scratch_path(spark, "fasta")
-    fasta.write_fasta(docs, path, "id", "sequence", [("lang", "lang", "%s"), ("source", "source", "%s")])
+    records = fasta.format_records(named, "id", "sequence", [("lang", "lang", "%s"), ("source", "source", "%s")])
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    preamble = F.when(first, "free text preamble\n# note\n\n").otherwise("")
+    records.withColumn("value", F.concat(preamble, "value")).write.text(path)
     return fasta.read_fasta(spark, path)
 
 
-_DOCS = f"d AS (SELECT doc_id, lang, source, {sql_letters('text')} AS s FROM documents)"
+_DOCS = f"""d AS (SELECT (CASE WHEN doc_id % 3 = 0 THEN '#' ELSE '' END) || doc_id AS id, lang, source,
+  {sql_letters('text')} AS s FROM documents)"""
 
 
 @query(
     "S3_read_fasta",
-    f"""WITH {_DOCS} SELECT doc_id::VARCHAR AS id, doc_id || ' [lang=' || lang || '] [source=' || source || ']' AS header,
+    f"""WITH {_DOCS} SELECT id, id || ' [lang=' || lang || '] [source=' || source || ']' AS header,
       length(s) AS n, md5(s) AS digest FROM d WHERE length(s) > 0""",
 )
 def s3(spark, folder):
@@ -47,7 +53,7 @@ def s3(spark, folder):
     return records.select("id", "header", F.length("sequence").alias("n"), F.md5("sequence").alias("digest"))
 
 
-@query("S4_parse_header_tags", f"WITH {_DOCS} SELECT doc_id::VARCHAR AS id, lang, source FROM d WHERE length(s) > 0")
+@query("S4_parse_header_tags", f"WITH {_DOCS} SELECT id, lang, source FROM d WHERE length(s) > 0")
 def s4(spark, folder):
     tagged = fasta.parse_header_tags(_written_fasta(spark, folder), tags=["lang", "source"])
     return tagged.select("id", "lang", "source")
@@ -55,13 +61,15 @@ def s4(spark, folder):
 
 @query(
     "S5_write_fasta",
-    f"""WITH b AS (SELECT item_id, {sql_letters('text')} AS s FROM benchmark)
-    SELECT '>' || item_id || ' [length=' || length(s) || 'aa]' || chr(10)
-      || rtrim(regexp_replace(s, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM b WHERE length(s) > 0""",
+    f"""WITH b AS (SELECT doc_id, {sql_letters('text')} AS s FROM documents)
+    SELECT doc_id, md5('>' || doc_id || ' [length=' || length(s) || 'aa]' || chr(10)
+      || rtrim(regexp_replace(s, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10))) AS digest FROM b WHERE length(s) > 0""",
 )
 def s5(spark, folder):
-    bench = sequences(spark, folder, "benchmark").withColumn("n", F.length("sequence"))
-    return fasta.format_records(bench, "id", "sequence", [("length", "n", "%daa")])
+    docs = sequences(spark, folder).withColumn("n", F.length("sequence"))
+    lines = fasta.format_records(docs, "id", "sequence", [("length", "n", "%daa")])
+    doc_id = F.regexp_extract("value", "^>([0-9]+) ", 1).cast("long")
+    return lines.select(doc_id.alias("doc_id"), F.md5("value").alias("digest"))
 
 
 @query("S6_write_catalog", "SELECT p_partkey, p_brand, p_type, p_retailprice FROM part")
@@ -81,21 +89,44 @@ def s7(spark, folder):
     return spark.read.schema(joined.schema).json(path)
 
 
-@query("S8_checksum_manifest")
+def _page_manifest(spark, folder):
+    pages = table(spark, folder, "pages").withColumn("path", F.concat(F.lit("pages/"), "page_id"))
+    return manifest.content_manifest(pages, "path", "html")
+
+
+@query("S8_checksum_manifest", "SELECT 'pages/' || page_id AS path, strlen(html) AS length, sha256(html) AS sha256 FROM pages")
 def s8(spark, folder):
+    return _page_manifest(spark, folder)
+
+
+@query("S8_checksum_manifest_files")
+def s8_files(spark, folder):
     return manifest.checksum_manifest(spark, folder)
 
 
-@query("S9_verify_checksums")
+@query(
+    "S9_verify_checksums",
+    """SELECT 'pages/' || page_id AS path, CASE WHEN page_id % 11 = 1 THEN 'extra' WHEN page_id % 7 = 0 THEN 'mismatched'
+      ELSE 'ok' END AS status FROM pages
+    UNION ALL SELECT 'ghost/' || page_id, 'missing' FROM pages WHERE page_id % 13 = 2""",
+)
 def s9(spark, folder):
+    """Some listed digests are spoilt, some paths are left out and some listed that do not exist."""
+    actual = _page_manifest(spark, folder)
+    number = F.substring_index("path", "/", -1).cast("long")
+    spoilt = F.when(number % 7 == 0, F.sha2("path", 256)).otherwise(F.col("sha256"))
+    listed = actual.withColumn("sha256", spoilt).filter(number % 11 != 1)
+    ghosts = actual.filter(number % 13 == 2).withColumn("path", F.regexp_replace("path", "^pages", "ghost"))
+    path = scratch_path(spark, "manifest")
+    manifest.write_manifest(listed.unionByName(ghosts), path)
+    return manifest.verify_checksums(actual, manifest.read_manifest(spark, path))
+
+
+@query("S9_verify_checksums_files")
+def s9_files(spark, folder):
     actual = manifest.checksum_manifest(spark, folder)
     path = scratch_path(spark, "manifest")
-    # one listed digest is spoilt, one file is left out, one name does not exist
-    listed = actual.withColumn(
-        "sha256", F.when(F.col("path") == "part.parquet", F.sha2("path", 256)).otherwise(F.col("sha256"))
-    ).filter("path <> 'orders.parquet'")
-    ghost = listed.filter("path = 'part.parquet'").withColumn("path", F.lit("ghost.parquet"))
-    manifest.write_manifest(listed.unionByName(ghost), path)
+    manifest.write_manifest(actual, path)
     return manifest.verify_checksums(actual, manifest.read_manifest(spark, path))
 
 

@@ -43,14 +43,15 @@ def t2(spark, folder):
 
 @query("T3_foreach_batch_upsert", "SELECT DISTINCT user_id FROM events WHERE value >= 20 AND event_type = 'purchase'")
 def t3(spark, folder):
-    target = scratch_path(spark, "table")
-    # two independent readers of the same files: the second one adds nothing
-    for _ in range(2):
-        T.drain(
-            T.foreach_batch_upsert(
-                _events(spark, folder), lambda b: _gated(b).select("user_id"), f"{target}", scratch_path(spark, "offsets"), "user_id"
-            )
-        )
+    """Two halves of the events under a checkpoint each, into one table; a third reader of the first half adds nothing."""
+    target, events = scratch_path(spark, "table"), table(spark, folder, "events")
+    halves = [scratch_path(spark, "half") for _ in range(2)]
+    for n, half in enumerate(halves):
+        events.filter(F.col("event_id") % 2 == n).write.parquet(half)
+    for half in (*halves, halves[0]):
+        source = T.read_new_files(spark, half, events.schema)
+        picked = lambda batch: _gated(batch).select("user_id")
+        T.drain(T.foreach_batch_upsert(source, picked, target, scratch_path(spark, "offsets"), "user_id"))
     return spark.read.parquet(target).select("user_id")
 
 

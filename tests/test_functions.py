@@ -29,6 +29,10 @@ def test_round_exact_follows_the_binary_value(spark):
     values = [1 - (n - 260) / 640 * 0.35 for n in range(261, 900, 3)] + [rng.randint(0, 10**5) / 1e5 for _ in range(500)]
     got = column(spark.createDataFrame([(v,) for v in values], "x double").select(S.round_exact(F.col("x"), 4).alias("v")))
     assert got == [round(v, 4) for v in values]
+    odd = [None, float("inf"), float("-inf"), -0.12345, -2.5, 0.5, 1.5, 1e300, 2.0**53 + 2, 0.00005]
+    frame = spark.createDataFrame([(v,) for v in odd], "x double")
+    assert column(frame.select(S.round_exact(F.col("x"), 4).alias("v"))) == [None if v is None else v if abs(v) > 1e16 else round(v, 4) for v in odd]
+    assert column(frame.filter("abs(x) < 3").select(S.round_exact(F.col("x"), 0).alias("v"))) == [round(v) for v in odd if v is not None and abs(v) < 3]
 
 
 def test_weighted_score_golden_values(spark):

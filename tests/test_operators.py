@@ -236,14 +236,15 @@ def test_slice_clamps_to_length(spark):
 # --- neighbours ------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [10_000, 1])
-def test_novelty_gate(spark, limit):
+@pytest.mark.parametrize("block", [4096, 1])
+def test_novelty_gate(spark, block, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", block)
     e = spark.createDataFrame([("k1", [1.0, 0.0]), ("k2", [0.0, 1.0]), ("near", [1.0, 0.1]), ("far", [-1.0, -1.0]), ("zero", [0.0, 0.0])], "uniprot_acc string, embedding array<double>")
     known = spark.createDataFrame([("k1",), ("k2",), ("absent",)], "uniprot_acc string")
     df = spark.createDataFrame([("near",), ("far",), ("zero",), ("novector",)], "uniprot_acc string")
-    got = tuples(N.novelty_gate(df, e, known, broadcast_rows=limit), "uniprot_acc", "gate_6_distance", "gate_6_pass")
+    got = tuples(N.novelty_gate(df, e, known), "uniprot_acc", "gate_6_distance", "gate_6_pass")
     assert got == [("far", 1.7071, True), ("novector", None, None), ("zero", 1.0, True)]
-    nothing = N.novelty_gate(df, e, known.limit(0), broadcast_rows=limit)
+    nothing = N.novelty_gate(df, e, known.limit(0))
     assert nothing.count() == 4 and nothing.filter("gate_6_pass IS NOT NULL").count() == 0
 
 
@@ -286,8 +287,9 @@ def test_rank_in_group_with_a_hot_group(spark):
     for g in {r[1] for r in rows}:
         part = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
         expected.update({r[0]: i + 1 for i, r in enumerate(part)})
-    for known in (None, 1000):
-        got = R1.rank_in_group(df, ["g"], order, largest_group=known)
+    for narrow in ({}, {"key": "id", "order_columns": ["v"]}):
+        got = R1.rank_in_group(df, ["g"], order, **narrow)
+        assert got.columns == ["id", "g", "v", "rank"]
         assert {r["id"]: r["rank"] for r in got.collect()} == expected
     overall = sorted(r["rank"] for r in R1.rank_in_group(df, [], order).collect())
     assert overall == list(range(1, 601))

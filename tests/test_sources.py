@@ -1,6 +1,9 @@
 """Readers, writers, plans and streams as round trips in temporary folders."""
 
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from winnow import constants as K
 from winnow.plans import funnel, release, triage, variants
 from winnow.schemas import catalog_schema
-from winnow.session import checkpoint_root, materialise, scratch_path, spread
+from winnow.session import checkpoint_root, materialise, release as release_frame, scratch_path
 from winnow.sources import catalog, fasta, manifest, predictions
 from winnow.streaming import incremental as T
 
@@ -19,7 +22,26 @@ def test_scratch_is_below_the_checkpoint_folder(spark):
     assert scratch_path(spark, "x").startswith(checkpoint_root(spark) + "/winnow/x-")
     df = materialise(spark.range(5), "five")
     assert df.count() == 5 and "winnow/five-" in df.inputFiles()[0]
-    assert spread(spark.range(8, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    folder = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(folder)
+    release_frame(df)
+    assert not os.path.exists(folder)
+
+
+def test_executors_can_import_the_package(spark, tmp_path):
+    code = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from winnow.session import build_session
+import winnow.functions.windows as W
+spark = build_session("ship", "local[1]", **{"spark.ui.enabled": "false"})
+df = spark.createDataFrame([("ABCDEFGHIKLMNPQ",)], "s string")
+print("load", df.select(W.window_load("s")["n1"]).first()[0])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "load " in done.stdout, done.stderr[-2000:]
 
 
 # --- catalogs --------------------------------------------------------------------------------------------------
@@ -32,6 +54,9 @@ def test_catalog_round_trip_turns_nan_into_null(spark, tmp_path, fmt):
     assert written == ["design_id", "score"]
     back = catalog.read_catalog(spark, f"{tmp_path}/c", fmt, df.schema)
     assert sorted(tuple(r) for r in back.filter("score IS NOT NULL").collect()) == [("a", 1.0)] and back.count() == 3
+    if fmt == "parquet":
+        plan = back.filter("score >= 0.5")._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [IsNotNull(score), GreaterThanOrEqual(score,0.5)]" in plan
 
 
 def test_missing_catalog_has_a_hint(spark, tmp_path):
@@ -71,9 +96,9 @@ def test_records_keep_nulls_and_summary(spark, tmp_path):
 def test_fasta_variants(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">x [strategy=A] [score=0.92] n_mut=3\nABC\nDEF\n>y\n\n>z tag=1 tag=2\r\nGH\r\nI\r\n")
     (tmp_path / "b.fasta").write_text("# only a comment\n# and another\n")
-    (tmp_path / "c.fasta").write_text("# preamble\n>w first=1\nQQ")
+    (tmp_path / "c.fasta").write_text("# preamble\nfree text\n>w first=1\nQQ\n>#2 odd\nGGGG\n>;3\nTT\n")
     rows = {r["id"]: r for r in fasta.parse_header_tags(fasta.read_fasta(spark, str(tmp_path))).collect()}
-    assert {k: r["sequence"] for k, r in rows.items()} == {"x": "ABCDEF", "y": "", "z": "GHI", "w": "QQ"}
+    assert {k: r["sequence"] for k, r in rows.items()} == {"x": "ABCDEF", "y": "", "z": "GHI", "w": "QQ", "#2": "GGGG", ";3": "TT"}
     assert rows["x"]["tags"] == {"strategy": "A", "score": "0.92", "n_mut": "3"} and rows["z"]["tags"] == {"tag": "1"}
 
 
@@ -272,6 +297,29 @@ def test_upsert_skips_known_ids_and_replays(spark, tmp_path):
     assert run("ck") == [1, 2]
     put(spark, src, "b", [(2, 5.0), (3, 1.0)])
     assert run("ck") == [1, 2, 3]
+    assert run("ck") == [1, 2, 3]
+    # another checkpoint counts its batches from 0 again, and reads both files once more
+    put(spark, src, "c", [(3, 5.0), (100, 1.0), (101, 1.0)])
+    assert run("other") == [1, 2, 3, 100, 101]
+    put(spark, src, "d", [(100, 5.0), (102, 1.0)])
+    assert run("ck") == [1, 2, 3, 100, 101, 102]
+
+
+def test_upsert_keeps_all_rows_of_two_sources(spark, tmp_path):
+    table = f"{tmp_path}/table"
+    for name, ids in (("a", range(5)), ("b", range(100, 103))):
+        put(spark, f"{tmp_path}/{name}", "f", [(i, 1.0) for i in ids])
+        stream = T.read_new_files(spark, f"{tmp_path}/{name}", EVENTS)
+        T.drain(T.foreach_batch_upsert(stream, lambda d: d, table, f"{tmp_path}/ck-{name}", "id"))
+    assert sorted(r["id"] for r in spark.read.parquet(table).collect()) == [*range(5), 100, 101, 102]
+
+
+def test_upsert_does_not_hide_a_table_without_the_key(spark, tmp_path):
+    spark.range(3).withColumnRenamed("id", "other").write.parquet(f"{tmp_path}/table")
+    put(spark, f"{tmp_path}/in", "f", [(1, 1.0)])
+    stream = T.read_new_files(spark, f"{tmp_path}/in", EVENTS)
+    with pytest.raises(Exception):
+        T.drain(T.foreach_batch_upsert(stream, lambda d: d, f"{tmp_path}/table", f"{tmp_path}/ck", "id"))
 
 
 class _Bare:

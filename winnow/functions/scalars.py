@@ -37,13 +37,24 @@ def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def round_exact(c: Column, digits: int) -> Column:
-    """Round the binary value to `digits`, halves to even.
+    """Round the binary value to `digits`, halves to even; infinities, NaN and values without such digits stay.
 
-    Spark's round works on the shortest decimal text, which turns 0.99125 (stored slightly below) into 0.9913.
-    Number formatting rounds the stored value, and names its operand once, so nested scores stay small plans.
+    Spark's round works on the shortest decimal text, which turns 0.99125 (stored slightly below) into 0.9913. The
+    scaled value and the error of its product (split in two halves) tell on which side of the half the value lies. The
+    operand is bound once, so nested scores stay small plans.
     """
-    pattern = "0." + "0" * digits if digits else "0"
-    return F.call_function("format_number", c.cast("double"), F.lit(pattern)).try_cast("double")
+    scale = float(10**digits)
+
+    def rounded(x: Column) -> Column:
+        product = x * scale
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        error = (high * scale - product) + (x - high) * scale
+        below = F.floor(product)
+        beyond = ((product - below) - 0.5) + error
+        up = (beyond > 0) | ((beyond == 0) & (F.pmod(below, F.lit(2)) == 1))
+        return F.when(F.abs(x) < 2.0**52 / scale, (below + F.when(up, 1).otherwise(0)) / scale).otherwise(x)
+
+    return F.transform(F.array(c.cast("double")), rounded)[0]
 
 
 # --- weighted scores -------------------------------------------------------------------------------------------

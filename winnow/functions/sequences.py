@@ -63,11 +63,22 @@ def window_starts(length: Column, k: int) -> Column:
     )
 
 
-def kmer_windows(df: DataFrame, id_col: str, sequence_col: str, k: int) -> DataFrame:
-    """One row per window: id, 1-based start, window text."""
-    starts = window_starts(F.length(sequence_col), k)
-    return df.select(id_col, sequence_col, F.explode(starts).alias("start")).select(
-        id_col, "start", F.col(sequence_col).substr(F.col("start"), F.lit(k)).alias("window")
+def kmer_windows(df: DataFrame, id_col: str, sequence_col: str, k: int, piece: int = 2048) -> DataFrame:
+    """One row per window: id, 1-based start, window text.
+
+    Characters are found by counting from the start of a text, so the text is first cut into pieces of bounded length
+    (never below the window), each with the first k - 1 characters of the next, and windows are taken inside the
+    pieces: the work is linear in the text.
+    """
+    piece = max(piece, k)
+    parts = F.regexp_extract_all(F.col(sequence_col), F.lit("(?s).{1,%d}" % piece), F.lit(0))
+    cut = df.select(id_col, parts.alias("_parts")).select(id_col, "_parts", F.posexplode("_parts").alias("_nth", "_part"))
+    following = F.coalesce(F.get("_parts", F.col("_nth") + 1), F.lit(""))
+    text = F.concat("_part", F.substring(following, 1, k - 1)) if k > 1 else F.col("_part")
+    pieces = cut.select(id_col, (F.col("_nth") * piece).alias("_before"), text.alias("_text"))
+    inside = pieces.select(id_col, "_before", "_text", F.explode(window_starts(F.length("_text"), k)).alias("_at"))
+    return inside.select(
+        id_col, (F.col("_before") + F.col("_at")).cast("int").alias("start"), F.col("_text").substr(F.col("_at"), F.lit(k)).alias("window")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from winnow import constants as K
 from winnow.functions import scalars as S
-from winnow.operators.numbering import medians, rank_in_group
+from winnow.operators.numbering import medians, null_safe_join, rank_in_group
 
 
 def strategy_breakdown(
@@ -17,33 +17,19 @@ def strategy_breakdown(
 ) -> DataFrame:
     """Rows, rows above the threshold, best and median score by stratum."""
     score = S.number(score_col)
-    counts = df.groupBy(stratum_col).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(score > threshold).alias("n_beating"), F.max(score).alias("best")
-    )
-    return null_safe_left(counts, medians(df, [stratum_col], score_col), [stratum_col])
+    also = [F.count(F.lit(1)).alias("n"), F.count_if(score > threshold).alias("n_beating"), F.max(score).alias("best")]
+    return medians(df, [stratum_col], score_col, also=also).select(stratum_col, "n", "n_beating", "best", "median")
 
 
 def delta_by_strategy(df: DataFrame, stratum_col: str = "strategy", delta_col: str = "score_delta") -> DataFrame:
     """Median, mean and count of the score change, by stratum and overall (is_total)."""
     value = S.number(delta_col)
-    summary = [F.avg(value).alias("mean"), F.count(value).alias("count")]
-    by = null_safe_left(df.groupBy(stratum_col).agg(*summary), medians(df, [stratum_col], delta_col), [stratum_col])
-    overall = df.withColumn("_one", F.lit(1))
-    total = overall.groupBy("_one").agg(*summary).join(F.broadcast(medians(overall, ["_one"], delta_col)), "_one", "left")
-    return by.withColumn("is_total", F.lit(False)).unionByName(
-        total.drop("_one").withColumns(
-            {"is_total": F.lit(True), stratum_col: F.lit(None).cast(df.schema[stratum_col].dataType)}
-        )
-    )
-
-
-def null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    l, r = left.alias("l"), right.alias("r")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    extra = [F.col(f"r.{c}") for c in right.columns if c not in keys]
-    return l.join(r, same, "left").select(*[F.col(f"l.{c}") for c in left.columns], *extra)
+    # every row counts for its stratum and for the total, so both come from the same two passes
+    twice = df.select(stratum_col, delta_col, F.explode(F.array(F.lit(False), F.lit(True))).alias("is_total"))
+    twice = twice.withColumn(stratum_col, F.when(~F.col("is_total"), F.col(stratum_col)))
+    also = [F.avg(value).alias("mean"), F.count(value).alias("count")]
+    found = medians(twice, [stratum_col, "is_total"], delta_col, also=also)
+    return found.select(stratum_col, "mean", "count", "median", "is_total")
 
 
 def subset_statistics(
@@ -53,8 +39,7 @@ def subset_statistics(
     score_col: str = "score",
 ) -> DataFrame:
     """One row: length range, mean and median, distinct genera, score range."""
-    one = df.withColumn("_one", F.lit(1))
-    stats = one.groupBy("_one").agg(
+    also = [
         F.count(F.lit(1)).alias("n"),
         F.min(length_col).alias("length_min"),
         F.max(length_col).alias("length_max"),
@@ -62,9 +47,8 @@ def subset_statistics(
         F.count_distinct(genus_col).alias("n_genera"),
         F.min(S.number(score_col)).alias("score_min"),
         F.max(S.number(score_col)).alias("score_max"),
-    )
-    # both sides are single rows
-    return stats.join(F.broadcast(medians(one, ["_one"], length_col, "length_median")), "_one", "left").drop("_one")
+    ]
+    return medians(df, [], length_col, "length_median", also)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -236,15 +220,13 @@ def rank_intervals(
 ) -> DataFrame:
     """Rank interval of each design over noisy re-rankings.
 
-    An iteration holds one row per design; beyond the size of a task it is ranked over range partitions.
+    The copies hold id, iteration and score only and are ranked over range partitions, whatever their number.
     """
-    designs = df.count()
     noisy = noisy_scores(df.select(id_col, score_col), id_col, score_col, iterations, sigma, seed)
     ranked = rank_in_group(
         noisy.select(id_col, "iteration", "noisy_score"),
         ["iteration"],
         [F.desc_nulls_last("noisy_score"), F.asc(id_col)],
-        largest_group=designs,
     )
     tail = (1.0 - level) / 2.0
     return ranked.groupBy(id_col).agg(
@@ -267,7 +249,7 @@ def top_presence(
     order = Window.partitionBy("iteration").orderBy(F.desc_nulls_last("noisy_score"), F.asc(id_col))
     best = noisy.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     seen = best.select("iteration", stratum_col).distinct().groupBy(stratum_col).agg(F.count(F.lit(1)).alias("n_hit"))
-    return null_safe_left(df.select(stratum_col).distinct(), seen, [stratum_col]).select(
+    return null_safe_join(df.select(stratum_col).distinct(), seen, [stratum_col], "left").select(
         stratum_col, (F.coalesce("n_hit", F.lit(0)) / float(iterations)).alias("top_probability")
     )
 

@@ -6,9 +6,10 @@ from measured sizes and splits skewed partitions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow import constants as K
@@ -134,18 +135,21 @@ def check_geometry(
         else F.lit(default_reference),
     )
     known = wanted.join(references, reference_col, "left")
-    # one pass over the atoms: the residues of the reference, and whether the design has a structure at all
-    site = F.when(
-        F.array_contains("residues", F.col("res_seq")), F.struct("res_seq", F.struct("x", "y", "z", "b"))
-    )
+    # atoms are gathered per design before they meet it: only residues that some reference names are kept, and any
+    # atom at all says that the design has a structure. The list of all named residues is one row.
+    named = references.select(F.explode("residues").alias("r")).agg(F.collect_set("r").alias("_named"))
+    site = F.when(F.array_contains("_named", F.col("res_seq")), F.struct("res_seq", F.struct("x", "y", "z", "b").alias("p")))
     found = (
-        atoms.join(known.select(key, "residues"), key)
+        atoms.crossJoin(F.broadcast(named))
         .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(site)).alias("_at"), F.lit(True).alias("_has_structure"))
+        .agg(F.collect_list(site).alias("_sites"), F.lit(True).alias("_has_structure"))
     )
     joined = known.join(found, key, "left")
 
-    at = F.coalesce("_at", F.create_map().cast("map<int,struct<x:double,y:double,z:double,b:double>>"))
+    own = F.filter("_sites", lambda s: F.coalesce(F.array_contains("residues", s["res_seq"]), F.lit(False)))
+    at = F.coalesce(
+        F.map_from_entries(own), F.create_map().cast("map<int,struct<x:double,y:double,z:double,b:double>>")
+    )
     joined = joined.withColumn("_at", at)
     missing = F.filter("residues", lambda r: ~F.map_contains_key("_at", r))
     deviations = F.transform(
@@ -193,16 +197,29 @@ def check_geometry(
 # --- chimera library -------------------------------------------------------------------------------------------
 
 
-def block_product(small: DataFrame, large: DataFrame, blocks: int | None = None) -> DataFrame:
-    """All combinations of two frames as an equi-join on a block number.
+def block_product(left: DataFrame, right: DataFrame, blocks: int | None = None) -> DataFrame:
+    """All combinations of two frames as an equi-join on the cells of a grid.
 
-    The larger side is dealt into blocks and the smaller one copied to each, so every task holds a bounded share of
-    the output whatever the values are.
+    Each side is dealt over one edge of the grid and copied along the other, so either may be the large one and every
+    cell holds a bounded share of the output. A side with fewer rows than blocks is dealt row by row and gets an edge
+    no longer than its rows, which leaves the other edge to the larger side.
     """
-    blocks = blocks or large.sparkSession.sparkContext.defaultParallelism
-    copies = small.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = large.withColumn("_block", F.pmod(F.xxhash64(*large.columns), F.lit(blocks)).cast("int"))
-    return dealt.join(copies, "_block").drop("_block")
+    blocks = blocks or left.sparkSession.sparkContext.defaultParallelism
+    few = left.limit(blocks).count()
+    rows = max(1, min(few, math.isqrt(blocks))) if few == blocks else max(1, few)
+    columns = -(-blocks // rows)
+    dealt = left.withColumn("_row", _dealt(left, rows, few < blocks))
+    dealt = dealt.withColumn("_column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    other = right.withColumn("_column", F.pmod(F.xxhash64(*right.columns), F.lit(columns)).cast("int"))
+    other = other.withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    return dealt.join(other, ["_row", "_column"]).drop("_row", "_column")
+
+
+def _dealt(df: DataFrame, parts: int, one_by_one: bool) -> Column:
+    if one_by_one:
+        # fewer rows than blocks, so the window is bounded
+        return (F.row_number().over(Window.orderBy(F.xxhash64(*df.columns))) - 1).cast("int")
+    return F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")
 
 
 def generate_chimeras(
@@ -233,7 +250,7 @@ def generate_chimeras(
     guide_rows = guides.join(info, guides["guide_module"] == info["name"]).select(
         "guide_rank", "guide", "guide_module", "source_scaffold", "part_sequence"
     )
-    product = block_product(linkers, block_product(guide_rows, filled))
+    product = block_product(linkers, block_product(filled, guide_rows))
 
     names = F.concat(F.transform("_core", lambda m: m["name"]), F.array("guide_module"))
     sources = F.concat(F.transform("_core", lambda m: m["source_scaffold"]), F.array("source_scaffold"))
@@ -245,7 +262,8 @@ def generate_chimeras(
     sized = size_gate(built.withColumn("total_aa", F.length("full_sequence")), "total_aa", bounds)
 
     order = [F.asc("core_rank"), F.asc("guide_rank"), F.asc("linker_rank")]
-    numbered = rank_in_group(sized, [], order, "_rank")
+    sized = sized.withColumn("_key", F.concat_ws("/", "core_rank", "guide_rank", "linker_rank"))
+    numbered = rank_in_group(sized, [], order, "_rank", "_key", ["core_rank", "guide_rank", "linker_rank"])
     used = F.transform(
         F.arrays_zip("_names", "_sources"),
         lambda m, i: F.struct(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from winnow import constants as K
 from winnow.functions import scalars as S
 
-BROADCAST_ROWS = 10_000
 BLOCK_ROWS = 4_096
 CELLS = 2_000_000
 
@@ -34,48 +33,16 @@ def _nearest(candidates, known: np.ndarray, known_blank: np.ndarray, empty: str)
     return best
 
 
-def nearest_known(
-    candidates: DataFrame,
-    known: DataFrame,
-    key: str,
-    vector_col: str,
-    empty: str = "sum",
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def nearest_known(candidates: DataFrame, known: DataFrame, key: str, vector_col: str, empty: str = "sum") -> DataFrame:
     """Unrounded distance of every candidate with a vector to its nearest known vector.
 
-    A known set within `broadcast_rows` (checked) is sent to the executors once. A larger one is cut into blocks,
-    and so are the candidates: every pair of blocks is one bounded group, which returns one minimum per candidate,
-    so the shuffle carries blocks and minima, never pairs.
+    Both sides are cut into blocks by a hash of the key, so a hot label or source cannot overload one. Every pair of
+    blocks is one bounded group, which is multiplied as matrices and returns one minimum per candidate: the shuffle
+    carries blocks and minima, never pairs. A known set of one block copies nothing.
     """
-    spark = candidates.sparkSession
     id_type = candidates.schema[key].dataType.simpleString()
     have = candidates.filter(F.col(vector_col).isNotNull()).select(key, vector_col)
     vectors = known.filter(F.col(vector_col).isNotNull()).select(key, vector_col)
-    head = vectors.limit(broadcast_rows + 1).toPandas()
-    if len(head) == 0:
-        return have.select(key, F.lit(None).cast("double").alias("distance"))
-
-    if len(head) <= broadcast_rows:
-        shared = spark.sparkContext.broadcast(_unit_rows(head[vector_col], empty))
-
-        def near(batches):
-            matrix, blank = shared.value
-            for batch in batches:
-                if len(batch):
-                    yield pd.DataFrame(
-                        {key: batch[key], "distance": _nearest(batch[vector_col], matrix, blank, empty)}
-                    )
-
-        return have.mapInPandas(near, f"`{key}` {id_type}, distance double")
-
-    return _nearest_blocked(have, vectors, key, vector_col, empty, id_type)
-
-
-def _nearest_blocked(
-    have: DataFrame, vectors: DataFrame, key: str, vector_col: str, empty: str, id_type: str
-) -> DataFrame:
-    # block numbers come from hashes, so a hot label or source cannot overload a block
     known_blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
     candidate_blocks = max(1, -(-have.count() // (4 * BLOCK_ROWS)))
 
@@ -93,7 +60,7 @@ def _nearest_blocked(
 
     def near(batch: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
         if len(batch) == 0 or len(reference) == 0:
-            return pd.DataFrame({key: batch[key][:0], "distance": pd.Series(dtype=float)})
+            return pd.DataFrame({key: batch[key], "distance": pd.Series([None] * len(batch), dtype=float)})
         matrix, blank = _unit_rows(reference["known_vector"], empty)
         return pd.DataFrame({key: batch[key], "distance": _nearest(batch[vector_col], matrix, blank, empty)})
 
@@ -102,7 +69,7 @@ def _nearest_blocked(
         .cogroup(right.groupBy("known_cb", "known_kb"))
         .applyInPandas(near, f"`{key}` {id_type}, distance double")
     )
-    return partial.groupBy(key).agg(F.min("distance").alias("distance"))
+    return partial.groupBy(key).agg(F.min(F.when(~F.isnan("distance"), F.col("distance"))).alias("distance"))
 
 
 def novelty_gate(
@@ -113,7 +80,6 @@ def novelty_gate(
     vector_col: str = "embedding",
     threshold: float = K.GATE_NOVELTY,
     empty: str = "sum",
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Keep candidates farther than the threshold from every known member.
 
@@ -121,7 +87,7 @@ def novelty_gate(
     """
     known = embeddings.join(known_ids.select(key).distinct(), key, "left_semi")
     wanted = embeddings.join(df.select(key).distinct(), key, "left_semi")
-    distances = nearest_known(wanted, known, key, vector_col, empty, broadcast_rows)
+    distances = nearest_known(wanted, known, key, vector_col, empty)
     joined = df.join(distances, key, "left")
     return (
         joined.withColumns(
@@ -168,10 +134,8 @@ def mean_pairwise_identity(df: DataFrame, sequence_col: str) -> DataFrame:
 
     texts = df.filter(F.length(sequence_col) > 0).select(F.col(sequence_col).alias("s"))
     counted = (
-        texts.mapInPandas(cells, "cell long, len long, n long")
-        .repartition("cell")  # one shuffle serves the grouping and the window
-        .groupBy("cell", "len")
-        .agg(F.sum("n").alias("n"))
+        # counts are added up in the tasks first; a cell then has one row per length, so no cell is hot in the window
+        texts.mapInPandas(cells, "cell long, len long, n long").groupBy("cell", "len").agg(F.sum("n").alias("n"))
     )
     shorter = Window.partitionBy("cell").orderBy("len").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(shorter), F.lit(0))

@@ -16,7 +16,21 @@ from winnow.functions.scalars import number
 from winnow.session import materialise
 
 
-GROUP_ROWS = 1_000_000
+def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[Column], weight: Column, out_col: str) -> DataFrame:
+    """Sum of `weight` over the rows of the group up to and including the row, whatever the size of a group.
+
+    The frame should be narrow. It is range-partitioned on group and order and written once; totals are taken inside the
+    partitions and raised by those of the partitions before, one row per partition and group.
+    """
+    ranged = df.withColumn("_w", weight).repartitionByRange(*[F.col(g).asc() for g in groups], *order)
+    stored = materialise(ranged.withColumn("_part", F.spark_partition_id()), "rank")
+    sums = stored.groupBy("_part", *groups).agg(F.sum("_w").alias("_n"))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", *groups, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = stored.withColumn("_upto", F.sum("_w").over(inside))
+    total = (F.col("_upto") + F.col("_before")).cast("long").alias(out_col)
+    return null_safe_join(local, before, ["_part", *groups]).select(*df.columns, total)
 
 
 def rank_in_group(
@@ -24,32 +38,20 @@ def rank_in_group(
     groups: Sequence[str],
     order: Sequence[Column],
     rank_col: str = "rank",
-    largest_group: int | None = None,
+    key: str | None = None,
+    order_columns: Sequence[str] = (),
 ) -> DataFrame:
     """Exact 1..n rank by `order` within each group (or over all rows); `order` must end in a unique key.
 
-    A caller that knows the size of the largest group gets a plain window while that size fits one task.
+    With `key`, a unique column, and the columns that `order` reads, the input is written once and only those columns
+    are ranked; the ranks join the rest by the key. Without it the whole rows are, which suits narrow frames.
     """
-    if groups and largest_group is not None and largest_group <= GROUP_ROWS:
-        window = Window.partitionBy(*groups).orderBy(*order)
-        return df.withColumn(rank_col, F.row_number().over(window).cast("long"))
-    keys = [F.col(g) for g in groups]
-    ranged = df.repartitionByRange(*[k.asc() for k in keys], *order).withColumn("_part", F.spark_partition_id())
-    stored = materialise(ranged, "rank")
-
-    counts = stored.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", *groups, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-
-    local = stored.withColumn("_rn", F.row_number().over(Window.partitionBy("_part", *groups).orderBy(*order)))
-    left, right = local.alias("l"), offsets.alias("o")
-    same = F.col("l._part") == F.col("o._part")
-    for g in groups:
-        same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"o.{g}"))
-    return left.join(right, same).select(
-        *[F.col(f"l.{c}") for c in df.columns],
-        (F.col("l._rn") + F.col("o._before")).cast("long").alias(rank_col),
-    )
+    if key is None:
+        return running_totals(df, groups, order, F.lit(1), rank_col)
+    source = materialise(df, "rank-input")
+    narrow = source.select(*dict.fromkeys([*groups, *order_columns, key]))
+    ranked = running_totals(narrow, groups, order, F.lit(1), rank_col).select(key, rank_col)
+    return null_safe_join(source, ranked, [key]).select(*df.columns, rank_col)
 
 
 def rank_top(df: DataFrame, order: Sequence[Column], limit: int, rank_col: str = "rank") -> DataFrame:
@@ -59,30 +61,41 @@ def rank_top(df: DataFrame, order: Sequence[Column], limit: int, rank_col: str =
 
 
 def assign_ids(
-    df: DataFrame, prefix: str, key: str, order: Sequence[Column], id_col: str = "design_id", key_length: int = 8
+    df: DataFrame,
+    prefix: str,
+    key: str,
+    order: Sequence[Column],
+    id_col: str = "design_id",
+    key_length: int = 8,
+    row_key: str | None = None,
+    order_columns: Sequence[str] = (),
 ) -> DataFrame:
-    """Ids such as B_001_ABCDEFGH in rank order."""
+    """Ids such as B_001_ABCDEFGH in rank order; `row_key` and `order_columns` as in `rank_in_group`."""
     text = F.format_string(f"{prefix}_%03d_%s", F.col("_rank"), F.substring(F.col(key).cast("string"), 1, key_length))
-    return rank_in_group(df, [], order, "_rank").withColumn(id_col, text).drop("_rank")
+    return rank_in_group(df, [], order, "_rank", row_key, order_columns).withColumn(id_col, text).drop("_rank")
 
 
-def medians(df: DataFrame, groups: Sequence[str], value_col: str, out_col: str = "median") -> DataFrame:
-    """Exact median of the non-null values per group, without holding a group in one task.
+def medians(
+    df: DataFrame, groups: Sequence[str], value_col: str, out_col: str = "median", also: Sequence[Column] = ()
+) -> DataFrame:
+    """Exact median of the non-null values per group, with further aggregates of the same pass.
 
-    A sketch brackets the middle of each group; only values inside the bracket are counted by value and ranked.
+    The input is read twice. The first pass sketches the middle of each group and takes the aggregates in `also`; the
+    second counts the values inside the bracket, which are then ranked over range partitions, so no group and no part
+    of one has to fit a task.
     """
     keys = list(groups) or ["_all"]
     source = df if groups else df.withColumn("_all", F.lit(1))
     # no filter on the value: it would be pushed below the projection and copy the value's whole expression
+    middle = F.percentile_approx(number(value_col), F.array(F.lit(0.499), F.lit(0.501)), 10000)
+    first = source.groupBy(*keys).agg(F.count(number(value_col)).alias("_n"), middle.alias("_q"), *also)
+    # one row per group, computed once
+    first = materialise(first, "sketch")
+    bounds = first.select(*keys, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
     data = source.select(*keys, number(value_col).alias("_v"))
-    sketch = data.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", F.array(F.lit(0.499), F.lit(0.501)), 10000).alias("_q"),
-    )
-    bounds = sketch.select(*keys, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
     # without groups the bounds are one row; with groups AQE picks the join from their measured size
     near = null_safe_join(data, bounds if groups else F.broadcast(bounds), keys)
-    # values below the bracket collapse to one row per group before the ranking window
+    # values below the bracket collapse to one row per group before the ranking
     slot = F.when(F.col("_v") < F.col("_lo"), F.lit(None)).otherwise(F.col("_v"))
     counted = (
         near.filter(F.coalesce(F.col("_v") <= F.col("_hi"), F.lit(False)))
@@ -90,22 +103,22 @@ def medians(df: DataFrame, groups: Sequence[str], value_col: str, out_col: str =
         .groupBy(*keys, "_n", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    upto = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(upto))
+    ranked = running_totals(counted, keys, [F.asc_nulls_first("_v")], F.col("_c"), "_total")
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
 
     def at(rank: Column) -> Column:
-        hit = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
+        hit = (F.col("_total") >= rank) & (F.col("_total") - F.col("_c") < rank)
         return F.max(F.when(hit, F.col("_v")))
 
-    middle = (at(low) + at(high)) / 2.0
-    return ranked.groupBy(*keys).agg(middle.alias(out_col)).select(*groups, out_col)
+    found = ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2.0).alias(out_col))
+    rest = first.drop("_n", "_q")
+    return null_safe_join(rest, found, keys, "left").select(*groups, out_col, *[c for c in rest.columns if c not in keys])
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     l, r = left.alias("l"), right.alias("r")
     same = F.lit(True)
     for k in keys:
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     extra = [F.col(f"r.{c}") for c in right.columns if c not in keys]
-    return l.join(r, same).select(*[F.col(f"l.{c}") for c in left.columns], *extra)
+    return l.join(r, same, how).select(*[F.col(f"l.{c}") for c in left.columns], *extra)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from winnow import constants as K
 from winnow.functions import scalars as S
 from winnow.functions.sequences import mutation_fingerprint
-from winnow.operators.numbering import rank_in_group, rank_top
+from winnow.operators.numbering import null_safe_join, rank_in_group, rank_top
 from winnow.session import materialise
 
 
@@ -183,7 +183,8 @@ def pad_strata(
     order = by_score(score_col, id_col)
     counts = result.groupBy(stratum_col).agg(F.count(F.lit(1)).alias("_have"))
     best = cap_per_group(df, stratum_col, order, min_per_strategy)
-    short = best.join(F.broadcast(counts), stratum_col, "left").filter(
+    # a NULL stratum is a stratum like any other
+    short = null_safe_join(best, F.broadcast(counts), [stratum_col], "left").filter(
         F.coalesce("_have", F.lit(0)) < min_per_strategy
     )
     extras = (
@@ -256,7 +257,7 @@ def diverse_top(
 
 def catalog_rank(df: DataFrame, score_col: str = "score", id_col: str = "design_id", rank_col: str = "rank") -> DataFrame:
     """1..n over the whole catalog, without a single-task window."""
-    return rank_in_group(df, [], by_score(score_col, id_col), rank_col)
+    return rank_in_group(df, [], by_score(score_col, id_col), rank_col, id_col, [score_col])
 
 
 def beaters(

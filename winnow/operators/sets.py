@@ -12,13 +12,17 @@ from winnow.operators.joins import merge_sources
 union_sources = merge_sources
 
 
-def dedupe_by_source(df: DataFrame, key: str, source_col: str, priority: Sequence[str], tie: str | None = None) -> DataFrame:
-    """One row per key, from the first source in priority order; sources outside the list come last."""
+def dedupe_by_source(df: DataFrame, key: str, source_col: str, priority: Sequence[str], tie: str | Sequence[str] | None = None) -> DataFrame:
+    """One row per key, from the first source in priority order; sources outside the list come last.
+
+    Rows of one key and source are told apart by the `tie` columns; give enough of them for a full order.
+    """
     rank = F.coalesce(
         F.nullif(F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(source_col)), F.lit(0)),
         F.lit(len(priority) + 1),
     )
-    order = [rank.asc(), *([F.asc(tie)] if tie else [])]
+    ties = [tie] if isinstance(tie, str) else list(tie or [])
+    order = [rank.asc(), *[F.asc_nulls_last(c) for c in ties]]
     first = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from winnow import constants as K
 from winnow.operators.gates import (
@@ -45,7 +46,8 @@ def ortholog_funnel(
     labelled = [(name, normalize_columns(df)) for name, df in catalogs]
     merged = merge_sources(labelled)
     if len(labelled) > 1:
-        merged = dedupe_by_source(merged, key, "source", [name for name, _ in labelled])
+        ties = sorted(f.name for f in merged.schema if f.name not in (key, "source") and not isinstance(f.dataType, MapType))
+        merged = dedupe_by_source(merged, key, "source", [name for name, _ in labelled], ties)
     survivors = apply_gates(merged, SOURCE_GATES[:2])
     if metadata is not None:
         survivors = enrich_metadata(survivors, metadata, key)
@@ -65,7 +67,7 @@ def ortholog_funnel(
         survivors = skip_gate(survivors, "7")
 
     numbered = assign_ids(
-        has_sequence(survivors), "B", key, by_score("composite_prob", key)
+        has_sequence(survivors), "B", key, by_score("composite_prob", key), row_key=key, order_columns=["composite_prob"]
     )
     return numbered.withColumns(
         {"strategy": F.lit(K.STRATEGY_ORTHOLOG), "gate_5_status": F.lit(K.STRUCTURE_DEFERRED)}

@@ -1,18 +1,21 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings, the package on the executors, and the shared scratch folder."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "winnow", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with adaptive execution, skew handling and UTC timestamps."""
+    """Session with adaptive execution, skew handling and UTC timestamps, whose executors can import this package."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -30,7 +33,9 @@ def build_session(app: str = "winnow", master: str | None = None, **conf: str) -
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -59,11 +64,26 @@ def materialise(df: DataFrame, label: str = "frame") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores when the scan has fewer splits than cores, as with one-row-group files.
+def release(df: DataFrame) -> None:
+    """Delete the files of a frame that `materialise` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    Tables with a split per core or more are returned as they are, so large scans gain no shuffle. Filters and
-    column pruning still reach the scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, which import it to run the numpy scans."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="winnow-package-"), "winnow.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

@@ -19,14 +19,16 @@ def clear_nan(df: DataFrame) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None) -> DataFrame:
-    """Catalog with missing values as NULL. CSV has a header and needs no inference pass when a schema is given."""
+    """Catalog with its columns as stored, so that filters reach the scan. CSV has a header and needs no inference pass
+    when a schema is given; its NaN texts are NULL. Catalogs of `write_catalog` hold no NaN; gates and scores treat NaN
+    like NULL, and `clear_nan` is there for other readers."""
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"fmt must be 'parquet' or 'csv'; got {fmt!r}")
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", False).option("nanValue", "NaN")
+        reader = reader.option("header", True).option("multiLine", False).option("nullValue", "NaN")
     try:
-        return clear_nan(getattr(reader, fmt)(path))
+        return getattr(reader, fmt)(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"catalog not found: {path}. Write it with write_catalog first.") from error
@@ -40,9 +42,9 @@ def write_catalog(
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
 ) -> list[str]:
-    """Available columns as zstd Parquet or as CSV; returns the columns written."""
+    """Available columns as zstd Parquet or as CSV, NaN as NULL; returns the columns written."""
     available = [c for c in (columns or df.columns) if c in df.columns]
-    writer = df.select(*available).write
+    writer = clear_nan(df.select(*available)).write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":

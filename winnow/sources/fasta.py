@@ -4,25 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions.sequences import wrap_text
 
 
-def parse_records(records: DataFrame, value_col: str = "value") -> DataFrame:
+def parse_records(records: DataFrame, value_col: str = "value", starts_col: str | None = None) -> DataFrame:
     """id, header and sequence from texts split at line-initial '>'.
 
-    Only the first record of a file still has its '>'. Blank records and comment blocks ahead of the first header
-    are dropped.
+    `starts_col` marks the texts that stand at the start of a file. Only such a text can still have its own '>'; without
+    one it is what precedes the file's first record, and is dropped. Other texts are records whatever they begin with.
+    Without the column every text is a record, with or without its '>'.
     """
     text = F.regexp_replace(F.regexp_replace(F.col(value_col), "\r", ""), "^>", "")
     header = F.substring_index(text, "\n", 1)
     body = F.when(F.instr(text, "\n") > 0, F.substr(text, F.instr(text, "\n") + 1)).otherwise("")
     first = F.substring_index(F.regexp_replace(F.ltrim(header), r"\s.*$", ""), "\n", 1)
-    return records.filter(~F.ltrim(F.col(value_col)).rlike(r"^#") & (F.length(F.trim(value_col)) > 0)).select(
-        first.alias("id"), F.trim(header).alias("header"), F.regexp_replace(body, r"\s", "").alias("sequence")
-    )
+    kept = records.filter(F.length(F.trim(value_col)) > 0)
+    if starts_col:
+        kept = kept.filter(~F.col(starts_col) | F.startswith(F.col(value_col), F.lit(">")))
+    return kept.select(first.alias("id"), F.trim(header).alias("header"), F.regexp_replace(body, r"\s", "").alias("sequence"))
 
 
 def parse_header_tags(df: DataFrame, header_col: str = "header", tags: Sequence[str] | None = None) -> DataFrame:
@@ -42,8 +46,23 @@ def parse_header_tags(df: DataFrame, header_col: str = "header", tags: Sequence[
     return out.withColumns({t: F.try_element_at("tags", F.lit(t)) for t in tags}).drop("tags")
 
 
+def _mark_file_starts(batches):
+    """Add _starts: whether a text is the first one of its file. Batches come in the order of the scan."""
+    last = None
+    for batch in batches:
+        paths = batch.column("_file")
+        before = pa.concat_arrays([pa.array([last], paths.type), paths[:-1]])
+        changed = pc.fill_null(pc.not_equal(paths, before), True)
+        starts = pc.and_(changed, pc.equal(batch.column("_block"), 0))
+        last = paths[-1].as_py() if len(paths) else last
+        yield pa.RecordBatch.from_arrays([batch.column("value"), starts], ["value", "_starts"])
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return parse_records(spark.read.option("lineSep", "\n>").text(path))
+    """Records of FASTA files. What precedes a file's first record is told from records by its place, not by its text."""
+    texts = spark.read.option("lineSep", "\n>").text(path)
+    placed = texts.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return parse_records(placed.mapInArrow(_mark_file_starts, "value string, _starts boolean"), starts_col="_starts")
 
 
 def format_records(df: DataFrame, id_col: str, sequence_col: str, tags: Sequence[tuple[str, str, str]] = (), width: int = 60) -> DataFrame:

@@ -2,23 +2,56 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CHUNK = 8 << 20
 LINE = r"^([0-9a-f]{64})  (.+)$"
 
 
 def checksum_manifest(spark: SparkSession, folder: str, exclude: str = "checksums.sha256") -> DataFrame:
-    """path below the folder, length and digest of every file, by path."""
+    """path below the folder, length and digest of every file, by path.
+
+    The listing carries no contents. Each file is streamed through the digest in chunks by the task that has its path,
+    so its size is not bounded by a row; the paths are dealt over all tasks by hash.
+    """
     root = folder.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     bare = F.regexp_replace("path", r"^file:/*", "/")
     start = F.instr(bare, root.replace("file:", "") + "/") + F.lit(len(root.replace("file:", "")) + 1)
     relative = F.substr(bare, start)
-    return (
-        files.select(relative.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
-        .filter(F.substring_index("path", "/", -1) != exclude)
-        .orderBy("path")
+    listed = files.select(F.col("path").alias("uri"), relative.alias("path"), "length")
+    listed = listed.filter(F.substring_index("path", "/", -1) != exclude).repartition("uri")
+    return listed.mapInPandas(_digests, "path string, length long, sha256 string").orderBy("path")
+
+
+def _digests(batches):
+    for batch in batches:
+        yield pd.DataFrame({"path": batch["path"], "length": batch["length"], "sha256": [_file_digest(u) for u in batch["uri"]]})
+
+
+def _file_digest(uri: str) -> str:
+    """Digest of a file read in chunks."""
+    if uri.startswith("file:"):
+        store, path = arrow_fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    else:
+        store, path = arrow_fs.FileSystem.from_uri(uri.replace("s3a:", "s3:", 1))
+    digest = hashlib.sha256()
+    with store.open_input_stream(path) as stream:
+        while chunk := stream.read(CHUNK):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
+def content_manifest(df: DataFrame, path_col: str, content_col: str) -> DataFrame:
+    """path, length and digest of contents that are already rows."""
+    data = F.col(content_col).cast("binary")
+    return df.select(
+        F.col(path_col).alias("path"), F.octet_length(data).cast("long").alias("length"), F.sha2(data, 256).alias("sha256")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,26 +49,53 @@ def dedupe_ids(stream: DataFrame, key: str) -> DataFrame:
     return stream.dropDuplicates([key])
 
 
-def _existing(spark: SparkSession, path: str, key: str, key_type: str) -> DataFrame:
+BUCKETS = 64
+
+
+def _stored(spark: SparkSession, table: str) -> DataFrame | None:
+    """The result table, or None if nothing has been written yet. Every other error is the caller's to see."""
     try:
-        return spark.read.parquet(path).select(key)
-    except AnalysisException:
-        # nothing has been written yet
-        return spark.createDataFrame([], f"`{key}` {key_type}")
+        return spark.read.option("basePath", table).parquet(table)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def foreach_batch_upsert(source: DataFrame, transform: Transform, table: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Append only ids missing from the result table. Each batch has its own folder, so a replayed batch overwrites
-    itself instead of appending twice."""
-    key_type = source.schema[key].dataType.simpleString()
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """Name of a checkpoint's batches, kept beside it: batch numbers start anew with every checkpoint."""
+    folder = f"{checkpoint.rstrip('/')}-run"
+    try:
+        return spark.read.text(folder).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    name = uuid.uuid4().hex
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(folder)
+    return name
+
+
+def foreach_batch_upsert(
+    source: DataFrame, transform: Transform, table: str, checkpoint: str, key: str, buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Append only ids missing from the result table.
+
+    A batch has a folder of its own, named by the run and the batch, so a replayed batch overwrites itself and nothing
+    else. The table is partitioned by a hash of the id, and a batch reads the ids of its own buckets only. `buckets`
+    must stay the same for a table. One query at a time writes a table.
+    """
+    run = _run_id(source.sparkSession, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        others = _existing(spark, table, key, key_type)
-        if "batch" in _columns(spark, table):
-            others = spark.read.parquet(table).filter(F.col("batch") != batch_id).select(key)
-        fresh = skip_done(transform(batch).dropDuplicates([key]), [others], key)
-        fresh.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        fresh = transform(batch).dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        stored = _stored(spark, table)
+        if stored is not None:
+            touched = [row[0] for row in fresh.select("bucket").distinct().collect()]  # at most `buckets` numbers
+            own = (F.col("run") == run) & (F.col("batch") == batch_id)
+            fresh = skip_done(fresh, [stored.filter(F.col("bucket").isin(touched) & ~own).select(key)], key)
+        target = f"{table}/run={run}/batch={batch_id}"
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(target)
 
     return (
         source.writeStream.foreachBatch(write)
@@ -77,13 +105,6 @@ def foreach_batch_upsert(source: DataFrame, transform: Transform, table: str, ch
     )
 
 
-def _columns(spark: SparkSession, table: str) -> list[str]:
-    try:
-        return spark.read.parquet(table).columns
-    except AnalysisException:
-        return []
-
-
 def progress_counts(stream: DataFrame, flag_col: str, group_col: str | None = None) -> DataFrame:
     """Running totals of processed and passed rows."""
     totals = [F.count(F.lit(1)).alias("n_processed"), F.count_if(F.col(flag_col)).alias("n_passed")]
