@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import broadcast_if_small, read_bytes, store, write_bytes
+from winnow.llm.shared import broadcast_if_small, discard, read_bytes, store, write_bytes
 from winnow.llm.tokens import encoder
 
 END_ID = 1
@@ -123,16 +123,32 @@ def decode_ids(block: bytes | memoryview, table: Table, first: int = 0, last: in
     return out
 
 
-def count_ids(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """(id, n) over all documents, end ids included; every task sends one row per id it has seen."""
+def id_width(tokenizer: str) -> str:
+    """Two bytes for vocabularies of up to 65,536 ids, else four."""
+    return "<u2" if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def token_ids(docs: DataFrame, tokenizer: str, width: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, ids): the ids of whole texts and the end id, packed in the given width."""
+
+    def run(batches):
+        enc, end = encoder(tokenizer), np.array([END_ID], width).tobytes()
+        for batch in batches:
+            found = [np.frombuffer(enc.encode(value.as_py()), "<u4").astype(width).tobytes() + end for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "ids"])
+
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, ids binary")
+
+
+def count_ids(ids: DataFrame, width: str) -> DataFrame:
+    """(id, n) over all documents; every task sends one row per id it has seen."""
 
     def run(batches):
-        enc, total = encoder(tokenizer), np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                ids = np.frombuffer(enc.encode(value.as_py()), "<u4")
-                part = np.bincount(ids, minlength=END_ID + 1)
-                part[END_ID] += 1
+                part = np.bincount(np.frombuffer(value.as_buffer(), width))
                 if len(part) > len(total):
                     part[: len(total)] += total
                     total = part
@@ -141,13 +157,13 @@ def count_ids(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
-    return docs.select(F.col(text)).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _block(docs: list[tuple[int | None, bytes]], table: Table) -> bytes:
+def _block(docs: list[tuple[int | None, np.ndarray]], table: Table) -> bytes:
     """Document index and coded ids of one block."""
-    stream = np.frombuffer(b"".join(ids for _, ids in docs), "<u4")
-    lengths = np.array([len(ids) // 4 for _, ids in docs], "<u4")
+    stream = np.concatenate([ids for _, ids in docs]).astype(np.uint32)
+    lengths = np.array([len(ids) for _, ids in docs], "<u4")
     names = np.array([d or 0 for d, _ in docs], "<i8")
     known = np.array([d is not None for d, _ in docs], np.uint8)
     coded = encode_ids(stream, table)
@@ -179,36 +195,36 @@ def _blocks(content: bytes):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> None:
     """Encode whole texts and write `path`/table and `path`/blocks, in ascending doc_id order over the part files.
 
-    Two passes: the ids are counted to make the shared table (bounded by the vocabulary), then the texts are range
-    partitioned by id, sorted inside the partitions and coded in blocks of about `BLOCK_IDS` ids. Null text is empty, so
-    it has the end id alone; null ids come first; documents with equal ids keep no order among themselves.
+    Texts are tokenized once and their packed ids stored; the ids are counted to make the shared table (bounded by the
+    vocabulary), range partitioned by doc_id, sorted inside the partitions and coded in blocks of about `BLOCK_IDS` ids.
+    Null text is empty, so it has the end id alone; null ids come first; documents with equal ids keep no order among
+    themselves.
     """
-    spark = docs.sparkSession
-    counts = {r["id"]: r["n"] for r in count_ids(docs, tokenizer, text).collect()}
+    spark, width = docs.sparkSession, id_width(tokenizer)
+    stored = store(token_ids(docs, tokenizer, width, text, doc_id), "token-ids")
+    counts = {r["id"]: r["n"] for r in count_ids(stored, width).collect()}
     dense = np.zeros(max(counts, default=-1) + 1, np.int64)
     dense[list(counts)] = list(counts.values())
     freq = normalise(dense)
     rows = [(i, int(f)) for i, f in enumerate(freq) if f]
     spark.createDataFrame(rows, "id int, freq long").write.parquet(f"{path}/table")
-    end = END_ID.to_bytes(4, "little")
 
     def run(batches):
-        enc, table = encoder(tokenizer), Table(freq)
-        held, size = [], 0
+        table, held, size = Table(freq), [], 0
         for batch in batches:
             for d, value in zip(batch.column(0), batch.column(1)):
-                ids = enc.encode(value.as_py()) + end
+                ids = np.frombuffer(value.as_buffer(), width)
                 held.append((d.as_py(), ids))
-                size += len(ids) // 4
+                size += len(ids)
                 if size >= BLOCK_IDS:
                     yield pa.RecordBatch.from_arrays([pa.array([_block(held, table)], pa.binary())], ["value"])
                     held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([_block(held, table)], pa.binary())], ["value"])
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = stored.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     write_bytes(ordered.mapInArrow(run, "value binary"), f"{path}/blocks", SEPARATOR)
+    discard(stored)
 
 
 def read_table(spark: SparkSession, path: str) -> np.ndarray:

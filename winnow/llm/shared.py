@@ -22,7 +22,7 @@ def word_count(text: str | Column) -> Column:
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write a frame below the shared folder and read it back: lineage is cut and later passes read the same rows."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
