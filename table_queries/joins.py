@@ -280,6 +280,23 @@ def u5_table(spark, folder):
     return U.exclude_known_sequences(docs, table(spark, folder, "benchmark").select("text"), "text").select("doc_id")
 
 
+_SCAFFOLD_ROWS = ", ".join(
+    f"({i}, '{s[0]}', {'NULL' if s[3] is None else repr(s[3]) + 'e0'}, {len(s[7])})" for i, s in enumerate(K.SCAFFOLDS)
+)
+
+
+@query(
+    "S15_registry_scaffolds",
+    f"""WITH r(i, scaffold, score, n_modules) AS (VALUES {_SCAFFOLD_ROWS})
+    SELECT s_suppkey, scaffold, score, n_modules::INTEGER AS n_modules FROM supplier JOIN r ON i = s_suppkey % {len(K.SCAFFOLDS)}""",
+)
+def s15_scaffolds(spark, folder):
+    names = F.array(*[F.lit(s[0]) for s in K.SCAFFOLDS])
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", F.get(names, (F.col("s_suppkey") % len(K.SCAFFOLDS)).cast("int")).alias("id"))
+    joined = J.lookup_required(suppliers, load_registry(spark, "scaffolds"), "id")
+    return joined.select("s_suppkey", F.col("id").alias("scaffold"), "score", F.size("modules").alias("n_modules"))
+
+
 @query("S15_registry_geometry", "SELECT vec_id, label, CASE WHEN label % 3 = 0 THEN 5 ELSE 1 END AS n_sites FROM embeddings")
 def s15_geometry(spark, folder):
     names = F.array(*[F.lit(x) for x in K.GEOMETRY_RESIDUES])

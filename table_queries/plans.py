@@ -13,6 +13,7 @@ from winnow.operators import gates as G
 from winnow.operators.joins import generate_chimeras, slice_modules
 from winnow.plans import funnel, release, triage, variants
 from winnow.session import scratch_path
+from winnow.sources.fasta import parse_header_tags, read_fasta
 from winnow.sources.predictions import parse_atoms
 
 
@@ -194,6 +195,29 @@ def e6(spark, folder):
     return variants.select_variants(proposals, 50, parents=parents).drop("mutations_introduced")
 
 
+@query(
+    "E6_write_variants",
+    """SELECT 'V' || lpad(o_orderkey::VARCHAR, 8, '0') AS id, round(o_totalprice / 1e6, 4)::DOUBLE AS gain,
+      (o_custkey % 10)::INTEGER AS n_mut FROM orders""",
+)
+def e6_sink(spark, folder):
+    """Variants through the sink and back out of its FASTA."""
+    orders = table(spark, folder, "orders")
+    made = orders.select(
+        F.concat(F.lit("V"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("variant_id"),
+        F.lit("MKT").alias("protein_sequence"),
+        (F.col("o_totalprice") / 1e6).alias("predicted_s_immuno_delta"),
+        (F.col("o_custkey") % 10).cast("int").alias("total_mutations"),
+        F.lit(1.5).alias("predicted_ddg_total"),
+        (F.col("o_totalprice") > 1e5).alias("passes_gain"),
+    )
+    path = scratch_path(spark, "variants")
+    variants.write_variants(made, path)
+    back = parse_header_tags(read_fasta(spark, f"{path}/variants_fasta"), tags=["delta_s_immuno", "n_mut"])
+    gain = F.round(F.col("delta_s_immuno").cast("double"), 4)
+    return back.select("id", gain.alias("gain"), F.col("n_mut").cast("int").alias("n_mut"))
+
+
 @query(
     "E7_chimera_library",
     f"""WITH d AS (SELECT doc_id, {sql_letters('text')} AS s FROM documents),

@@ -318,7 +318,7 @@ def p21(spark, folder):
 def p22(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
     order = [F.desc("o_totalprice"), F.asc("o_orderkey")]
-    return assign_ids(orders, "B", "o_orderkey", order, row_key="o_orderkey", order_columns=["o_totalprice"]).select("o_orderkey", "design_id")
+    return assign_ids(orders, "B", "o_orderkey", order, order_columns=["o_totalprice", "o_orderkey"]).select("o_orderkey", "design_id")
 
 
 _MASS = " ".join(f"WHEN '{r}' THEN {m}" for r, m in K.RESIDUE_MASS.items())

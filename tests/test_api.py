@@ -24,6 +24,7 @@ def test_chimeras_use_their_arguments(spark, tmp_path):
     designer = Designer(spark, str(tmp_path))
     rows = designer.compose_chimera("phiC31", "IscB_omega").collect()
     assert len(rows) == 2 and {r["provenance"]["catalytic_core"] for r in rows} == {"phiC31_serine"}
+    assert designer.compose_chimera("TwinPE", "IscB_omega").count() == 0
     for bad in (("none", "IscB_omega"), ("Cre", "none")):
         with pytest.raises(ValueError, match="available"):
             designer.compose_chimera(*bad)

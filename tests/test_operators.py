@@ -211,6 +211,20 @@ def test_geometry(spark):
     assert got["part"]["active_site_valid"] is False and got["part"]["active_site_missing_residues"] == [2]
     assert got["none"]["active_site_valid"] is None and got["none"]["active_site_missing_residues"] == []
     assert got["lone"]["active_site_valid"] and got["weak"]["active_site_valid"] is False
+    assert got["near"]["catalytic_residue_plddt"] == {1: 9.0, 2: 9.0} and got["part"]["catalytic_residue_plddt"] == {}
+    structures = atoms(spark, [("R", 1, 0, 9), ("R", 2, 11.6, 9), ("R", 7, 50, 9)]).withColumnRenamed("design_id", "reference_id")
+    own = J.derive_references(refs, structures)
+    assert {r["reference_id"]: [tuple(p) for p in r["pairs"]] for r in own.collect()} == {"R": [(1, 2, 11.6)], "S": []}
+    got = {r["design_id"]: r for r in J.check_geometry(df, a, own).collect()}
+    assert got["near"]["active_site_max_dev"] == 0.1 and got["far"]["active_site_max_dev"] == 0.0
+
+
+def test_block_product_fills_the_grid_whichever_side_is_small(spark):
+    few = spark.range(5).withColumnRenamed("id", "a")
+    many = spark.range(400).withColumnRenamed("id", "b")
+    for left, right in ((few, many), (many, few)):
+        out = J.block_product(left, right, blocks=40)
+        assert out.count() == 2000 and out.distinct().count() == 2000
 
 
 def test_default_chimera_library(spark):
@@ -287,7 +301,7 @@ def test_rank_in_group_with_a_hot_group(spark):
     for g in {r[1] for r in rows}:
         part = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
         expected.update({r[0]: i + 1 for i, r in enumerate(part)})
-    for narrow in ({}, {"key": "id", "order_columns": ["v"]}):
+    for narrow in ({}, {"order_columns": ["v", "id"]}):
         got = R1.rank_in_group(df, ["g"], order, **narrow)
         assert got.columns == ["id", "g", "v", "rank"]
         assert {r["id"]: r["rank"] for r in got.collect()} == expected

@@ -68,8 +68,8 @@ def test_missing_catalog_has_a_hint(spark, tmp_path):
 
 def test_catalog_schema_and_registries(spark):
     assert len(catalog_schema().names) == 27
-    sizes = {n: catalog.load_registry(spark, n).count() for n in ("modules", "cores", "guides", "linkers", "weights", "predictions", "alleles", "geometry")}
-    assert sizes == {"modules": 14, "cores": 5, "guides": 3, "linkers": 2, "weights": 15, "predictions": 5, "alleles": 7, "geometry": 3}
+    sizes = {n: catalog.load_registry(spark, n).count() for n in ("scaffolds", "modules", "cores", "guides", "linkers", "weights", "predictions", "alleles", "geometry")}
+    assert sizes == {"scaffolds": 12, "modules": 14, "cores": 5, "guides": 3, "linkers": 2, "weights": 15, "predictions": 5, "alleles": 7, "geometry": 3}
     with pytest.raises(ValueError):
         catalog.load_registry(spark, "other")
 

@@ -31,8 +31,11 @@ class Designer:
         return select_designs(self.get_catalog(), strategy, require_free, top_k, label_col="tier_a", **columns)
 
     def compose_chimera(self, scaffold: str, guide_module: str) -> DataFrame:
-        """Designs whose catalytic modules come from the scaffold and whose guide is the module."""
-        scaffolds = sorted({m[1] for m in K.MODULES})
+        """Designs whose catalytic modules come from the scaffold and whose guide is the module.
+
+        Any registered scaffold may be asked for; one that contributes no catalytic core gives no design.
+        """
+        scaffolds = sorted(s[0] for s in K.SCAFFOLDS)
         if scaffold not in scaffolds:
             raise ValueError(f"unknown scaffold {scaffold!r}; available: {scaffolds}")
         guides = sorted({label for label, _ in K.RNA_MODULES})

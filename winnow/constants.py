@@ -101,8 +101,12 @@ SCAN_ALPHABET = "ACDEFHIKLMNQRSTVWY"
 SURFACE_RESIDUES = "KREDQNSTHYLVIMFWY"
 CATALYTIC_POSITIONS = (11, 60, 102, 105, 241)
 CATALYTIC_LENGTH = 342
-FROZEN_RANGES = ((9, 13), (58, 62), (100, 106), (239, 243), (111, 130), (135, 150))
-FROZEN_POSITIONS = tuple(p for first, last in FROZEN_RANGES for p in range(first, last + 1))
+# Positions that no substitution may touch.
+FROZEN_POSITIONS = (
+    9, 10, 11, 12, 13, 58, 59, 60, 61, 62, 100, 101, 102, 103, 104, 105, 106, 239, 240, 241, 242, 243, 111,
+    112, 113, 114, 115, 116, 117, 118, 119, 120, 121, 122, 123, 124, 125, 126, 127, 128, 129, 130, 135, 136,
+    137, 138, 139, 140, 141, 142, 143, 144, 145, 146, 147, 148, 149, 150,
+)
 SINGLE_COST_CAP = 3.0
 
 # Human preferred codons.
@@ -161,6 +165,40 @@ MODULES = (
     ("phiC31_attP_attB_compact", "phiC31", 460, 613),
     ("Cas12k_compact_RNP", "CAST_VK", 1, 600),
 )
+# Catalytic residues in scaffold numbering, and families, of the modules that have them.
+MODULE_SITES = {
+    "RuvC_fold_DEDD": (11, 60, 102, 105),
+    "Tnp_serine_C_term": (241,),
+    "catalytic_tyrosine_compact": (324,),
+    "catalytic_tyrosine": (342,),
+    "catalytic_serine_recombinase": (12,),
+    "phiC31_serine_catalytic": (12,),
+}
+MODULE_FAMILIES = {
+    "RuvC_fold_DEDD": "PF01548",
+    "Tnp_serine_C_term": "PF02371",
+    "catalytic_tyrosine": "PF02899",
+    "catalytic_serine_recombinase": "PF07508",
+    "phiC31_serine_catalytic": "PF07508",
+}
+# Scaffolds (id, accession, structure, score, class, composite, length, modules, carve-out modules).
+SCAFFOLDS = (
+    ("IS621", "A0A2X3M8B0", "8WT6", 0.929, "B3_Programmable_Recombinase", True, 304,
+     ("RuvC_fold_DEDD", "Tnp_serine_C_term", "bRNA_binding_loop"), ()),
+    ("IS621_2", "REQUIRES_REPLACEMENT", None, 0.900, "B3_Programmable_Recombinase", True, None, ("bRNA_binding_loop_v2",), ()),
+    ("Lambda_Int", "P03700", "1Z19", 0.823, "B4_Tyrosine_Recombinase", False, 356,
+     ("catalytic_tyrosine", "attL_attR_recognition_HTH", "integrase_HU_IHF_binding"), ()),
+    ("CAST_IF", "A0A656A320", None, 0.800, "B2_CAST_Integrase", False, 715, ("cascade_RNP", "TnsB_DDE_atypical"), ()),
+    ("Cre", "P06956", "1CRX", 0.798, "B4_Tyrosine_Recombinase", False, 343, ("loxP_HTH", "catalytic_tyrosine_compact"), ()),
+    ("eePASSIGE_v2", "<inherits_eePASSIGE>", None, 0.797, "B5_Serine_Recombinase", False, None, ("large_serine_engineered",), ()),
+    ("Bxb1", "Q9B086", "9IU2", 0.788, "B5_Serine_Recombinase", False, 500,
+     ("catalytic_serine_recombinase", "attP_attB_binding_DNA_binding_domain"), ()),
+    ("phiC31", "Q9T221", None, 0.785, "B5_Serine_Recombinase", False, 613, ("phiC31_serine_catalytic", "phiC31_attP_attB_compact"), ()),
+    ("IscB", "K9VH02", None, 0.784, "N5_RNA_Guided_Nuclease", False, 400, ("omega_RNA_binding",), ()),
+    ("CAST_VK", "A0A8M0FGU0", "7N3O", 0.756, "B2_CAST_Integrase", False, 600, ("Cas12k_compact_RNP", "TnsB_TnsC_TniQ_quartet"), ()),
+    ("MmeFz2", "REQUIRES_STEP7", None, None, "N2_Fanzor_OMEGA", False, None, (), ("TnpB_compact_scaffold",)),
+    ("TwinPE", "TWINPE_FUSION", None, 0.38, "N4_Editor_Fusion", False, None, (), ("pegRNA_encoded_payload_delivery",)),
+)
 CORES = (
     ("IS621_full_composite", ("RuvC_fold_DEDD", "Tnp_serine_C_term")),
     ("IS621_RuvC_only", ("RuvC_fold_DEDD",)),
@@ -208,6 +246,8 @@ SCORE_METHOD = "local_axis_implementations"
 STRATEGY_SWAP = "A_domain_swap"
 STRATEGY_ORTHOLOG = "B_ortholog_discovery"
 STRATEGY_TARGETED = "C_deimm"
+STRATEGY_VARIANT = "C_deimmunization"
+MIN_IMMUNO_GAIN = 0.10
 STRUCTURE_DEFERRED = "DEFERRED_STEP12"
 SWAP_NOTE = "anti_mode_collapse: replaced rank-%d %s with %s"
 UNKNOWN_NAME = "Unknown"

@@ -181,6 +181,9 @@ def check_geometry(
             "active_site_missing_residues": F.when(usable, F.col("_missing")).otherwise(
                 F.array().cast("array<int>")
             ),
+            "catalytic_residue_plddt": F.when(
+                complete, F.transform_values("_at", lambda _, p: p["b"])
+            ).otherwise(F.create_map().cast("map<int,double>")),
             "residue_deviations": F.when(
                 complete,
                 F.transform(
@@ -190,8 +193,32 @@ def check_geometry(
             ),
         }
     ).select(
-        *wanted.columns, "active_site_valid", "active_site_max_dev", "active_site_missing_residues", "residue_deviations"
+        *wanted.columns, "active_site_valid", "active_site_max_dev", "active_site_missing_residues", "residue_deviations",
+        "catalytic_residue_plddt",
+    )
+
+
+def derive_references(references: DataFrame, atoms: DataFrame, reference_col: str = "reference_id") -> DataFrame:
+    """References whose pair distances are measured in their own structures.
+
+    `atoms` holds the reference structures (reference_col, res_seq, x, y, z). A reference with a structure gets the
+    distances of all pairs of its residues found there; one without keeps its stated distances.
+    """
+    sites = references.select(reference_col, F.explode("residues").alias("res_seq"))
+    placed = sites.join(atoms, [reference_col, "res_seq"]).select(reference_col, F.struct("res_seq", "x", "y", "z").alias("p"))
+    found = placed.groupBy(reference_col).agg(F.array_sort(F.collect_list("p")).alias("_p"))
+    pairs = F.flatten(
+        F.transform(
+            "_p",
+            lambda a, i: F.transform(
+                F.slice("_p", i + 2, F.size("_p")),
+                lambda b: F.struct(a["res_seq"].alias("r1"), b["res_seq"].alias("r2"), _distance(a, b).alias("dist")),
+            ),
+        )
     )
+    measured = found.select(reference_col, pairs.alias("_pairs"))
+    joined = references.join(measured, reference_col, "left")
+    return joined.withColumn("pairs", F.coalesce("_pairs", "pairs")).select(*references.columns)
 
 
 # --- chimera library -------------------------------------------------------------------------------------------
@@ -262,8 +289,7 @@ def generate_chimeras(
     sized = size_gate(built.withColumn("total_aa", F.length("full_sequence")), "total_aa", bounds)
 
     order = [F.asc("core_rank"), F.asc("guide_rank"), F.asc("linker_rank")]
-    sized = sized.withColumn("_key", F.concat_ws("/", "core_rank", "guide_rank", "linker_rank"))
-    numbered = rank_in_group(sized, [], order, "_rank", "_key", ["core_rank", "guide_rank", "linker_rank"])
+    numbered = rank_in_group(sized, [], order, "_rank", ["core_rank", "guide_rank", "linker_rank"])
     used = F.transform(
         F.arrays_zip("_names", "_sources"),
         lambda m, i: F.struct(

@@ -38,20 +38,20 @@ def rank_in_group(
     groups: Sequence[str],
     order: Sequence[Column],
     rank_col: str = "rank",
-    key: str | None = None,
     order_columns: Sequence[str] = (),
 ) -> DataFrame:
     """Exact 1..n rank by `order` within each group (or over all rows); `order` must end in a unique key.
 
-    With `key`, a unique column, and the columns that `order` reads, the input is written once and only those columns
-    are ranked; the ranks join the rest by the key. Without it the whole rows are, which suits narrow frames.
+    With `order_columns`, the columns that `order` reads, the input is written once with a row number and only the
+    group and order columns are ranked; the ranks join the rest by that number. Without them whole rows are ranked,
+    which suits narrow frames.
     """
-    if key is None:
+    if not order_columns:
         return running_totals(df, groups, order, F.lit(1), rank_col)
-    source = materialise(df, "rank-input")
-    narrow = source.select(*dict.fromkeys([*groups, *order_columns, key]))
-    ranked = running_totals(narrow, groups, order, F.lit(1), rank_col).select(key, rank_col)
-    return null_safe_join(source, ranked, [key]).select(*df.columns, rank_col)
+    source = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "rank-input")
+    narrow = source.select(*dict.fromkeys([*groups, *order_columns, "_row"]))
+    ranked = running_totals(narrow, groups, order, F.lit(1), rank_col).select("_row", rank_col)
+    return source.join(ranked, "_row").select(*df.columns, rank_col)
 
 
 def rank_top(df: DataFrame, order: Sequence[Column], limit: int, rank_col: str = "rank") -> DataFrame:
@@ -67,12 +67,11 @@ def assign_ids(
     order: Sequence[Column],
     id_col: str = "design_id",
     key_length: int = 8,
-    row_key: str | None = None,
     order_columns: Sequence[str] = (),
 ) -> DataFrame:
-    """Ids such as B_001_ABCDEFGH in rank order; `row_key` and `order_columns` as in `rank_in_group`."""
+    """Ids such as B_001_ABCDEFGH in rank order; `order_columns` as in `rank_in_group`."""
     text = F.format_string(f"{prefix}_%03d_%s", F.col("_rank"), F.substring(F.col(key).cast("string"), 1, key_length))
-    return rank_in_group(df, [], order, "_rank", row_key, order_columns).withColumn(id_col, text).drop("_rank")
+    return rank_in_group(df, [], order, "_rank", order_columns).withColumn(id_col, text).drop("_rank")
 
 
 def medians(

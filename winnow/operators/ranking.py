@@ -257,7 +257,7 @@ def diverse_top(
 
 def catalog_rank(df: DataFrame, score_col: str = "score", id_col: str = "design_id", rank_col: str = "rank") -> DataFrame:
     """1..n over the whole catalog, without a single-task window."""
-    return rank_in_group(df, [], by_score(score_col, id_col), rank_col, id_col, [score_col])
+    return rank_in_group(df, [], by_score(score_col, id_col), rank_col, [score_col, id_col])
 
 
 def beaters(

@@ -67,7 +67,7 @@ def ortholog_funnel(
         survivors = skip_gate(survivors, "7")
 
     numbered = assign_ids(
-        has_sequence(survivors), "B", key, by_score("composite_prob", key), row_key=key, order_columns=["composite_prob"]
+        has_sequence(survivors), "B", key, by_score("composite_prob", key), order_columns=["composite_prob", key]
     )
     return numbered.withColumns(
         {"strategy": F.lit(K.STRATEGY_ORTHOLOG), "gate_5_status": F.lit(K.STRUCTURE_DEFERRED)}

@@ -63,7 +63,7 @@ def score_variants(
             "predicted_s_immuno_delta": S.round_exact(immuno - baseline, 4),
             "predicted_ddg_total": S.round_exact(cost, 2),
         }
-    ).withColumn("passes_gain", F.col("predicted_s_immuno_delta") >= 0.10)
+    ).withColumn("passes_gain", F.col("predicted_s_immuno_delta") >= K.MIN_IMMUNO_GAIN)
 
 
 def select_variants(proposals: DataFrame, n: int = 50, **scoring) -> DataFrame:
@@ -71,6 +71,24 @@ def select_variants(proposals: DataFrame, n: int = 50, **scoring) -> DataFrame:
     return dedupe_variants(score_variants(proposals, **scoring), n)
 
 
+def write_variants(
+    variants: DataFrame, folder: str, scaffold: str = K.DEFAULT_PARENT, baseline: float = K.BASELINE_IMMUNO, sequence_col: str = "protein_sequence"
+) -> None:
+    """Parquet with the constants of the run, tagged FASTA and manifest; the latter two read the Parquet back."""
+    constants = {"strategy": F.lit(K.STRATEGY_VARIANT), "scaffold_id": F.lit(scaffold), "s_immuno_wt_baseline": F.lit(float(baseline))}
+    labelled = variants.withColumns(constants)
+    write_catalog(labelled, f"{folder}/variants")
+    stored = variants.sparkSession.read.schema(labelled.schema).parquet(f"{folder}/variants")
+    tags = [("delta_s_immuno", "predicted_s_immuno_delta", "%+.4f"), ("n_mut", "total_mutations", "%d"), ("ddg", "predicted_ddg_total", "%.2f")]
+    write_fasta(stored, f"{folder}/variants_fasta", "variant_id", sequence_col, tags, width=0)
+    gain = F.col("predicted_s_immuno_delta")
+    counts = {"n_passing": F.count_if(F.col("passes_gain")), "best_variant_id": F.max_by("variant_id", gain), "best_delta": F.max(gain)}
+    write_summary(
+        stored, f"{folder}/manifest", "variant_id", counts, scaffold_id=scaffold, threshold_delta=K.MIN_IMMUNO_GAIN, wt_s_immuno=float(baseline),
+        rank_class_1=K.RANK_CLASS_1, rank_class_2=K.RANK_CLASS_2,
+    )
+
+
 def chimera_library(sequences: DataFrame, modules: DataFrame | None = None) -> DataFrame:
     """Module slices of the scaffold sequences (id, sequence), combined and sized."""
     spark = sequences.sparkSession

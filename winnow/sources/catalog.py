@@ -90,10 +90,20 @@ def write_summary(df: DataFrame, path: str, id_col: str, counts: Mapping[str, Co
 
 
 def load_registry(spark: SparkSession, name: str) -> DataFrame:
-    """Dimension tables of fixed size: modules, cores, guides, linkers, weights, predictions, alleles, geometry."""
+    """Dimension tables of fixed size: scaffolds, modules, cores, guides, linkers, weights, predictions, alleles,
+    geometry."""
+    if name == "scaffolds":
+        schema = (
+            "id string, accession string, structure string, score double, tier_b string, composite boolean, total_aa int, "
+            "modules array<string>, carve_out_modules array<string>"
+        )
+        return spark.createDataFrame([(*s[:7], list(s[7]), list(s[8])) for s in K.SCAFFOLDS], schema)
     if name == "modules":
-        schema = "name string, source_scaffold string, start_residue int, end_residue int"
-        return spark.createDataFrame(list(K.MODULES), schema)
+        schema = (
+            "name string, source_scaffold string, start_residue int, end_residue int, catalytic_residues array<int>, pfam_acc string"
+        )
+        rows = [(*m, list(K.MODULE_SITES.get(m[0], ())), K.MODULE_FAMILIES.get(m[0])) for m in K.MODULES]
+        return spark.createDataFrame(rows, schema)
     if name == "cores":
         rows = [(i, n, list(parts)) for i, (n, parts) in enumerate(K.CORES)]
         return spark.createDataFrame(rows, "core_rank int, core string, parts array<string>")
