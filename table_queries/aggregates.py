@@ -324,6 +324,31 @@ def v6(spark, folder):
     return V.rollup_verdicts(V.hypothesis_registry(spark), rows)
 
 
+@query(
+    "V6_rollup_policies",
+    f"""WITH v AS (SELECT r_regionkey, t, CASE WHEN t <= CASE r_regionkey WHEN 0 THEN 5 WHEN 3 THEN 3 WHEN 4 THEN 2 ELSE 4 END
+      THEN 'PASS' WHEN r_regionkey = 1 THEN 'NOT_EVALUABLE' ELSE 'FAIL' END AS verdict
+      FROM region, (SELECT unnest([1, 2, 3, 4, 5]) AS t)),
+    c AS (SELECT r_regionkey, count(*) FILTER (verdict = 'PASS') AS n_pass, count(*) FILTER (verdict = 'FAIL') AS n_fail,
+      count(*) FILTER (verdict = 'NOT_EVALUABLE') AS n_not_evaluable FROM v GROUP BY r_regionkey)
+    SELECT *, CASE r_regionkey WHEN 0 THEN '{K.ROLLUP_TEXT['all']}' WHEN 1 THEN '{K.ROLLUP_TEXT['four_evaluated']}'
+      WHEN 2 THEN '{K.ROLLUP_TEXT['four']}' WHEN 3 THEN '{K.ROLLUP_TEXT['three']}' ELSE '{K.ROLLUP_TEXT['rework']}' END AS policy FROM c""",
+)
+def v6_policies(spark, folder):
+    """Every policy text: five sets of verdicts, one per region."""
+    registry = V.hypothesis_registry(spark)
+    passing = F.when(F.col("r_regionkey") == 0, 5).when(F.col("r_regionkey") == 3, 3).when(F.col("r_regionkey") == 4, 2).otherwise(4)
+    verdict = F.when(F.substring("test_id", 2, 1).cast("int") <= passing, "PASS").when(F.col("r_regionkey") == 1, "NOT_EVALUABLE").otherwise("FAIL")
+    tests = registry.select(F.col("id").alias("test_id"))
+    results = table(spark, folder, "region").crossJoin(F.broadcast(tests)).withColumn("verdict", verdict)
+    out = None
+    for key in range(5):  # the regions of the table
+        one = V.rollup_verdicts(registry, results.filter(F.col("r_regionkey") == key)).withColumn("r_regionkey", F.lit(key))
+        out = one if out is None else out.unionByName(one)
+    kind = table(spark, folder, "region").schema["r_regionkey"].dataType
+    return out.withColumn("r_regionkey", F.col("r_regionkey").cast(kind))
+
+
 def _entry(name: str, observed: str, expected: str) -> str:
     return f"SELECT '{name}' AS check, ({observed})::BIGINT AS observed, ({expected})::BIGINT AS expected, ({observed}) = ({expected}) AS passed"
 

@@ -124,6 +124,32 @@ def e3(spark, folder):
     return release.release_catalog(catalog, scratch_path(spark, "release"))
 
 
+@query(
+    "E3_release_sinks",
+    """WITH o AS (SELECT o_orderkey, o_totalprice / 500000e0 AS score FROM orders)
+    SELECT 'beaters' AS sink, o_orderkey::VARCHAR AS id FROM o WHERE score > 0.5e0
+    UNION ALL SELECT 'beaters_fasta', o_orderkey::VARCHAR FROM o WHERE score > 0.5e0
+    UNION ALL SELECT 'all_designs_fasta', o_orderkey::VARCHAR FROM o UNION ALL SELECT 'designs', o_orderkey::VARCHAR FROM o""",
+)
+def e3_sinks(spark, folder):
+    """Ids read back from the subsets, FASTA files and records of a release."""
+    path = scratch_path(spark, "release")
+    catalog = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("design_id"),
+        (F.col("o_totalprice") / 500000.0).alias("score"),
+        F.col("o_orderpriority").alias("strategy"),
+        F.col("o_orderstatus").alias("protein_sequence"),
+    )
+    release.release_catalog(catalog, path, 0.5)
+    csv = spark.read.option("header", True).csv(f"{path}/beaters_csv").select(F.col("design_id").alias("id"))
+    records = spark.read.schema("design_id long").json(f"{path}/designs").select(F.col("design_id").cast("string").alias("id"))
+    parts = {"beaters": csv, "designs": records}
+    parts |= {name: read_fasta(spark, f"{path}/{name}").select("id") for name in ("beaters_fasta", "all_designs_fasta")}
+    out = None
+    for name, frame in parts.items():
+        labelled = frame.select(F.lit(name).alias("sink"), "id")
+        out = labelled if out is None else out.unionByName(labelled)
+    return out
 
 
 @query(
@@ -177,6 +203,39 @@ def e5(spark, folder):
     )
 
 
+@query(
+    "E5_structure_triage_selected",
+    f"""WITH {SQL_ATOMS}, r AS (SELECT vec_id AS design_id, CASE label % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'A' ELSE 'C' END AS strategy,
+      label * 10e0 + 5 AS g, 0.4e0 + label / 20e0 AS ptm FROM embeddings),
+    ok AS (SELECT * FROM r WHERE g >= 70 AND ptm >= 0.5e0),
+    near AS (SELECT DISTINCT greatest(1, least(64, c + s)) AS pos FROM (SELECT unnest([2, 11, 19, 20, 45]) AS c), (SELECT unnest([-1, 0, 1]) AS s)),
+    want AS (SELECT design_id, unnest([11, 60]) AS pos FROM ok WHERE strategy = 'A'
+      UNION ALL SELECT design_id, pos FROM ok, near WHERE strategy = 'B'),
+    site AS (SELECT want.design_id, avg(b * 4e0) AS m, count(*) AS n FROM want JOIN atoms a ON a.design_id = want.design_id AND res_seq = pos
+      WHERE want.design_id % 2 = 0 GROUP BY 1),
+    gated AS (SELECT ok.*, coalesce(m, g) AS active_site_plddt, coalesce(n, -1)::INTEGER AS cat_residues_sampled FROM ok LEFT JOIN site USING (design_id)),
+    b AS (SELECT * FROM gated WHERE strategy = 'B' ORDER BY active_site_plddt * ptm DESC, design_id LIMIT 20),
+    kept AS (SELECT * FROM gated WHERE strategy = 'A' AND active_site_plddt >= 75 UNION ALL SELECT * FROM b)
+    SELECT design_id, strategy, round(active_site_plddt, 6) AS active_site_plddt, cat_residues_sampled, active_site_plddt >= 75 AS pass_active_site
+    FROM kept""",
+)
+def e5_selected(spark, folder):
+    """Odd designs have no atoms and fall back to the global value; A is kept where it passes, B by rank, C is unlisted."""
+    label = F.col("label") % 3
+    results = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("design_id"),
+        F.when(label == 0, "B").when(label == 1, "A").otherwise("C").alias("strategy"),
+        F.lit(64).alias("seq_len"),
+        (F.col("label") * 10.0 + 5).alias("mean_plddt"),
+        (0.4 + F.col("label") / 20.0).alias("ptm"),
+    )
+    atoms = parse_atoms(atom_lines(spark, folder)).filter("design_id % 2 = 0").withColumn("b", F.col("b") * 4.0)
+    out = triage.structure_triage(results, atoms, {"A": F.col("pass_active_site"), "B": 20})
+    return out.select(
+        "design_id", "strategy", F.round("active_site_plddt", 6).alias("active_site_plddt"), "cat_residues_sampled", "pass_active_site"
+    )
+
+
 @query("E6_select_variants")
 def e6(spark, folder):
     """Substitutions of every benchmark text that lower its load, as variants of their parent."""

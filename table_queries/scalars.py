@@ -445,7 +445,10 @@ def p32(spark, folder):
 @query(
     "SQL_functions",
     f"""WITH {DESIGNS} SELECT design_id, score > 0.929e0 AS above, score > 0.9255e0 AS above_calibrated, S_Deliv AS length_score,
-      least(1e0, greatest(0e0, 1e0 - (protein_length_aa::DOUBLE / 2000e0) / 0.35e0)) AS density FROM designs""",
+      least(1e0, greatest(0e0, 1e0 - (protein_length_aa::DOUBLE / 2000e0) / 0.35e0)) AS density, {sql_round('x', 4)} AS load,
+      CASE WHEN length(organism) > 0 THEN (length(organism) - length(regexp_replace(upper(organism), '[GC]', '', 'g')))::DOUBLE
+        / length(organism) ELSE 0e0 END AS gc
+      FROM (SELECT *, least(1e0, greatest(0e0, 1e0 - (protein_length_aa / 7e0 + 31e0 * 0.5e0) / 253.5e0)) AS x FROM designs)""",
 )
 def sql_functions(spark, folder):
     register_sql(spark)
@@ -455,6 +458,8 @@ def sql_functions(spark, folder):
         F.expr("beats_calibrated(score)").alias("above_calibrated"),
         F.expr("score_length(protein_length_aa)").alias("length_score"),
         F.expr("score_density(protein_length_aa, 2000)").alias("density"),
+        F.expr("score_load(protein_length_aa / 7.0D, 31)").alias("load"),
+        F.expr("gc_fraction(organism)").alias("gc"),
     )
 
 
