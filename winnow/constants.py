@@ -108,6 +108,27 @@ FROZEN_POSITIONS = (
     137, 138, 139, 140, 141, 142, 143, 144, 145, 146, 147, 148, 149, 150,
 )
 SINGLE_COST_CAP = 3.0
+# Substitution cost (base, polarity change, mass change per unit of mass) and its cap.
+MUTATION_BASE = 0.3
+MUTATION_POLARITY = 0.8
+MUTATION_MASS_UNIT = 30.0
+MUTATION_MASS_WEIGHT = 0.5
+MUTATION_CAP = 5.0
+# Length score (bounds, and the losses up to each bound).
+LENGTH_SHORT = 260.0
+LENGTH_MIDDLE = 900.0
+LENGTH_LONG = 1200.0
+LENGTH_LOSS_SHORT = 0.2
+LENGTH_LOSS_MIDDLE = 0.35
+LENGTH_LEFT_MIDDLE = 0.65
+# Parts of ids that tell the strategy, and the form of chimera ids.
+ID_SWAP = "A_"
+ID_REDESIGN = "D0"
+ID_REDESIGN_LETTER = "D"
+ID_REDESIGN_TOOL = "PROTMPNN"
+ID_REDESIGN_PARENT = "_IS621_"
+ID_TARGETED = "DEIMM"
+CHIMERA_ID = "A_%03d_%s_%s_%s"
 
 # Human preferred codons.
 CODONS = {

@@ -95,10 +95,11 @@ def score_cargo(label: ColumnLike, composite: ColumnLike) -> Column:
 
 def score_length(length: ColumnLike) -> Column:
     n = col(length).cast("double")
-    short = 1.0 - (260.0 - n) / 260.0 * 0.2
-    middle = 1.0 - (n - 260.0) / 640.0 * 0.35
-    long = 0.65 - (n - 900.0) / 300.0 * 0.65
-    return F.when(n <= 260, short).when(n <= 900, middle).when(n <= 1200, long).when(n.isNotNull(), 0.0)
+    short = 1.0 - (K.LENGTH_SHORT - n) / K.LENGTH_SHORT * K.LENGTH_LOSS_SHORT
+    middle = 1.0 - (n - K.LENGTH_SHORT) / (K.LENGTH_MIDDLE - K.LENGTH_SHORT) * K.LENGTH_LOSS_MIDDLE
+    long = K.LENGTH_LEFT_MIDDLE - (n - K.LENGTH_MIDDLE) / (K.LENGTH_LONG - K.LENGTH_MIDDLE) * K.LENGTH_LEFT_MIDDLE
+    bounded = F.when(n <= K.LENGTH_SHORT, short).when(n <= K.LENGTH_MIDDLE, middle).when(n <= K.LENGTH_LONG, long)
+    return bounded.when(n.isNotNull(), 0.0)
 
 
 def score_load(n1: ColumnLike, n2: ColumnLike, scale: float = K.LOAD_SCALE) -> Column:
@@ -150,10 +151,10 @@ def strategy_from_id(identifier: ColumnLike, variant: str = "first") -> Column:
     """Strategy letter from naming rules; the second variant has no rule for bare D0 prefixes."""
     s = F.upper(col(identifier))
     if variant == "first":
-        redesign = s.startswith("D0") | s.contains("PROTMPNN")
+        redesign = s.startswith(K.ID_REDESIGN) | s.contains(K.ID_REDESIGN_TOOL)
     else:
-        redesign = s.contains("PROTMPNN") | (s.startswith("D") & s.contains("_IS621_"))
-    return F.when(s.startswith("A_"), "A").when(redesign, "D").when(s.contains("DEIMM"), "C").otherwise("B")
+        redesign = s.contains(K.ID_REDESIGN_TOOL) | (s.startswith(K.ID_REDESIGN_LETTER) & s.contains(K.ID_REDESIGN_PARENT))
+    return F.when(s.startswith(K.ID_SWAP), "A").when(redesign, "D").when(s.contains(K.ID_TARGETED), "C").otherwise("B")
 
 
 def parent_of(
@@ -190,11 +191,11 @@ def mutation_step(wt: ColumnLike, mut: ColumnLike) -> Column:
     """Unrounded substitution cost: base, polarity change, mass change."""
     wt, mut = col(wt), col(mut)
     crossed = F.lit(K.POLAR_RESIDUES).contains(wt) != F.lit(K.POLAR_RESIDUES).contains(mut)
-    size = F.abs(residue_mass(wt) - residue_mass(mut)) / 30.0
-    return (F.lit(0.3) + F.when(crossed, 0.8).otherwise(0.0)) + size * 0.5
+    size = F.abs(residue_mass(wt) - residue_mass(mut)) / K.MUTATION_MASS_UNIT
+    return (F.lit(K.MUTATION_BASE) + F.when(crossed, K.MUTATION_POLARITY).otherwise(0.0)) + size * K.MUTATION_MASS_WEIGHT
 
 
-def mutation_cost(wt: ColumnLike, mut: ColumnLike, cap: float = 5.0) -> Column:
+def mutation_cost(wt: ColumnLike, mut: ColumnLike, cap: float = K.MUTATION_CAP) -> Column:
     return round_exact(F.least(mutation_step(wt, mut), F.lit(cap)), 2)
 
 

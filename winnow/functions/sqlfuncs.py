@@ -24,9 +24,9 @@ DEFINITIONS = {
     "beats_calibrated": f"(score DOUBLE) RETURNS BOOLEAN RETURN score > {K.LOCKPOINT_CALIBRATED}D",
     "score_length": (
         "(n DOUBLE) RETURNS DOUBLE RETURN CASE "
-        "WHEN n <= 260 THEN 1D - (260D - n) / 260D * 0.2D "
-        "WHEN n <= 900 THEN 1D - (n - 260D) / 640D * 0.35D "
-        "WHEN n <= 1200 THEN 0.65D - (n - 900D) / 300D * 0.65D "
+        f"WHEN n <= {K.LENGTH_SHORT}D THEN 1D - ({K.LENGTH_SHORT}D - n) / {K.LENGTH_SHORT}D * {K.LENGTH_LOSS_SHORT}D "
+        f"WHEN n <= {K.LENGTH_MIDDLE}D THEN 1D - (n - {K.LENGTH_SHORT}D) / {K.LENGTH_MIDDLE - K.LENGTH_SHORT}D * {K.LENGTH_LOSS_MIDDLE}D "
+        f"WHEN n <= {K.LENGTH_LONG}D THEN {K.LENGTH_LEFT_MIDDLE}D - (n - {K.LENGTH_MIDDLE}D) / {K.LENGTH_LONG - K.LENGTH_MIDDLE}D * {K.LENGTH_LEFT_MIDDLE}D "
         "WHEN n IS NOT NULL THEN 0D END"
     ),
     "score_load": (

@@ -307,7 +307,7 @@ def generate_chimeras(
         ),
     )
     return numbered.select(
-        F.format_string("A_%03d_%s_%s_%s", "_rank", "core", "guide", "linker").alias("design_id"),
+        F.format_string(K.CHIMERA_ID, "_rank", "core", "guide", "linker").alias("design_id"),
         F.lit(K.STRATEGY_SWAP).alias("strategy"),
         used.alias("modules_used"),
         junctions.alias("linkers"),
