@@ -15,7 +15,7 @@ SEED = 42
 MAX_BITS = 3
 SEGMENTS = 4
 WIDTH = 64 // SEGMENTS
-CHUNK = 1024
+CHUNK = 256
 HASH_BATCH = 1 << 18
 
 
