@@ -25,6 +25,7 @@ BATCH = 64
 RATE = 0.004
 SEED = 5
 APPLY_WINDOWS = 512
+ROWS = 256
 
 
 @dataclass
@@ -174,16 +175,18 @@ class Applier:
 def _sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> tuple[list[str], list[str]]:
     """At most `MAX_DOCS_PER_LANG` texts of each of the `MAX_LANGS` languages with most documents, `MAX_DOCS` in all.
 
-    Chosen by a hash of id and text, so by no order of the table; the rank per language is cut in every task before the
-    shuffle.
+    Chosen by a hash of id and text, so by no order of the table. The hash first thins a language to about four times
+    what it may give, in every task; only that is ranked.
     """
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), text).alias("h"), F.col(text).alias("text")
     )
     narrow = usable.select("lang", "h")
-    ranked = narrow.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= MAX_DOCS_PER_LANG)
     top = narrow.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    picked = ranked.join(F.broadcast(top.select("lang")), "lang").orderBy("rank", "lang").limit(MAX_DOCS).select("lang", "h")
+    share = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) * F.col("n")
+    thinned = narrow.join(F.broadcast(top), "lang").filter(share <= 4 * MAX_DOCS_PER_LANG * (1 << 30)).select("lang", "h")
+    ranked = thinned.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    picked = ranked.filter(F.col("rank") <= MAX_DOCS_PER_LANG).orderBy("rank", "lang").limit(MAX_DOCS).select("lang", "h")
     rows = usable.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
     rows.sort(key=lambda r: (r["lang"], r["h"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
@@ -242,7 +245,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
 
     def run(batches):
         apply = Applier(net) if net else None
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             labels, scores = predict_texts(apply, batch.column(column).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names)
 
