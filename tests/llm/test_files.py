@@ -237,6 +237,28 @@ def test_main_text_of_a_marked_page():
     assert tagpaths.extract(short) == "No\n\nYes."
 
 
+STORY = [f"Sentence {k} of the story, which is long enough to be read. It has marks, and goes on; to the end of the line." for k in range(6)]
+
+
+def paragraphs(tag="p"):
+    return "".join(f"<{tag}>{x}</{tag}>" for x in STORY)
+
+
+@pytest.mark.parametrize("tag", ["main", "article", "div"])
+@pytest.mark.parametrize("inner", ["p", "div"])
+def test_unnamed_boilerplate_is_left_by_its_ratio(tag, inner):
+    links = "<div><ul>" + "<li><a href=x>Another story, here</a></li>" * 8 + "</ul></div>"
+    promo = "<section><div>Try it free</div><span>for a month</span></section>"
+    page = f"<body><div><h4>Site</h4></div><{tag}>{links}<h1>Head</h1>{promo}<div><h2>Below</h2>{paragraphs(inner)}<ul><li>an item</li></ul></div>{promo}{links}</{tag}>{links}</body>"
+    assert tagpaths.extract(page) == "\n\n".join(["Head", "Below", *STORY, "an item"])
+
+
+def test_article_in_plain_divs_beside_marked_teasers():
+    teasers = "".join(f"<article><div><a href=x>Teaser {k}</a></div></article>" for k in range(5))
+    page = f"<body><div>{teasers}</div><div><div>{paragraphs()}</div></div><div><div>Short line</div></div></body>"
+    assert tagpaths.extract(page) == "\n\n".join(STORY)
+
+
 @pytest.mark.parametrize(
     "page, want",
     [

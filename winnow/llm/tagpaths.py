@@ -18,7 +18,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time "
     "tt u var wbr".split()
 )
-NOISE_TAGS = frozenset("nav footer aside form menu button select option fieldset dialog".split())
+NOISE_TAGS = frozenset("nav footer aside menu button select option dialog".split())
+FORM_TAGS = frozenset("form fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 # words of class, id and role that name what is not the article
 NOISE_WORDS = frozenset(
@@ -47,11 +48,20 @@ PUNCTUATION = re.compile(r"""[.,;:!?…。，、；：！？«»“”"()]""")
 BLANK = re.compile(r"\s+")
 SMOOTHING = (0.25, 0.5, 0.25)
 THRESHOLD = 0.35
+# the part of the fused score that blocks outside article and main have on pages with these
+UNMARKED = 0.3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# text elements that may be short, and what they stand in; other short blocks are judged by their ratio only
+SHORT = frozenset("p blockquote pre li dt dd td th caption figcaption address summary".split())
+SETS = SHORT | frozenset("ul ol dl table thead tbody tfoot tr figure".split())
 
 
 @dataclass
 class Block:
-    """Text of one leaf of the page: the pieces between block borders, with its root-to-leaf path."""
+    """Text of one leaf of the page: the pieces between block borders, with its root-to-leaf path.
+
+    nodes are the numbers of the path's elements, named those of its forms and of its elements with the name of noise.
+    """
 
     path: tuple[str, ...]
     noise: bool
@@ -59,6 +69,14 @@ class Block:
     text: str
     linked: int = 0
     score: float = field(default=0.0)
+    tags: tuple[str, ...] = ()
+    nodes: tuple[int, ...] = ()
+    named: tuple[int, ...] = ()
+
+    @property
+    def own(self) -> int:
+        """Characters outside links."""
+        return max(0, len(self.text) - self.linked)
 
 
 @dataclass
@@ -68,7 +86,9 @@ class _Node:
     noise: bool
     main: bool
     opaque: bool
-    header: bool
+    hidden: bool
+    number: int
+    named: tuple[int, ...]
 
 
 def _words(tag: str) -> set[str]:
@@ -87,7 +107,8 @@ def blocks_of(page: str) -> list[Block]:
     Open tags are closed as browsers do for the usual omissions: a paragraph by any block, list items and table cells by
     the next one. A line break ends no block. Unclosed inline tags do not reach beyond their block.
     """
-    stack = [_Node("html", "html", False, False, False, False)]
+    stack = [_Node("html", "html", False, False, False, False, 0, ())]
+    opened = 0
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -97,8 +118,9 @@ def blocks_of(page: str) -> list[Block]:
         text = BLANK.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             top = stack[-1]
-            path = tuple(n.label for n in stack if n.tag not in INLINE)
-            out.append(Block(path, top.noise, top.main, text, linked))
+            line = [n for n in stack if n.tag not in INLINE]
+            path, tags, nodes = (tuple(x) for x in zip(*((n.label, n.tag, n.number) for n in line)))
+            out.append(Block(path, top.noise or top.hidden, top.main, text, linked, tags=tags, nodes=nodes, named=top.named))
         parts.clear()
         linked = 0
 
@@ -175,11 +197,13 @@ def blocks_of(page: str) -> list[Block]:
         top = stack[-1]
         words = _words(raw) if "=" in raw else set()
         main = top.main or tag in MAIN_TAGS or "articlebody" in words
-        hidden = "=" in raw and bool(HIDDEN.search(raw)) or " hidden" in raw and bool(HIDDEN.search(raw))
+        hidden = top.hidden or ("=" in raw or " hidden" in raw) and bool(HIDDEN.search(raw))
         role_noise = bool(words & NOISE_WORDS) and tag not in ("body", "html") and tag not in MAIN_TAGS
-        noise = top.noise or tag in NOISE_TAGS or role_noise or hidden or (tag == "header" and not top.main)
+        noise = top.noise or tag in NOISE_TAGS or (tag == "header" and not top.main)
+        opened += 1
+        named = (*top.named, opened) if role_noise or tag in FORM_TAGS else top.named
         hint = next(iter(sorted(words & MAIN_WORDS)), "")
-        stack.append(_Node(tag, f"{tag}.{hint}" if hint else tag, noise, main, top.opaque or tag in OPAQUE, tag == "header"))
+        stack.append(_Node(tag, f"{tag}.{hint}" if hint else tag, noise, main, top.opaque or tag in OPAQUE, hidden, opened, named))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             if tag not in OPAQUE:
@@ -189,63 +213,77 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def path_ratios(blocks: list[Block]) -> np.ndarray:
-    """Fused tag-path ratio of each block, smoothed over the page.
-
-    Per path: text length per node and punctuation per node, linked text not counted. Both are smoothed over the
-    blocks in page order, scaled by the page's largest, and fused as their geometric mean.
-    """
+def _path_means(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each block's path: text length per node and punctuation per node, linked text not counted in the length."""
     length: dict[tuple[str, ...], float] = {}
     marks: dict[tuple[str, ...], float] = {}
     nodes: dict[tuple[str, ...], int] = {}
     for b in blocks:
-        length[b.path] = length.get(b.path, 0) + max(0, len(b.text) - b.linked)
-        marks[b.path] = marks.get(b.path, 0) + len(PUNCTUATION.findall(b.text))
+        length[b.path] = length.get(b.path, 0) + b.own
+        marks[b.path] = marks.get(b.path, 0.5) + len(PUNCTUATION.findall(b.text))
         nodes[b.path] = nodes.get(b.path, 0) + 1
+    return tuple(np.array([table[b.path] / nodes[b.path] for b in blocks]) for table in (length, marks))
+
+
+def path_ratios(blocks: list[Block]) -> np.ndarray:
+    """Fused tag-path ratio of each block, smoothed over the page.
+
+    Per path: text length per node and punctuation per node. Both are smoothed over the blocks in page order; the
+    geometric mean of the path's own value and the smoothed one, which neighbours alone cannot raise far, is scaled by
+    the page's largest. The two are fused as their geometric mean, with a lower part for blocks outside article and main
+    if the page has these.
+    """
     fused = np.ones(len(blocks))
-    for table, floor in ((length, 0.0), (marks, 0.5)):
-        values = np.array([(table[b.path] + floor) / nodes[b.path] for b in blocks])
+    for values in _path_means(blocks):
         padded = np.pad(values, 1, mode="edge")
-        smooth = sum(w * padded[k : k + len(values)] for k, w in enumerate(SMOOTHING))
+        smooth = np.sqrt(values * sum(w * padded[k : k + len(values)] for k, w in enumerate(SMOOTHING)))
         fused *= np.sqrt(smooth / smooth.max()) if smooth.max() > 0 else 0
+    if any(b.main for b in blocks):
+        fused *= np.array([1 if b.main else UNMARKED for b in blocks])
     return fused
 
 
+def _anchor(block: Block) -> int:
+    """The element that a block stands in, past lists, tables, quotes and figures."""
+    for tag, node in zip(reversed(block.tags[:-1]), reversed(block.nodes[:-1])):
+        if tag not in SETS:
+            return node
+    return 0
+
+
 def extract(page: str | None, threshold: float = THRESHOLD) -> str:
     """Main text of a page: the kept blocks in page order, joined by two line ends.
 
     Blocks under tags or names that mark menus, notices, adverts, forms, comments and the like are noise and take no
-    part in the ratios. Of the others, paths are kept whose summed ratio makes up enough of the best path's; the parts
-    of an article or main element belong together and are kept or left as one.
+    part in the ratios. Of the others, on every page, paths are kept whose ratio makes up enough of the best path's, and that are not mostly
+    links. With them go the headings above them, and quotes, items, cells and paragraphs that stand beside them.
     """
     if not page:
         return ""
-    found = [b for b in blocks_of(page) if not b.noise]
+    found = [b for b in blocks_of(page) if not b.noise and not b.named]
     if not found:
         return ""
     weight: dict[tuple[str, ...], float] = {}
+    links: dict[tuple[str, ...] | int, int] = {}  # by path, and by the element around the block: how much more text is in links than not
     for b, ratio in zip(found, path_ratios(found)):
         b.score = float(ratio)
-    main = [b for b in found if b.main]
-    if main and max(b.score for b in main) > 0:
-        # the marked article is one node of the page; it goes only against much stronger text outside
-        outside = sum(len(b.text) * b.score for b in found if not b.main)
-        inside = sum(len(b.text) * b.score for b in main)
-        if inside >= 0.1 * outside:
-            return "\n\n".join(b.text for b in main)
-    for b in found:
         weight[b.path] = max(weight.get(b.path, 0.0), b.score)
+        for key in {b.path, b.nodes[-2] if len(b.nodes) > 1 else 0}:
+            links[key] = links.get(key, 0) + 2 * b.linked - len(b.text)
     best = max(weight.values())
-    chosen = [b for b in found if weight[b.path] >= threshold * best or _heads(b, found, weight, threshold * best)]
-    return "\n\n".join(b.text for b in chosen)
+    if best == 0:
+        return "\n\n".join(b.text for b in found)
+    content = {p for p, w in weight.items() if w >= threshold * best and links[p] <= 0}
+    above = {n for b in found if b.path in content for n in b.nodes[1:]}
+    beside = {_anchor(b) for b in found if b.path in content} | {b.nodes[-1] for b in found if b.path in content and b.tags[-1] not in SETS}
 
+    def joins(b: Block) -> bool:
+        tag = b.tags[-1]
+        if len(b.tags) < 3 or b.linked > len(b.text) // 2:
+            return False
+        return tag in HEADINGS and b.nodes[-2] in above or tag in SHORT and links[b.nodes[-2]] <= 0 and _anchor(b) in beside
 
-def _heads(block: Block, found: list[Block], weight: dict[tuple[str, ...], float], least: float) -> bool:
-    """Whether a heading, list item or other short block stands in the same parent as a content path."""
-    if len(block.text) and block.linked > len(block.text) // 2:
-        return False
-    parent = block.path[:-1]
-    return len(parent) > 1 and any(w >= least and p[: len(parent)] == parent for p, w in weight.items())
+    return "\n\n".join(b.text for b in found if b.path in content or joins(b))
 
 
 def main_text(pages: DataFrame, page: str = "html") -> DataFrame:
