@@ -259,6 +259,23 @@ def test_article_in_plain_divs_beside_marked_teasers():
     assert tagpaths.extract(page) == "\n\n".join(STORY)
 
 
+@pytest.mark.parametrize("wrapper", ["<form id=aspnetForm>", "<div class='layout sidebar-left'>", "<div class=search-page>", "<div id=share-root>", "<form><div class='share'><div class='sidebar'>"])
+@pytest.mark.parametrize("tag", ["main", "article", "div"])
+def test_wrappers_with_the_name_of_noise_keep_their_main_text(wrapper, tag):
+    comments = "<div class=comments>" + "<p>I agree, and more.</p>" * 40 + "</div><div class=ad><p>Buy now, or later. Cheap!</p></div><aside><p>Beside, it.</p></aside>"
+    page = f"<body><nav>Menu, one.</nav>{wrapper}<div class=cookie>We use cookies, really.</div><{tag}><h1>Head</h1>{paragraphs()}</{tag}>{comments}</body>"
+    assert tagpaths.extract(page) == "\n\n".join(["Head", *STORY])
+    # a short line beside the wrapper does not make the rest noise
+    assert set(STORY) < set(tagpaths.extract(page.replace("</nav>", "</nav><div><div>Of the town, since 1900.</div></div>")).split("\n\n"))
+
+
+def test_named_noise_stays_out_beside_main_text():
+    form = "<form><p>" + "By sending this, you agree to all of it, now and later. " * 4 + "</p></form>"
+    assert tagpaths.extract(f"<body><div>{paragraphs()}</div>{form}</body>") == "\n\n".join(STORY)
+    assert tagpaths.extract("<body><div class=search-page><article><p>Yes.</p></article></div><div class=ad>buy</div></body>") == "Yes."
+    assert tagpaths.extract("<body><aside><p>Left open<main><p>Yes, here.</p></main><form>Mail, please.</form></body>") == "Yes, here."
+
+
 @pytest.mark.parametrize(
     "page, want",
     [

@@ -19,6 +19,7 @@ INLINE = frozenset(
     "tt u var wbr".split()
 )
 NOISE_TAGS = frozenset("nav footer aside menu button select option dialog".split())
+# noise like what is named so, unless they hold the page's main text
 FORM_TAGS = frozenset("form fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 # words of class, id and role that name what is not the article
@@ -50,6 +51,9 @@ SMOOTHING = (0.25, 0.5, 0.25)
 THRESHOLD = 0.35
 # the part of the fused score that blocks outside article and main have on pages with these
 UNMARKED = 0.3
+# a named subtree that holds the main text has so many times the text beside it, and so many characters if no article or main is in it
+OVERRULE = 3
+LEAST_TEXT = 200
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # text elements that may be short, and what they stand in; other short blocks are judged by their ratio only
 SHORT = frozenset("p blockquote pre li dt dd td th caption figcaption address summary".split())
@@ -199,9 +203,10 @@ def blocks_of(page: str) -> list[Block]:
         main = top.main or tag in MAIN_TAGS or "articlebody" in words
         hidden = top.hidden or ("=" in raw or " hidden" in raw) and bool(HIDDEN.search(raw))
         role_noise = bool(words & NOISE_WORDS) and tag not in ("body", "html") and tag not in MAIN_TAGS
-        noise = top.noise or tag in NOISE_TAGS or (tag == "header" and not top.main)
+        # a page has one main, and it is not part of a menu, whatever was left open before it
+        noise = tag != "main" and (top.noise or tag in NOISE_TAGS or (tag == "header" and not top.main))
         opened += 1
-        named = (*top.named, opened) if role_noise or tag in FORM_TAGS else top.named
+        named = () if tag == "main" else (*top.named, opened) if role_noise or tag in FORM_TAGS else top.named
         hint = next(iter(sorted(words & MAIN_WORDS)), "")
         stack.append(_Node(tag, f"{tag}.{hint}" if hint else tag, noise, main, top.opaque or tag in OPAQUE, hidden, opened, named))
         if tag in RAW:
@@ -243,6 +248,38 @@ def path_ratios(blocks: list[Block]) -> np.ndarray:
     return fused
 
 
+def _without_named(blocks: list[Block]) -> list[Block]:
+    """The blocks outside forms and subtrees with the name of noise, where these do not hold the page's main text.
+
+    From outside in and strongest first, a subtree is let in if its best path is no weaker than the best one that is in,
+    and its text is more than OVERRULE times the text that is in beside it. What is named inside it is judged in turn.
+    """
+    if not any(b.named for b in blocks):
+        return blocks
+    length, marks = _path_means(blocks)
+    marked = any(b.main for b in blocks)
+    worth = [float(np.sqrt(n * m)) * (1 if b.main or not marked else UNMARKED) for b, n, m in zip(blocks, length, marks)]
+    best: dict[int, float] = {}
+    text: dict[int, int] = {}
+    marks_in: set[int] = set()
+    for b, value in zip(blocks, worth):
+        for node in b.named:
+            best[node] = max(best.get(node, 0.0), value)
+            text[node] = text.get(node, 0) + b.own
+            if b.main:
+                marks_in.add(node)
+    let: set[int] = set()
+    while True:
+        inside = [(b, value) for b, value in zip(blocks, worth) if let.issuperset(b.named)]
+        most, beside = max((value for _, value in inside), default=0.0), sum(b.own for b, _ in inside)
+        # of each block the outermost subtree that is still out
+        out = {next(n for n in b.named if n not in let) for b in blocks if not let.issuperset(b.named)}
+        strong = [n for n in out if best[n] > 0 and best[n] >= most and text[n] > OVERRULE * beside and (n in marks_in or text[n] >= LEAST_TEXT)]
+        if not strong:
+            return [b for b, _ in inside]
+        let.add(max(strong, key=lambda n: (best[n], text[n], -n)))
+
+
 def _anchor(block: Block) -> int:
     """The element that a block stands in, past lists, tables, quotes and figures."""
     for tag, node in zip(reversed(block.tags[:-1]), reversed(block.nodes[:-1])):
@@ -254,13 +291,14 @@ def _anchor(block: Block) -> int:
 def extract(page: str | None, threshold: float = THRESHOLD) -> str:
     """Main text of a page: the kept blocks in page order, joined by two line ends.
 
-    Blocks under tags or names that mark menus, notices, adverts, forms, comments and the like are noise and take no
-    part in the ratios. Of the others, on every page, paths are kept whose ratio makes up enough of the best path's, and that are not mostly
+    Blocks under tags of menus, asides, footers and the like are noise and take no part in the ratios; neither do those in
+    forms and under names of notices, adverts, comments and the like, unless the ratios say that the main text is there.
+    Of the others, on every page, paths are kept whose ratio makes up enough of the best path's, and that are not mostly
     links. With them go the headings above them, and quotes, items, cells and paragraphs that stand beside them.
     """
     if not page:
         return ""
-    found = [b for b in blocks_of(page) if not b.noise and not b.named]
+    found = _without_named([b for b in blocks_of(page) if not b.noise])
     if not found:
         return ""
     weight: dict[tuple[str, ...], float] = {}
