@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -214,6 +215,39 @@ def test_salvage_of_damaged_archives():
     assert list(warc.salvage(b"")) == [] and [x[:3] for x in warc.salvage(b"zzz")] == [("gap", 0, 3)]
 
 
+def test_salvage_inside_a_member_of_many_records():
+    rng = random.Random(4)
+    records = [plain(k, "".join(rng.choice("abcdefgh <>") for _ in range(4000)).encode()) for k in range(40)]
+    starts = np.cumsum([0] + [len(r) for r in records])
+    everything = [f"urn:page:{k}" for k in range(40)]
+    bad = bytearray(b"".join(records))
+    bad[starts[7] + len(records[7]) - 100] ^= 0x55
+    found = list(warc.salvage(warc.member(bytes(bad)) + warc.member(plain(99))))
+    assert names(found) == [x for k, x in enumerate(everything) if k != 7] + ["urn:page:99"]
+    (gap,) = [x for x in found if x[0] == "gap"]
+    assert "differs" in gap[3] and f"bytes {starts[7]} to {starts[8]} of" in gap[3]
+    stray = b"\r\n".join(records[:20]) + b"\r\n\n" + b"junk".join(records[20:])
+    found = list(warc.salvage(warc.member(stray)))
+    assert names(found) == everything and sum(x[0] == "gap" for x in found) == 19
+    # a cut tail, and damage in the packed bytes: what was unpacked before stays, what follows the member is found
+    whole = warc.member(b"".join(records))
+    for data in (whole[: len(whole) * 3 // 4], whole[: len(whole) // 2] + bytes(200) + whole[len(whole) // 2 + 200 :] + warc.member(plain(99))):
+        found = list(warc.salvage(data))
+        got = [n for n in names(found) if n != "urn:page:99"]
+        assert 10 < len(got) < 40 and got == everything[: len(got)]
+        (gap,) = [x for x in found if x[0] == "gap"]
+        assert gap[3].startswith("gzip: ") and f"behind byte {starts[len(got)]} of" in gap[3]
+        assert gap[2] - gap[1] > 1000 and (gap[2] == len(data) or found[-1][3]["warc-record-id"] == "<urn:page:99>" and found[-1][1] == gap[2])
+        assert {(x[1], x[2]) for x in found if x[0] == "record" and x[1] == 0} == {(0, gap[1])}
+    # a wrong checksum: records with a digest stay, one without has no proof
+    unproven = re.sub(rb"WARC-(Block|Payload)-Digest: [^\r]*\r\n", b"", records[1])
+    packed = bytearray(warc.member(records[0] + unproven + records[2]))
+    packed[-8] ^= 1
+    assert names(warc.salvage(bytes(packed))) == ["urn:page:0", "urn:page:2"]
+    packed[-8] ^= 1
+    assert names(warc.salvage(bytes(packed))) == everything[:3]
+
+
 # --- pages --------------------------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="home sidebar-open"><header class="site-header"><h1>Site name</h1></header>

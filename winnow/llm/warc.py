@@ -20,9 +20,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/"
 VERSION_LINE = re.compile(rb"WARC/\d\.\d\r?\n")
+HEAD_END = re.compile(rb"\r?\n\r?\n")
 END = b"\r\n\r\n"
 RECORDS_PER_BATCH = 500
 FEED = 1 << 14
+CUT = "gzip: member without end"
 
 
 def member(data: bytes, level: int = 6) -> bytes:
@@ -94,12 +96,12 @@ def write_warc(pages: DataFrame, path: str, payload: str = "html", page_id: str
     write_bytes(rows.mapInArrow(run, "value binary"), path, EMPTY_MEMBER)
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(fields, block, bytes used) of the record at the start; ValueError says what is wrong with it."""
-    first = VERSION_LINE.match(data)
+def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """(fields, block, bytes used) of the record at a place; ValueError says what is wrong with it."""
+    first = VERSION_LINE.match(data, at)
     if not first:
         raise ValueError("no version line")
-    head_end = re.compile(rb"\r?\n\r?\n").search(data, first.end() - 1)
+    head_end = HEAD_END.search(data, first.end() - 1)
     if not head_end:
         raise ValueError("header without end")
     fields: dict[str, str] = {}
@@ -121,21 +123,77 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
         kind, _, digest = fields.get(name, "").partition(":")
         if kind == "sha1" and digest.upper() != base64.b32encode(hashlib.sha1(block).digest()).decode():
             raise ValueError(f"{name} differs")
-    return fields, block, stop + 4
+    return fields, block, stop + 4 - at
 
 
-def _member_at(content: bytes, at: int) -> tuple[bytes, int]:
-    """(data, end) of the gzip member at a place; its checksum and length are tested."""
+def _member_at(content: bytes, at: int) -> tuple[bytes, int, str]:
+    """(data, end, error) of the gzip member at a place; its checksum and length are tested.
+
+    With an error the data are what came before it, and end is 0.
+    """
     unpack, view, parts, fed = zlib.decompressobj(31), memoryview(content), [], at
-    try:
-        while not unpack.eof and fed < len(content):
+    while not unpack.eof and fed < len(content):
+        before = unpack.copy()
+        try:
             parts.append(unpack.decompress(view[fed : fed + FEED]))
-            fed = min(len(content), fed + FEED)
-    except zlib.error as error:
-        raise ValueError(f"gzip: {error}") from None
+        except zlib.error as error:
+            try:
+                for k in range(fed, len(content)):
+                    parts.append(before.decompress(view[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), 0, f"gzip: {error}"
+        fed = min(len(content), fed + FEED)
     if not unpack.eof:
-        raise ValueError("gzip: member without end")
-    return b"".join(parts), fed - len(unpack.unused_data)
+        return b"".join(parts), 0, CUT
+    return b"".join(parts), fed - len(unpack.unused_data), ""
+
+
+def _packed_place(content: bytes, at: int, length: int) -> int:
+    """The place in the archive up to which the member at `at` has to be read for its first `length` bytes of data."""
+    unpack, view, got, fed = zlib.decompressobj(31), memoryview(content), 0, at
+    while True:
+        before = unpack.copy()
+        try:
+            n = len(unpack.decompress(view[fed : fed + FEED]))
+        except zlib.error:
+            n = length
+        if got + n >= length:
+            break
+        got, fed = got + n, fed + FEED
+    while got < length:
+        got, fed = got + len(before.decompress(view[fed : fed + 1])), fed + 1
+    return fed
+
+
+def _parts(data: bytes, proven: bool = False):
+    """Yield ('record', start, stop, fields, block) and ('gap', start, stop, reason, None) through a member's data.
+
+    After a failed check the next version line that leads to a valid record is searched. With `proven` a record must have
+    a digest. Line ends between records are skipped.
+    """
+    at, gap, reason = 0, None, ""
+    while at < len(data):
+        if gap is None and data[at] in b"\r\n":
+            at += 1
+            continue
+        try:
+            fields, block, n = parse_record(data, at)
+            if proven and not fields.get("warc-block-digest", "").lower().startswith("sha1:"):
+                raise ValueError("no digest to prove it")
+        except ValueError as error:
+            if gap is None:
+                gap, reason = at, str(error)
+            following = data.find(VERSION, at + 1)
+            at = following if following >= 0 else len(data)
+            continue
+        if gap is not None:
+            yield "gap", gap, at, reason, None
+            gap = None
+        yield "record", at, at + n, fields, block
+        at += n
+    if gap is not None:
+        yield "gap", gap, len(data), reason, None
 
 
 def salvage(content: bytes):
@@ -143,7 +201,11 @@ def salvage(content: bytes):
 
     At every place a gzip member or a plain record is tried. After a failed check the next member start or version line
     that leads to a valid record is searched, and the bytes between are one gap. Empty members and line ends between
-    records are skipped.
+    records are skipped. A member's data are searched in the same way, so that a failed record costs no other one; such a
+    gap has the places of the member, and its reason names the bytes of the member's data. Of a member that is cut off or
+    damaged, the records before that place are kept, the damaged one's if a digest proves their block, and the gap begins
+    behind the last of them. Digests do not cover headers: where the checksum of a member differs and all its digests are
+    right, an only record is dropped, and of several the gap behind them is the warning.
     """
     at, size, gap, reason = 0, len(content), None, ""
     while at < size:
@@ -151,43 +213,46 @@ def salvage(content: bytes):
             at += 1
             continue
         found, end, why = [], at, "neither a member nor a version line"
-        try:
-            if content.startswith(GZIP, at):
-                data, end = _member_at(content, at)
-                used = 0
-                while used < len(data):
-                    fields, block, n = parse_record(data[used:] if used else data)
-                    found.append((fields, block))
-                    used += n
-            elif content.startswith(VERSION, at):
-                fields, block, n = parse_record(content[at : _plain_end(content, at)])
-                found, end = [(fields, block)], at + n
-        except ValueError as error:
-            end, why = at, str(error)
+        if content.startswith(GZIP, at):
+            data, end, why = _member_at(content, at)
+            found = list(_parts(data, proven=why not in ("", CUT)))
+            used = max((stop for kind, _, stop, _, _ in found if kind == "record"), default=0)
+            if len(found) == 1 and "incorrect" in why:
+                used = 0  # the checksum differs, not the digest: the header of the only record is wrong
+            if why and used:
+                end, why = _packed_place(content, at, used), f"{why}, behind byte {used} of the member's data"
+                found = [x for x in found if x[1] < used]
+            elif why:
+                found, end = [], at
+            elif gap is not None and data and not used:
+                end = at  # a payload's own
+            found = [(kind, a if kind == "record" else f"{a}, bytes {start} to {stop} of the member's data", b) for kind, start, stop, a, b in found]
+        elif content.startswith(VERSION, at):
+            try:
+                fields, block, n = parse_record(content, at)
+                found, end, why = [("record", fields, block)], at + n, ""
+            except ValueError as error:
+                why = str(error)
         if end > at:
-            if gap is not None and (found or end - at == len(EMPTY_MEMBER)):
+            if gap is not None:
                 yield "gap", gap, at, reason, None
                 gap = None
-            if gap is None:
-                for fields, block in found:
-                    yield "record", at, end, fields, block
-                at = end
+            for kind, detail, block in found:
+                yield kind, at, end, detail, block
+            at = end
+            if why:
+                gap, reason = at, why
+                at -= 1  # the search goes on at the gap's first byte
+            else:
                 continue
         if gap is None:
             gap, reason = at, why
         places = [p for p in (content.find(GZIP, at + 1), content.find(VERSION, at + 1)) if p >= 0]
         at = min(places, default=size)
-    if gap is not None:
+    if gap is not None and gap < size:
         yield "gap", gap, size, reason, None
 
 
-def _plain_end(content: bytes, at: int) -> int:
-    """How far a plain record can reach: its header, its stated length and the line ends."""
-    head = content.find(b"\r\n\r\n", at)
-    length = re.search(rb"(?i)\ncontent-length:\s*(\d+)", content[at : head + 2]) if head >= 0 else None
-    return head + 8 + int(length[1]) if length else min(len(content), at + (1 << 16))
-
-
 SCHEMA = (
     "path string, kind string, start long, end long, reason string, record_type string, record_id string, url string, "
     "refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -198,7 +263,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     """Records and gaps of all archives below a path (each up to Spark's 2 GB for a binary file).
 
     kind is 'record' or 'gap'; start and end are places in the archive, the member's for compressed ones; a gap has the
-    reason of its first failure. payload_digest is bare lower-case hex. The payload is null for gaps and revisits.
+    reason of its first failure, and one inside a member the bytes of the member's data. payload_digest is bare lower-case hex. The payload is null for gaps and revisits.
     """
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
     types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
