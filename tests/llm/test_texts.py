@@ -62,6 +62,29 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     assert cleaned == {i: t for i, (k, t) in want.items() if k}
 
 
+def test_lines_repeated_in_a_large_host_are_removed_but_for_one_copy(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(prose(rng, 15) for _ in range(3)), "a") for i in range(400)]
+    notice = "All rights reserved 2019"
+    rows[:30] = [(i, f"{t}\n{notice}", h) for i, t, h in rows[:30]]  # 30 of 502, under a tenth of the host
+    page = "\n".join(prose(rng, 15) for _ in range(4))
+    rows += [(500 + i, page, "a") for i in range(40)]  # exact copies are for the dedup stage
+    near = "\n".join(prose(rng, 15) for _ in range(4))
+    rows += [(600 + i, f"{near}\nnumber {chr(97 + i % 26)}{chr(97 + i // 26)}", "a") for i in range(60)]  # of near copies one stays
+    rows += [(700 + i, f"{prose(rng, 30)}\n{notice}", "b") for i in range(20)] + [(None, page.split("\n")[0] + f"\n{prose(rng, 20)}", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {}
+    for r in lines.clean(docs, doc_id="doc_id").collect():
+        got.setdefault(r["doc_id"], r["text"])
+    assert sum(notice in got[i] for i in range(30)) == 1 and all(got[i] == rows[i][1] for i in range(30, 400))
+    assert all(got[i].split("\n")[:3] == rows[i][1].split("\n")[:3] for i in range(30))
+    # the copies, or the other text with their first line, keep that one
+    assert all(got[500 + i].split("\n")[-3:] == page.split("\n")[1:] for i in range(40))
+    assert (page.split("\n")[0] in got[500]) != (page.split("\n")[0] in got[None])
+    assert [got[600 + i] for i in range(60) if 600 + i in got] == [x for i, x, _ in rows if x.startswith(near) and i in got] and sum(600 + i in got for i in range(60)) == 1
+    assert all(got[700 + i].endswith(notice) for i in range(20))  # not more than the limit
+
+
 def test_quality_edge_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert lines.quality(empty).collect() == []

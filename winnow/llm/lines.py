@@ -121,13 +121,36 @@ def frequent_lines(
     return found
 
 
+def repeated_lines(docs: DataFrame, doc_id: str, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """(host, frequent, first): like `frequent_lines`, by a limit that does not grow with the host and by documents.
+
+    A line is frequent when more than `min_documents` documents of its host hold it, copies of a text among them; rows
+    with a null id are one document per text. Of the texts that hold a line, the one with the smallest hash keeps it: first
+    has the hashes of these pairs. So one of each group of near copies stays whole, and so do exact copies.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    txt = F.xxhash64(t)
+    doc = F.when(F.col(doc_id).isNull(), txt).otherwise(F.xxhash64(F.col(doc_id)))
+    lines = docs.select(host_key(F.col(host)).alias("host"), doc.alias("doc"), txt.alias("txt"), F.explode(F.split(t, "\n")).alias("line"))
+    lines = lines.filter(F.col("line").rlike(WORD)).select("host", "doc", "txt", line_key(F.col("line")).alias("line"))
+    lines = lines.groupBy("host", "doc", "line").agg(F.min("txt").alias("txt"))
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("txt").alias("txt")).filter(F.col("docs") > min_documents)
+    pairs = counts.groupBy("host").agg(F.collect_list("line").alias("frequent"), F.collect_list(F.xxhash64("line", "txt")).alias("first"))
+    return store(pairs, "repeated-lines")
+
+
 def _with_lines(docs: DataFrame, frequent: DataFrame, text: str, host: str) -> DataFrame:
     """The documents with _kept_lines: null where the host has no frequent line, else the lines that stay."""
     table = broadcast_if_small(frequent.withColumnRenamed("host", "_host"), bytes_per_row=1024)
     joined = docs.withColumn("_host", host_key(F.col(host))).join(table, "_host", "left")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    stay = F.filter(lines, lambda line: ~F.array_contains(F.col("frequent"), line_key(line)))
-    return joined.withColumn("_kept_lines", F.when(F.col("frequent").isNotNull(), stay)).drop("_host", "frequent")
+    if "first" in frequent.columns:
+        own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+        keeps = lambda key: ~F.array_contains(F.col("frequent"), key) | F.array_contains(F.col("first"), F.xxhash64(key, own))
+        stay = F.filter(lines, lambda line: _let(line_key(line), keeps))
+    else:
+        stay = F.filter(lines, lambda line: ~F.array_contains(F.col("frequent"), line_key(line)))
+    return joined.withColumn("_kept_lines", F.when(F.col("frequent").isNotNull(), stay)).drop("_host", "frequent", "first")
 
 
 def _left_text() -> Column:
@@ -163,12 +186,13 @@ def quality(
     return marked.select(*ruled.columns, (~(F.col("base_failed") | gone)).alias("kept"))
 
 
-def clean(docs: DataFrame, text: str = "text", host: str = "source", max_share: float = MAX_HOST_SHARE, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def clean(docs: DataFrame, text: str = "text", host: str = "source", max_share: float = MAX_HOST_SHARE, min_documents: int = MIN_DOCUMENTS, doc_id: str | None = None) -> DataFrame:
     """The kept documents without the frequent lines of their host, and with the columns that `quality` adds.
 
-    The counts are those of the text before the removal.
+    The counts are those of the text before the removal. With `doc_id` the lines are those of `repeated_lines`, for which
+    the size of the host does not count.
     """
-    frequent = frequent_lines(docs, text, host, max_share, min_documents)
+    frequent = repeated_lines(docs, doc_id, text, host, min_documents) if doc_id else frequent_lines(docs, text, host, max_share, min_documents)
     ruled = base_rules(docs.drop("kept"), text)
     marked = _with_lines(ruled, frequent, text, host)
     kept = marked.filter(~F.col("base_failed") & ~_depleted(F.col("n_words"), MIN_WORDS, MIN_KEPT_PERCENT))
