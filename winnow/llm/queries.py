@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import hnsw, kneser, language, lines, mixing, packing, rans, simhash, tagpaths, warc
+from winnow.llm import hnsw, kneser, language, lines, mixing, packing, pairwise, rans, simhash, tagpaths, warc
 from winnow.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,11 +78,18 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language.remainder("doc_id", 4) == 2
+    model = pairwise.fit(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    return pairwise.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_warc_salvage, op3_line_frequency, op4_vector_links, op5_kneser_ney, op6_tag_paths, op7_best_fit_packing,
-        op8_rans_tokens, op9_simhash, op10_water_filling,
+        op8_rans_tokens, op9_simhash, op10_water_filling, op11_pairwise_quality,
     )
 }
 
