@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import hnsw, kneser, language, lines, mixing, packing, pairwise, rans, simhash, tagpaths, warc
+from winnow.llm import hnsw, kneser, language, lines, mixing, packing, pairwise, phrases, rans, simhash, tagpaths, warc
 from winnow.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -85,11 +85,15 @@ def op11_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op12_phrase_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_warc_salvage, op3_line_frequency, op4_vector_links, op5_kneser_ney, op6_tag_paths, op7_best_fit_packing,
-        op8_rans_tokens, op9_simhash, op10_water_filling, op11_pairwise_quality,
+        op8_rans_tokens, op9_simhash, op10_water_filling, op11_pairwise_quality, op12_phrase_streams,
     )
 }
 
@@ -146,4 +150,24 @@ SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN before + size::DOUBLE / 2e0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM o"""
 
-ORACLES = {"op2_warc_salvage": WARC_SQL, "op3_line_frequency": LINES_SQL, "op10_water_filling": MIX_SQL}
+PHRASE_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+e AS (SELECT lang, s.k AS k, ws, unnest(range(1, len(ws) - s.k + 2)) AS i FROM w, (SELECT unnest(range(1, {phrases.MAX_WORDS + 1})) AS k) s WHERE len(ws) >= s.k),
+c AS (SELECT lang, k, ws[i:i + k - 1] AS g, count(*)::HUGEINT AS a FROM e GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+cuts AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cut FROM c WHERE k > 1),
+scored AS (SELECT x.lang, x.g, x.a, x.cut, f.a AS l, s.a AS r, n, (1000 * x.a * n) // (f.a * s.a) AS score
+  FROM cuts x JOIN c f ON f.lang = x.lang AND f.g = x.g[1:x.cut] JOIN c s ON s.lang = x.lang AND s.g = x.g[x.cut + 1:x.k] JOIN t ON t.lang = x.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+longer AS (SELECT lang, ws, a, i, j FROM (SELECT lang, g AS ws, a, k, unnest(range(1, k)) AS i FROM c WHERE k > 2) y, LATERAL (SELECT unnest(range(i + 1, k + 1)) AS j)
+  WHERE j - i + 1 < k),
+covered AS (SELECT lang, ws[i:j] AS g, max(a) AS a FROM longer GROUP BY ALL)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, w.a DESC, array_to_string(w.g, ' ')) AS rank,
+  array_to_string(w.g, ' ') AS phrase, w.a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM worst w LEFT JOIN covered v ON v.lang = w.lang AND v.g = w.g
+WHERE v.a IS NULL OR 100 * v.a < {phrases.COVER_PERCENT} * w.a
+QUALIFY rank <= {phrases.TOP}"""
+
+ORACLES = {"op2_warc_salvage": WARC_SQL, "op3_line_frequency": LINES_SQL, "op10_water_filling": MIX_SQL, "op12_phrase_streams": PHRASE_SQL}
