@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import hnsw, kneser, language, lines, mixing, packing, pairwise, phrases, rans, simhash, tagpaths, warc
+from winnow.llm import alignment, hnsw, kneser, language, lines, mixing, packing, pairwise, phrases, rans, simhash, tagpaths, warc
 from winnow.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
 def tokenizer_path() -> str:
@@ -89,11 +91,17 @@ def op12_phrase_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.cross_tokenizer(docs, public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_warc_salvage, op3_line_frequency, op4_vector_links, op5_kneser_ney, op6_tag_paths, op7_best_fit_packing,
         op8_rans_tokens, op9_simhash, op10_water_filling, op11_pairwise_quality, op12_phrase_streams,
+        op13_token_alignment,
     )
 }
 
