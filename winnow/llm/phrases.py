@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -202,11 +201,10 @@ def _heads(ordered: DataFrame) -> list:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                part = pa.array([TaskContext.get().partitionId()], pa.int32())
-                yield pa.RecordBatch.from_arrays([part, batch.column(0).slice(0, 1), batch.column(1).slice(0, 1)], ["part", "lang", "key"])
+                yield batch.slice(0, 1)
                 return
 
-    return ordered.select("lang", "key").mapInArrow(run, "part int, lang string, key array<string>").collect()
+    return ordered.select("part", "lang", "key").mapInArrow(run, "part int, lang string, key array<string>").collect()
 
 
 def lockstep(spark: SparkSession, stream: DataFrame, suffix: bool) -> DataFrame:
@@ -220,7 +218,8 @@ def lockstep(spark: SparkSession, stream: DataFrame, suffix: bool) -> DataFrame:
     words = F.split("phrase", " ")
     key = F.reverse(words) if suffix else words
     ordered = stream.select("lang", key.alias("key"), "phrase", "a").repartitionByRange("lang", "key").sortWithinPartitions("lang", "key")
-    ordered = ordered.checkpoint()  # partitions stay as they are between the two passes
+    # partitions stay as they are between the two passes, and each row knows its own: a union numbers tasks anew
+    ordered = ordered.withColumn("part", F.spark_partition_id()).checkpoint()
     heads = _heads(ordered)
     wanted = {(h["lang"], tuple(h["key"][:k])) for h in heads for k in range(1, len(h["key"]))}
     known = {}
@@ -230,9 +229,11 @@ def lockstep(spark: SparkSession, stream: DataFrame, suffix: bool) -> DataFrame:
     begin = {h["part"]: (h["lang"], [(tuple(h["key"][:k]), known[h["lang"], tuple(h["key"][:k])]) for k in range(1, len(h["key"]))]) for h in heads}
 
     def run(batches):
-        now, stack = begin.get(TaskContext.get().partitionId(), (None, []))
-        stack = list(stack)
+        now, stack = None, None
         for batch in batches:
+            if stack is None and batch.num_rows:
+                now, stack = begin[batch.column(4)[0].as_py()]
+                stack = list(stack)
             langs, phrases, counts, parts, parents, exts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), [], [], []
             of = []
             for lang, words, a in zip(langs, batch.column(1).to_pylist(), counts):
