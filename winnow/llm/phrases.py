@@ -15,7 +15,7 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 COVER_PERCENT = 100
 TOP = 2000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 FILTER_BITS = 1 << 26
 PAGE_BITS = 32768  # of Spark's bitmap functions
 UNKNOWN = "und"
@@ -88,14 +88,14 @@ def count_block(data: bytes, lang: str, order: int, filters: list[np.ndarray]) -
     del tokens
     words = list(numbers)
     hashes = word_hashes(words, lang) if order > 1 else None
-    rank = np.where(ids > 0, ids, -1)
-    for n in range(1, order + 1):
-        if n == 1:
-            places = np.flatnonzero(rank > 0)
-            keys = ids[places]
-        else:
-            places = np.flatnonzero((rank[:-1] >= 0) & (rank[1:] >= 0))
-            keys = rank[places] * len(words) + ids[places + n - 1]
+    if order == 1:
+        return pa.array(words[1:], pa.binary()), np.bincount(ids, minlength=len(words))[1:]
+    frequent = held(filters[0], [hashes])
+    frequent[0] = False
+    rank = np.where(frequent[ids], ids, -1)
+    for n in range(2, order + 1):
+        places = np.flatnonzero((rank[:-1] >= 0) & (rank[1:] >= 0))
+        keys = rank[places] * len(words) + ids[places + n - 1]
         _, first, back, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         at = places[first]
         if n < order:
@@ -104,7 +104,7 @@ def count_block(data: bytes, lang: str, order: int, filters: list[np.ndarray]) -
             rank[places] = np.where(frequent[back], back, -1)
     names = pa.array(words, pa.binary())
     parts = [names.take(pa.array(ids[at + k])) for k in range(order)]
-    return (pc.binary_join_element_wise(*parts, b" ") if order > 1 else parts[0]), counts
+    return pc.binary_join_element_wise(*parts, b" "), counts
 
 
 def count_phrases(texts: DataFrame, order: int, filters: list) -> DataFrame:
