@@ -156,7 +156,8 @@ def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-STATS = "kind string, n1 long, n2 long, n3 long, n4 long, distinct long, total long"
+SUMS = ("n1", "n2", "n3", "n4", "distinct", "total", "files")
+STATS = "kind string, " + ", ".join(f"{c} long" for c in SUMS)
 
 
 def _reduce_pairs(folder: str, word_bits: int):
@@ -207,7 +208,7 @@ def _reduce_words(folder: str):
         shard = key[0].as_py()
         if shard < 0:
             sums = np.sum([struct.unpack("<6q", p.as_buffer()) for p in table.column("payload")], axis=0)
-            return pa.table({c: pa.array([v]) for c, v in zip(("kind", "n1", "n2", "n3", "n4", "distinct", "total"), ["pairs", *map(int, sums)])})
+            return pa.table({c: pa.array([v]) for c, v in zip(("kind", *SUMS), ["pairs", *map(int, sums), table.num_rows])})
         keys, stats = [], []
         for p in table.column("payload"):
             data = memoryview(p.as_buffer())
@@ -223,8 +224,8 @@ def _reduce_words(folder: str):
         words = words[order[starts]]
         _save(folder, f"words-{shard}", np.array([len(words)], "<u8"), words.astype("<u8"), columns.astype("<u8"))
         follow = columns[1]
-        sums = [*_counts_of_counts(follow), int((columns[0] > 0).sum()), int(columns[0].sum())]
-        return pa.table({c: pa.array([v]) for c, v in zip(("kind", "n1", "n2", "n3", "n4", "distinct", "total"), ["words", *sums])})
+        sums = [*_counts_of_counts(follow), int((columns[0] > 0).sum()), int(columns[0].sum()), 1]
+        return pa.table({c: pa.array([v]) for c, v in zip(("kind", *SUMS), ["words", *sums])})
 
     return run
 
@@ -242,6 +243,20 @@ class Model:
     n_pairs: int
     vocabulary: int
     tokens: int
+    shards: dict[str, int]  # name and bytes of every file written
+
+    def shard(self, name: str) -> np.ndarray | None:
+        """A file as mapped bytes; None where no words or pairs fell into the shard, an error where its file is gone."""
+        size = self.shards.get(name)
+        if size is None:
+            return None
+        path = f"{self.folder}/{name}"
+        if path not in _mapped:
+            found = os.path.getsize(path) if os.path.exists(path) else None
+            if found != size:
+                raise RuntimeError(f"{path} should have {size} bytes but {'has ' + str(found) if found is not None else 'is missing'}; is the shared folder mounted here?")
+            _mapped[path] = np.memmap(path, np.uint8, "r")
+        return _mapped[path]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -263,6 +278,13 @@ def mounted(path: str) -> str:
     return unquote(parts.path)
 
 
+def _written(folder: str) -> dict[str, int]:
+    """Names and bytes of the files of a model; drafts of tasks that were lost do not count."""
+    if not os.path.isdir(folder):
+        return {}
+    return {f.name: f.stat().st_size for f in os.scandir(folder) if not f.name.startswith(".")}
+
+
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Count a model over all documents given; null texts are empty.
 
@@ -296,28 +318,22 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     packed = "shard int, payload binary"
     pairs = texts.mapInArrow(count, packed).groupBy("shard").applyInArrow(_reduce_pairs(folder, word_bits), packed)
     sums = pairs.groupBy("shard").applyInArrow(_reduce_words(folder), STATS).groupBy("kind")
-    sums = sums.agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "distinct", "total")])
+    sums = sums.agg(*[F.sum(c).alias(c) for c in SUMS])
     rows = {r["kind"]: r for r in sums.collect()}
-    empty = dict.fromkeys(("n1", "n2", "n3", "n4", "distinct", "total"), 0)
+    empty = dict.fromkeys(SUMS, 0)
     p, w = rows.get("pairs", empty), rows.get("words", empty)
+    shards = _written(folder)
+    if len(shards) != p["files"] + w["files"]:
+        raise RuntimeError(f"{folder} has {len(shards)} of {p['files'] + w['files']} files; is the shared folder mounted here?")
     return Model(
         folder, pair_bits, word_bits, discounts(*(p[f"n{k}"] for k in (1, 2, 3, 4))), discounts(*(w[f"n{k}"] for k in (1, 2, 3, 4))),
-        (w["n1"], w["n2"], w["distinct"] - w["n1"] - w["n2"]), p["distinct"], w["distinct"], w["total"],
+        (w["n1"], w["n2"], w["distinct"] - w["n1"] - w["n2"]), p["distinct"], w["distinct"], w["total"], shards,
     )
 
 
 # --- scoring ------------------------------------------------------------------------------------------------------
 
 
-def _map(path: str) -> np.ndarray | None:
-    """A file as mapped 64-bit numbers; None where a shard is empty."""
-    if path not in _mapped:
-        if not os.path.exists(path):
-            return None
-        _mapped[path] = np.memmap(path, np.uint8, "r")
-    return _mapped[path]
-
-
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of wanted keys among sorted ones, -1 where missing."""
     at = np.searchsorted(keys, wanted)
@@ -336,7 +352,7 @@ def look_up_words(model: Model, keys: np.ndarray) -> np.ndarray:
     """(6, n) statistics of words in the order of `WORD_COLUMNS`; zeros for unknown ones."""
     out = np.zeros((6, len(keys)), np.int64)
     for s, rows in _by_shard(upper(keys, model.word_bits, WORD_BITS)):
-        data = _map(f"{model.folder}/words-{s}")
+        data = model.shard(f"words-{s}")
         if data is None:
             continue
         n = int(data[:8].view("<u8")[0])
@@ -350,7 +366,7 @@ def look_up_pairs(model: Model, z: np.ndarray) -> np.ndarray:
     """Counts of word pairs."""
     out = np.zeros(len(z), np.int64)
     for s, rows in _by_shard(upper(z, model.pair_bits, 64)):
-        data = _map(f"{model.folder}/pairs-{s}")
+        data = model.shard(f"pairs-{s}")
         if data is None:
             continue
         n, m = map(int, data[:16].view("<u8"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -99,23 +97,28 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     return [d_embed, *d_banks, *d_biases, hidden.T @ error, error.sum(axis=0)]
 
 
+def training_windows(text: str) -> np.ndarray:
+    """Windows spread over the whole text; a short last one counts only where it is the only one."""
+    data = text.encode("utf-8")
+    found = windows_of(data)
+    full = found[:-1] if len(found) > 1 and len(data) % WINDOW else found
+    return full[np.unique(np.linspace(0, len(full) - 1, min(WINDOWS_PER_DOC, len(full))).astype(int))]
+
+
 def train(texts: list[str], labels: list[str], seed: int = SEED) -> Network | None:
+    """Fit the network to labelled texts; see `train_windows`."""
+    return train_windows([training_windows(t) for t in texts], labels, seed)
+
+
+def train_windows(windows: list[np.ndarray], labels: list[str], seed: int = SEED) -> Network | None:
     """Fit the network to windows of labelled texts by Adam; None without a text. Equal inputs give equal networks."""
     known = sorted(set(labels))
     if not known:
         return None
     rng = np.random.default_rng(seed)
     net = new_network(known, rng)
-    xs, ys = [], []
-    for text, label in zip(texts, labels):
-        data = text.encode("utf-8")
-        found = windows_of(data)
-        # windows spread over the whole text; a short last one counts only where it is the only one
-        full = found[:-1] if len(found) > 1 and len(data) % WINDOW else found
-        picked = np.unique(np.linspace(0, len(full) - 1, min(WINDOWS_PER_DOC, len(full))).astype(int))
-        xs.append(full[picked])
-        ys += [known.index(label)] * len(picked)
-    x, y = np.concatenate(xs), np.array(ys)
+    x = np.concatenate(windows)
+    y = np.repeat([known.index(label) for label in labels], [len(w) for w in windows])
     if len(known) == 1:
         return net
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
@@ -172,11 +175,11 @@ class Applier:
         )
 
 
-def _sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> tuple[list[str], list[str]]:
-    """At most `MAX_DOCS_PER_LANG` texts of each of the `MAX_LANGS` languages with most documents, `MAX_DOCS` in all.
+def _sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> tuple[list[np.ndarray], list[str]]:
+    """Windows of at most `MAX_DOCS_PER_LANG` texts of each of the `MAX_LANGS` languages with most documents, `MAX_DOCS` in all.
 
     Chosen by a hash of id and text, so by no order of the table. The hash first thins a language to about four times
-    what it may give, in every task; only that is ranked.
+    what it may give, in every task; only that is ranked. Windows are cut in the tasks, so no whole text reaches the driver.
     """
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), text).alias("h"), F.col(text).alias("text")
@@ -187,20 +190,32 @@ def _sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> tuple[list[st
     thinned = narrow.join(F.broadcast(top), "lang").filter(share <= 4 * MAX_DOCS_PER_LANG * (1 << 30)).select("lang", "h")
     ranked = thinned.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     picked = ranked.filter(F.col("rank") <= MAX_DOCS_PER_LANG).orderBy("rank", "lang").limit(MAX_DOCS).select("lang", "h")
-    rows = usable.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
+
+    def cut(batches):
+        for batch in batches:
+            found = [training_windows(t.as_py()).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["lang", "h", "windows"])
+
+    chosen = usable.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", "text").mapInArrow(cut, "lang string, h long, windows binary")
+    rows = chosen.dropDuplicates(["lang", "h"]).collect()
     rows.sort(key=lambda r: (r["lang"], r["h"]))
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+    return [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in rows], [r["lang"] for r in rows]
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Network | None:
     """Network trained on a bounded sample of the labelled rows; null labels and texts without a letter are left out."""
-    return train(*_sample(docs, text, lang, doc_id))
+    return train_windows(*_sample(docs, text, lang, doc_id))
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter (Unicode categories L); numbers, marks and signs such as ² or ½ are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 def predict_texts(apply: Applier | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Label and score of whole texts; all windows of all texts are judged together and averaged by their bytes."""
     labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    rows = [r for r, t in enumerate(texts) if t and LETTER.search(t)]
+    rows = [r for r, t in enumerate(texts) if has_letter(t)]
     if apply is None:
         return labels, scores
     held: list[tuple[int, np.ndarray, int]] = []

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from winnow.llm.shared import broadcast_if_small, discard, read_bytes, store, write_bytes
@@ -197,8 +197,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
 
     Texts are tokenized once and their packed ids stored; the ids are counted to make the shared table (bounded by the
     vocabulary), range partitioned by doc_id, sorted inside the partitions and coded in blocks of about `BLOCK_IDS` ids.
-    Null text is empty, so it has the end id alone; null ids come first; documents with equal ids keep no order among
-    themselves.
+    Null text is empty, so it has the end id alone; null ids come first; documents with equal or null ids keep no order
+    among themselves, and a hash of their contents spreads them over partitions.
     """
     spark, width = docs.sparkSession, id_width(tokenizer)
     stored = store(token_ids(docs, tokenizer, width, text, doc_id), "token-ids")
@@ -222,7 +222,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([_block(held, table)], pa.binary())], ["value"])
 
-    ordered = stored.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    salted = stored.withColumn("salt", F.xxhash64(stored.columns[1]))
+    ordered = salted.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").drop("salt")
     write_bytes(ordered.mapInArrow(run, "value binary"), f"{path}/blocks", SEPARATOR)
     discard(stored)
 
@@ -269,15 +270,22 @@ def _decoded(spark: SparkSession, path: str, column: str, make) -> DataFrame:
     return read_bytes(spark, f"{path}/blocks").mapInArrow(run, f"path string, nth long, doc_id long, first long, n_tokens long, {column}")
 
 
+def file_order(path: str) -> list[Column]:
+    """Sort keys of part files: the number of the task and of its file; from 100,000 on names no longer sort by them."""
+    name = F.substring_index(F.col(path), "/", -1)
+    return [F.regexp_extract(name, pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")] + [F.col(path)]
+
+
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files.
 
-    start counts the ids of all documents before it: those of its file plus those of the files before, in name order.
+    start counts the ids of all documents before it: those of its file plus those of the files before, in the order of
+    their part numbers. One task adds up one row per file.
     """
     found = _decoded(spark, path, "ids_crc32 long", lambda ids: pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()))
     found = store(found, "decoded")
     files = found.groupBy("path").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*file_order("path")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = store(files.select("path", before.alias("before")), "file-offsets")
     joined = found.join(broadcast_if_small(offsets, 256), "path")
     return joined.select("doc_id", (F.col("before") + F.col("first")).cast("long").alias("start"), "n_tokens", "ids_crc32")

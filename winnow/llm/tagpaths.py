@@ -18,9 +18,11 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time "
     "tt u var wbr".split()
 )
-NOISE_TAGS = frozenset("nav footer aside menu button select option dialog".split())
+NOISE_TAGS = frozenset("button select option".split())
 # noise like what is named so, unless they hold the page's main text
 FORM_TAGS = frozenset("form fieldset".split())
+# noise unless an article or main is in them, or no text beside them, as where their end tag is missing
+FRAME_TAGS = frozenset("nav footer aside header menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
 # words of class, id and role that name what is not the article
 NOISE_WORDS = frozenset(
@@ -39,7 +41,7 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""\saria-hidden\s*=\s*["']?true|\shidden(?=[\s>=/])|display\s*:\s*none""", re.I)
@@ -60,22 +62,52 @@ SHORT = frozenset("p blockquote pre li dt dd td th caption figcaption address su
 SETS = SHORT | frozenset("ul ol dl table thead tbody tfoot tr figure".split())
 
 
+@dataclass(eq=False)
+class _Named:
+    """A form, a frame, or an element with the name of noise, in the innermost of these around it."""
+
+    parent: _Named | None
+    number: int
+    frame: bool
+
+
+@dataclass(eq=False)
+class _Node:
+    """An open element; line is itself or the element around it that is not inline, and what follows holds for line."""
+
+    tag: str
+    noise: bool = False
+    main: bool = False
+    opaque: bool = False
+    hidden: bool = False
+    named: _Named | None = None
+    line: _Node | None = None
+    parent: _Node | None = None
+    number: int = 0
+    depth: int = 1
+    path: int = 0  # number of the root-to-leaf path
+    anchor: int = 0  # the element around it, past lists, tables, quotes and figures
+
+
 @dataclass
 class Block:
-    """Text of one leaf of the page: the pieces between block borders, with its root-to-leaf path.
-
-    nodes are the numbers of the path's elements, named those of its forms and of its elements with the name of noise.
-    """
+    """Text of one leaf of the page: the pieces between block borders. Its root-to-leaf path is known by a number."""
 
-    path: tuple[str, ...]
+    leaf: _Node
+    named: _Named | None
     noise: bool
     main: bool
     text: str
     linked: int = 0
     score: float = field(default=0.0)
-    tags: tuple[str, ...] = ()
-    nodes: tuple[int, ...] = ()
-    named: tuple[int, ...] = ()
+
+    @property
+    def path(self) -> int:
+        return self.leaf.path
+
+    @property
+    def around(self) -> int:
+        return self.leaf.parent.number if self.leaf.parent else 0
 
     @property
     def own(self) -> int:
@@ -83,18 +115,6 @@ class Block:
         return max(0, len(self.text) - self.linked)
 
 
-@dataclass
-class _Node:
-    tag: str
-    label: str
-    noise: bool
-    main: bool
-    opaque: bool
-    hidden: bool
-    number: int
-    named: tuple[int, ...]
-
-
 def _words(tag: str) -> set[str]:
     """Lower-case parts of the class, id and role values of a tag."""
     found: set[str] = set()
@@ -109,10 +129,15 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, with markup gone, references decoded and white space made single.
 
     Open tags are closed as browsers do for the usual omissions: a paragraph by any block, list items and table cells by
-    the next one. A line break ends no block. Unclosed inline tags do not reach beyond their block.
+    the next one. A line break ends no block. Unclosed inline tags do not reach beyond their block. Each element knows the
+    one around it and the number of its path, so the work does not grow with the depth of the page.
     """
-    stack = [_Node("html", "html", False, False, False, False, 0, ())]
+    root = _Node("html")
+    root.line = root
+    stack = [root]
     opened = 0
+    open_tags: dict[str, int] = {}
+    paths: dict[tuple[int, str], int] = {}
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -122,21 +147,24 @@ def blocks_of(page: str) -> list[Block]:
         text = BLANK.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             top = stack[-1]
-            line = [n for n in stack if n.tag not in INLINE]
-            path, tags, nodes = (tuple(x) for x in zip(*((n.label, n.tag, n.number) for n in line)))
-            out.append(Block(path, top.noise or top.hidden, top.main, text, linked, tags=tags, nodes=nodes, named=top.named))
+            out.append(Block(top.line, top.named, top.noise or top.hidden, top.main, text, linked))
         parts.clear()
         linked = 0
 
     def close(count: int):
+        for node in stack[len(stack) - count :]:
+            open_tags[node.tag] -= 1
         del stack[len(stack) - count :]
 
     def find(tags, border) -> int:
-        """How many nodes to close to end the nearest of `tags`; 0 if a border comes first."""
-        for depth, node in enumerate(reversed(stack[1:]), 1):
-            if node.tag in tags:
+        """How many nodes to close to end the nearest of `tags`; 0 if none is open or a border comes first."""
+        if not any(open_tags.get(t) for t in tags):
+            return 0
+        for depth in range(1, len(stack)):
+            tag = stack[-depth].tag
+            if tag in tags:
                 return depth
-            if node.tag in border:
+            if tag in border:
                 return 0
         return 0
 
@@ -203,12 +231,20 @@ def blocks_of(page: str) -> list[Block]:
         main = top.main or tag in MAIN_TAGS or "articlebody" in words
         hidden = top.hidden or ("=" in raw or " hidden" in raw) and bool(HIDDEN.search(raw))
         role_noise = bool(words & NOISE_WORDS) and tag not in ("body", "html") and tag not in MAIN_TAGS
-        # a page has one main, and it is not part of a menu, whatever was left open before it
-        noise = tag != "main" and (top.noise or tag in NOISE_TAGS or (tag == "header" and not top.main))
+        noise = tag != "main" and (top.noise or tag in NOISE_TAGS)
         opened += 1
-        named = () if tag == "main" else (*top.named, opened) if role_noise or tag in FORM_TAGS else top.named
-        hint = next(iter(sorted(words & MAIN_WORDS)), "")
-        stack.append(_Node(tag, f"{tag}.{hint}" if hint else tag, noise, main, top.opaque or tag in OPAQUE, hidden, opened, named))
+        frame = tag in FRAME_TAGS and not (tag == "header" and top.main)
+        # a page has one main, and it is not part of a menu, whatever was left open before it
+        named = None if tag == "main" else _Named(top.named, opened, frame) if role_noise or frame or tag in FORM_TAGS else top.named
+        node = _Node(tag, noise, main, top.opaque or tag in OPAQUE, hidden, named, top.line, number=opened)
+        if tag not in INLINE:
+            hint = next(iter(sorted(words & MAIN_WORDS)), "")
+            around = top.line
+            node.line, node.parent, node.depth = node, around, around.depth + 1
+            node.path = paths.setdefault((around.path, f"{tag}.{hint}" if hint else tag), len(paths) + 1)
+            node.anchor = around.anchor if around.tag in SETS else around.number
+        stack.append(node)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             if tag not in OPAQUE:
@@ -220,9 +256,9 @@ def blocks_of(page: str) -> list[Block]:
 
 def _path_means(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     """Of each block's path: text length per node and punctuation per node, linked text not counted in the length."""
-    length: dict[tuple[str, ...], float] = {}
-    marks: dict[tuple[str, ...], float] = {}
-    nodes: dict[tuple[str, ...], int] = {}
+    length: dict[int, float] = {}
+    marks: dict[int, float] = {}
+    nodes: dict[int, int] = {}
     for b in blocks:
         length[b.path] = length.get(b.path, 0) + b.own
         marks[b.path] = marks.get(b.path, 0.5) + len(PUNCTUATION.findall(b.text))
@@ -249,50 +285,66 @@ def path_ratios(blocks: list[Block]) -> np.ndarray:
 
 
 def _without_named(blocks: list[Block]) -> list[Block]:
-    """The blocks outside forms and subtrees with the name of noise, where these do not hold the page's main text.
+    """The blocks outside forms, frames and subtrees with the name of noise, where these do not hold the page's main text.
 
     From outside in and strongest first, a subtree is let in if its best path is no weaker than the best one that is in,
-    and its text is more than OVERRULE times the text that is in beside it. What is named inside it is judged in turn.
+    and its text is more than OVERRULE times the text that is in beside it. Frames must also hold an article or main, or
+    have no text beside them. What is named inside a subtree is judged in turn.
     """
     if not any(b.named for b in blocks):
         return blocks
     length, marks = _path_means(blocks)
     marked = any(b.main for b in blocks)
     worth = [float(np.sqrt(n * m)) * (1 if b.main or not marked else UNMARKED) for b, n, m in zip(blocks, length, marks)]
-    best: dict[int, float] = {}
-    text: dict[int, int] = {}
-    marks_in: set[int] = set()
+    best: dict[_Named, float] = {}
+    text: dict[_Named, int] = {}
+    alone: dict[_Named | None, tuple[float, int]] = {}  # of what is in a subtree and in no named one inside it
+    marks_in: set[_Named] = set()
     for b, value in zip(blocks, worth):
-        for node in b.named:
-            best[node] = max(best.get(node, 0.0), value)
-            text[node] = text.get(node, 0) + b.own
-            if b.main:
-                marks_in.add(node)
-    let: set[int] = set()
+        top, own = alone.get(b.named, (0.0, 0))
+        alone[b.named] = (max(top, value), own + b.own)
+        if b.named and b.main:
+            marks_in.add(b.named)
+    # inner ones have larger numbers than those around them
+    chain: dict[_Named, None] = {}
+    for n in alone:
+        while n and n not in chain:
+            chain[n] = None
+            n = n.parent
+    inner: dict[_Named | None, list[_Named]] = {}
+    for n in sorted(chain, key=lambda n: -n.number):
+        top, own = alone.get(n, (0.0, 0))
+        best[n], text[n] = max(best.get(n, 0.0), top), text.get(n, 0) + own
+        inner.setdefault(n.parent, []).append(n)
+        if n.parent:
+            best[n.parent] = max(best.get(n.parent, 0.0), best[n])
+            text[n.parent] = text.get(n.parent, 0) + text[n]
+            if n in marks_in:
+                marks_in.add(n.parent)
+    let: set[_Named | None] = {None}
+    out = list(inner.get(None, []))
+    most, beside = alone.get(None, (0.0, 0))
     while True:
-        inside = [(b, value) for b, value in zip(blocks, worth) if let.issuperset(b.named)]
-        most, beside = max((value for _, value in inside), default=0.0), sum(b.own for b, _ in inside)
-        # of each block the outermost subtree that is still out
-        out = {next(n for n in b.named if n not in let) for b in blocks if not let.issuperset(b.named)}
-        strong = [n for n in out if best[n] > 0 and best[n] >= most and text[n] > OVERRULE * beside and (n in marks_in or text[n] >= LEAST_TEXT)]
+        strong = [
+            n for n in out
+            if best[n] > 0 and best[n] >= most and text[n] > OVERRULE * beside and (n in marks_in or text[n] >= LEAST_TEXT)
+            and (not n.frame or n in marks_in or not beside)
+        ]
         if not strong:
-            return [b for b, _ in inside]
-        let.add(max(strong, key=lambda n: (best[n], text[n], -n)))
-
-
-def _anchor(block: Block) -> int:
-    """The element that a block stands in, past lists, tables, quotes and figures."""
-    for tag, node in zip(reversed(block.tags[:-1]), reversed(block.nodes[:-1])):
-        if tag not in SETS:
-            return node
-    return 0
+            return [b for b in blocks if b.named in let]
+        chosen = max(strong, key=lambda n: (best[n], text[n], -n.number))
+        let.add(chosen)
+        out.remove(chosen)
+        out += inner.get(chosen, [])
+        top, own = alone.get(chosen, (0.0, 0))
+        most, beside = max(most, top), beside + own
 
 
 def extract(page: str | None, threshold: float = THRESHOLD) -> str:
     """Main text of a page: the kept blocks in page order, joined by two line ends.
 
-    Blocks under tags of menus, asides, footers and the like are noise and take no part in the ratios; neither do those in
-    forms and under names of notices, adverts, comments and the like, unless the ratios say that the main text is there.
+    Blocks of buttons and choices are noise and take no part in the ratios; neither do those in menus, asides, headers,
+    footers and forms and under names of notices, adverts, comments and the like, unless the main text is there.
     Of the others, on every page, paths are kept whose ratio makes up enough of the best path's, and that are not mostly
     links. With them go the headings above them, and quotes, items, cells and paragraphs that stand beside them.
     """
@@ -301,25 +353,34 @@ def extract(page: str | None, threshold: float = THRESHOLD) -> str:
     found = _without_named([b for b in blocks_of(page) if not b.noise])
     if not found:
         return ""
-    weight: dict[tuple[str, ...], float] = {}
-    links: dict[tuple[str, ...] | int, int] = {}  # by path, and by the element around the block: how much more text is in links than not
+    weight: dict[int, float] = {}
+    links: dict[tuple[str, int], int] = {}  # by path, and by the element around the block: how much more text is in links than not
     for b, ratio in zip(found, path_ratios(found)):
         b.score = float(ratio)
         weight[b.path] = max(weight.get(b.path, 0.0), b.score)
-        for key in {b.path, b.nodes[-2] if len(b.nodes) > 1 else 0}:
+        for key in (("path", b.path), ("in", b.around)):
             links[key] = links.get(key, 0) + 2 * b.linked - len(b.text)
     best = max(weight.values())
     if best == 0:
         return "\n\n".join(b.text for b in found)
-    content = {p for p, w in weight.items() if w >= threshold * best and links[p] <= 0}
-    above = {n for b in found if b.path in content for n in b.nodes[1:]}
-    beside = {_anchor(b) for b in found if b.path in content} | {b.nodes[-1] for b in found if b.path in content and b.tags[-1] not in SETS}
+    content = {p for p, w in weight.items() if w >= threshold * best and links["path", p] <= 0}
+    above: set[int] = set()
+    beside: set[int] = set()
+    for b in found:
+        if b.path in content:
+            beside.add(b.leaf.anchor)
+            if b.leaf.tag not in SETS:
+                beside.add(b.leaf.number)
+            node = b.leaf
+            while node.parent and node.number not in above:
+                above.add(node.number)
+                node = node.parent
 
     def joins(b: Block) -> bool:
-        tag = b.tags[-1]
-        if len(b.tags) < 3 or b.linked > len(b.text) // 2:
+        tag = b.leaf.tag
+        if b.leaf.depth < 3 or b.linked > len(b.text) // 2:
             return False
-        return tag in HEADINGS and b.nodes[-2] in above or tag in SHORT and links[b.nodes[-2]] <= 0 and _anchor(b) in beside
+        return tag in HEADINGS and b.around in above or tag in SHORT and links["in", b.around] <= 0 and b.leaf.anchor in beside
 
     return "\n\n".join(b.text for b in found if b.path in content or joins(b))
 

@@ -66,16 +66,18 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, payload:
     """The pages with refers_to: the largest page_id with the same payload, null for that page and for short payloads.
 
     Only ids and digests are grouped and joined; a digest that many pages share is one row after the partial sums, and
-    its pages are spread again by the join's own skew handling.
+    its pages are spread again by the join's own skew handling. Rows are told apart by id and digest, so a page_id that
+    repeats with another payload is judged by that payload; rows with a null page_id are never revisits.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
     marks = pages.select(F.col(page_id).alias("_id"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n"))
     marks = store(marks.filter(F.col("n") >= min_bytes).select("_id", "digest"), "payload-digests")
     first = marks.groupBy("digest").agg(F.max("_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1")
-    revisits = store(marks.join(first, "digest").filter("_id <> refers_to").select("_id", "refers_to").distinct(), "revisits")
+    revisits = store(marks.join(first, "digest").filter("_id <> refers_to").select("_id", "digest", "refers_to").distinct(), "revisits")
     discard(marks)
-    kept = pages.drop("refers_to")
-    return kept.join(revisits, F.col(page_id) == F.col("_id"), "left").drop("_id")
+    kept = pages.drop("refers_to", "_id", "_digest").withColumn("_digest", F.sha1(body.cast("binary")))
+    revisits = revisits.select("_id", F.col("digest").alias("_of"), "refers_to")
+    return kept.join(revisits, (F.col(page_id) == F.col("_id")) & (F.col("_digest") == F.col("_of")), "left").drop("_id", "_of", "_digest")
 
 
 def write_warc(pages: DataFrame, path: str, payload: str = "html", page_id: str = "page_id", url: str = "url", min_bytes: int = MIN_REVISIT_BYTES) -> None:
