@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import array
 import hashlib
 import json
 import os
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,27 +24,63 @@ from winnow.session import scratch_path
 
 SEGMENT = 1 << 18
 LONG_RUN = 1000
-NAMES = 1_000_000
+CACHE_WORDS = 300_000
+CACHED_LENGTH = 64
+FIRST_PROBE = 4
+KEPT_GROUPS = 500_000
+IRREGULAR = 1 << 48
 CHUNK_LINKS = 1 << 21
 ROWS = 64
 SPACE = "▁"
 BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>\Z")
+LOOSE = re.compile(r"\s |\s\Z")
 CUT = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
 _pairs: dict[tuple[str, str], "TokenizerPair"] = {}
 
 
-class Names(dict):
-    """A linked pair as it is written between two groups; kept for a bounded number of pairs."""
+class Groups(dict):
+    """How groups are written, by number: a linked pair's own, or one from `IRREGULAR` on for each other group seen."""
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, a_sizes: np.ndarray, b_sizes: np.ndarray):
+        self.a_sizes, self.b_sizes = a_sizes.tolist(), b_sizes.tolist()
+        self.width = len(self.b_sizes)
+        self.numbers: dict[bytes, int] = {}
+        self.links: list[list[int]] = []
 
     def __missing__(self, pair: int) -> str:
-        if len(self) >= NAMES:
-            self.clear()
         self[pair] = name = "%d|%d" % divmod(pair, self.width)
         return name
 
+    def learn(self, key: bytes, n_a: int) -> int:
+        """Number of a group of several tokens on a side or of unlike sizes, given the packed ids of both sides."""
+        ids = array.array("I", key).tolist()
+        a, b = ids[:n_a], ids[n_a:]
+        links, i, j = [], 0, 0
+        end_a, end_b = self.a_sizes[a[0]], self.b_sizes[b[0]]
+        while True:
+            links.append(a[i] * self.width + b[j])
+            if end_a < end_b:
+                i += 1
+                end_a += self.a_sizes[a[i]]
+            elif end_b < end_a:
+                j += 1
+                end_b += self.b_sizes[b[j]]
+            else:
+                break
+        found = IRREGULAR + len(self.links)
+        # the same ids in the same order part in one way only, where both sides have the same bytes
+        self.numbers[key] = found
+        self[found] = ",".join(map(str, a)) + "|" + ",".join(map(str, b))
+        self.links.append(links)
+        return found
+
+    def trim(self) -> None:
+        """Forget all when it has become much; between texts only."""
+        if len(self) > KEPT_GROUPS:
+            self.clear()
+            self.numbers.clear()
+            self.links.clear()
+
 
 class TokenizerPair:
     """A byte-level BPE file (A) and a SentencePiece BPE model with byte fallback (B), with the bytes of their tokens."""
@@ -66,7 +105,10 @@ class TokenizerPair:
         self.a_sizes = np.array([len(x) for x in self.a_bytes])
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
         self.width = len(self.b_bytes)
-        self.names = Names(self.width)
+        self.known_a: dict[str, bytes | None] = {}
+        self.known_b: dict[str, bytes | None] = {}
+        self.groups = Groups(self.a_sizes, self.b_sizes)
+        self.narrow = max(self.a_sizes.max(), self.b_sizes.max()) < 256
 
     def _quick(self, given: dict):
         """The same encoding by a faster library, if the file's merges stand in the order of their ids; else None."""
@@ -90,17 +132,62 @@ class TokenizerPair:
         found = BYTE_PIECE.match(piece)
         return bytes([int(found[1], 16)]) if found else piece.replace(SPACE, " ").encode("utf-8")
 
-    def _encode_a(self, segment: str) -> list[int]:
-        words = segment.split()
-        lengths = list(map(len, words))
-        # long runs go to the library that takes them in n log n steps and without recursion
-        if self.quick and max(lengths, default=0) < LONG_RUN and len(segment) - sum(lengths) < len(words) + LONG_RUN:
-            return self.quick(segment)
-        return self.a.encode(segment, add_special_tokens=False).ids
+    def sizes(self, of: np.ndarray) -> Sequence[int]:
+        return of.astype(np.uint8).tobytes() if self.narrow else of.tolist()
 
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers for segments that begin with a space; B adds that space itself."""
-        return list(map(self._encode_a, segments)), self.b.encode([s[1:] for s in segments], num_threads=1)
+    def _encode_a(self, word: str) -> list[int]:
+        # long runs go to the library that takes them in n log n steps and without recursion
+        if self.quick and len(word) < LONG_RUN:
+            return self.quick(" " + word)
+        return self.a.encode(" " + word, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words behind a space, which B adds itself; None where the tokens do not give the word back."""
+        plain = [w for w in words if w and len(w) < LONG_RUN and not w[-1].isspace()] if self.quick else []
+        joined = "".join([" " + w for w in plain])
+        data = joined.encode("utf-8")
+        a = self.quick(joined) if plain else []
+        b = self.b.encode(plain, num_threads=1)
+        parts = [list(map(self.a_bytes.__getitem__, a)), list(map(self.b_bytes.__getitem__, chain.from_iterable(b)))]
+        if all(b"".join(p) == data and b"" not in p for p in parts):
+            # one call for all of A: the words' tokens end where the words do
+            ends = np.cumsum([len(w.encode("utf-8")) + 1 for w in plain])
+            a_cuts = (4 * (np.searchsorted(self.a_sizes[np.array(a, np.int64)].cumsum(), ends) + 1)).tolist()
+            b_cuts = (4 * np.cumsum([len(x) for x in b])).tolist()
+            packed_a, packed_b = array.array("I", a).tobytes(), array.array("I", chain.from_iterable(b)).tobytes()
+            for w, i, x, j, y in zip(plain, [0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts):
+                self.known_a[w] = packed_a[i:x]
+                self.known_b[w] = packed_b[j:y]
+            words = [w for w in words if w not in self.known_a]
+        for w, a, b in zip(words, map(self._encode_a, words), self.b.encode(words, num_threads=1)):
+            data = (" " + w).encode("utf-8")
+            a_parts, b_parts = [self.a_bytes[n] for n in a], [self.b_bytes[n] for n in b]
+            good = b"".join(a_parts) == data == b"".join(b_parts) and b"" not in a_parts and b"" not in b_parts
+            self.known_a[w] = array.array("I", a).tobytes() if good else None
+            self.known_b[w] = array.array("I", b).tobytes() if good else None
+
+    def encode(self, segments: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Packed ids of both tokenizers for segments that begin with a space; None for those they do not give back.
+
+        Words are kept between calls: about `CACHE_WORDS` and those of one call, long ones for this call only.
+        """
+        if len(self.known_a) > CACHE_WORDS:
+            self.known_a.clear()
+            self.known_b.clear()
+        parts = [stretches(s) for s in segments]
+        missing = list(set(chain.from_iterable(parts)).difference(self.known_a))
+        if missing:
+            self._learn(missing)
+        out: list[tuple[bytes, bytes] | None] = []
+        for words in parts:
+            try:
+                out.append((b"".join(map(self.known_a.__getitem__, words)), b"".join(map(self.known_b.__getitem__, words))))
+            except TypeError:  # None: not given back
+                out.append(None)
+        for w in missing:
+            if len(w) > CACHED_LENGTH:
+                del self.known_a[w], self.known_b[w]
+        return out
 
 
 def tokenizer_pair(a_path: str, b_path: str) -> TokenizerPair:
@@ -128,45 +215,66 @@ def segments(text: str, size: int = SEGMENT) -> list[str]:
     return out
 
 
-def run_length(ea: list[int], eb: list[int], i: int, j: int) -> int:
-    """How many tokens from i and j on end at the same bytes, one by one: probes of 1, 2, 4, ... ends, then halves."""
-    most = min(len(ea) - i, len(eb) - j)
-    n, width = 0, 1
-    while n + width <= most and ea[i + n : i + n + width] == eb[j + n : j + n + width]:
+def stretches(segment: str) -> list[str]:
+    """The parts of a segment between such places, each without the space that it begins with."""
+    if LOOSE.search(segment):
+        return [part[1:] for part in CUT.split(segment)]
+    return segment[1:].split(" ")
+
+
+def run_length(a: Sequence[int], b: Sequence[int], i: int, j: int) -> int:
+    """How many tokens from i and j on end at the same bytes, one by one: probes of 4, 8, 16, ... tokens, then halves.
+
+    Both sides stand at a common end here, so their ends stay equal at this index shift just as long as their sizes do;
+    sizes are compared because they fit single bytes.
+    """
+    most = min(len(a) - i, len(b) - j)
+    n, width = 0, FIRST_PROBE
+    while n + width <= most and a[i + n : i + n + width] == b[j + n : j + n + width]:
         n += width
         width *= 2
     while width > 1:
         width //= 2
-        if n + width <= most and ea[i + n : i + n + width] == eb[j + n : j + n + width]:
+        if n + width <= most and a[i + n : i + n + width] == b[j + n : j + n + width]:
             n += width
     return n
 
 
-def align(ea: list[int], eb: list[int]) -> list[tuple[int, int, int, int, bool]]:
-    """Groups between bytes where tokens of both sides end, for rising end offsets with an equal last one.
+def align(a: Sequence[int], b: Sequence[int]) -> tuple[tuple[list[int], list[int], list[int]], tuple[list[int], list[int], list[int], list[int]]]:
+    """Groups between bytes where tokens of both sides end, for token sizes in bytes with equal sums.
 
-    Returned as stretches (i, j, next i, next j, straight): straight ones of one-to-one groups that `run_length` skips at
-    the present index shift j - i, and one for each irregular group, which is walked to its end and moves the shift.
+    First the stretches (i, j, n) of n one-to-one groups that `run_length` skips at the present index shift j - i; then
+    the irregular groups (i, j, next i, next j), each walked to its common end, which moves the shift. Both as columns.
     """
-    out = []
+    starts, others, lengths = [], [], []
+    firsts, seconds, next_firsts, next_seconds = [], [], [], []
     i = j = 0
-    while i < len(ea):
-        if ea[i] == eb[j]:
-            n = run_length(ea, eb, i, j)
-            out.append((i, j, i + n, j + n, True))
+    last = len(a)
+    while i < last:
+        if a[i] == b[j]:
+            n = run_length(a, b, i, j)
+            starts.append(i)
+            others.append(j)
+            lengths.append(n)
             i += n
             j += n
-            if i >= len(ea):
+            if i >= last:
                 break
-        x, y = i, j
-        while (p := ea[x]) != (q := eb[y]):
-            if p < q:
-                x += 1
+        firsts.append(i)
+        seconds.append(j)
+        ahead = a[i] - b[j]  # how far the end of i lies behind that of j
+        while ahead:
+            if ahead < 0:
+                i += 1
+                ahead += a[i]
             else:
-                y += 1
-        out.append((i, j, x + 1, y + 1, False))
-        i, j = x + 1, y + 1
-    return out
+                j += 1
+                ahead -= b[j]
+        i += 1
+        j += 1
+        next_firsts.append(i)
+        next_seconds.append(j)
+    return (starts, others, lengths), (firsts, seconds, next_firsts, next_seconds)
 
 
 class Document:
@@ -178,47 +286,37 @@ class Document:
         self.digest = hashlib.sha256()
         self.good = True
 
-    def add(self, both: TokenizerPair, segment: str, a_list: list[int], b_list: list[int]) -> None:
-        data = segment.encode("utf-8")
-        same = self.good and b"".join(map(both.a_bytes.__getitem__, a_list)) == data == b"".join(map(both.b_bytes.__getitem__, b_list))
-        a, b = np.array(a_list), np.array(b_list)
-        if not same or not both.a_sizes[a].all() or not both.b_sizes[b].all():
+    def add(self, both: TokenizerPair, ids: tuple[bytes, bytes] | None) -> None:
+        if ids is None:
             self.good = False
+        if not self.good:
             return
-        ea, eb = both.a_sizes[a].cumsum().tolist(), both.b_sizes[b].cumsum().tolist()
-        found = align(ea, eb)
-        straight = np.array([p[:3] for p in found if p[4]], np.int64).reshape(-1, 3)
-        sizes = straight[:, 2] - straight[:, 0]
-        step = np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
-        single = a[np.repeat(straight[:, 0], sizes) + step] * both.width + b[np.repeat(straight[:, 1], sizes) + step]
-        names = list(map(both.names.__getitem__, single.tolist()))
-        links: list[int] = []
-        groups: list[str] = []
-        n_groups = at = 0
-        for p, q, p_end, q_end, skipped in found:
-            if skipped:
-                n = p_end - p
-                groups.append(";".join(names[at : at + n]))
-                n_groups += n
-                at += n
-                continue
-            groups.append(",".join(map(str, a_list[p:p_end])) + "|" + ",".join(map(str, b_list[q:q_end])))
-            n_groups += 1
-            while True:
-                links.append(a_list[p] * both.width + b_list[q])
-                if ea[p] < eb[q]:
-                    p += 1
-                elif eb[q] < ea[p]:
-                    q += 1
-                else:
-                    break
+        a, b = (np.frombuffer(side, np.uint32).astype(np.int64) for side in ids)
+        (i, j, n), irregular = align(both.sizes(both.a_sizes[a]), both.sizes(both.b_sizes[b]))
+        groups = both.groups
+        groups.trim()
+        packed_a, packed_b = ids
+        known, numbers = groups.numbers, []
+        for p, q, x, y in zip(*irregular):
+            key = packed_a[4 * p : 4 * x] + packed_b[4 * q : 4 * y]
+            numbers.append(known.get(key) or groups.learn(key, x - p))
+        i, j, n = (np.array(v, np.int64) for v in (i, j, n))
+        step = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+        at = np.repeat(i, n) + step
+        single = a[at] * both.width + b[np.repeat(j, n) + step]
+        # a group stands where its first token of A does
+        order = np.full(len(a), -1)
+        order[at] = single
+        order[irregular[0]] = numbers
+        order = order[order >= 0]
         if self.n_groups:
             self.digest.update(b";")
-        self.digest.update(";".join(groups).encode())
+        self.digest.update(";".join(map(groups.__getitem__, order.tolist())).encode())
         self.n_a += len(a)
         self.n_b += len(b)
-        self.n_groups += n_groups
-        self.links += [single.astype(np.uint64), np.array(links, np.uint64)]
+        self.n_groups += len(order)
+        linked = chain.from_iterable(groups.links[k - IRREGULAR] for k in numbers)
+        self.links += [single.astype(np.uint64), np.fromiter(linked, np.uint64)]
 
     def row(self, kind: type) -> tuple:
         if not self.good or not self.n_groups:
@@ -259,8 +357,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, text: str = "text
                     owners += [owner] * len(found)
                 for low in range(0, len(parts), ROWS):
                     some = slice(low, low + ROWS)
-                    for owner, *found in zip(owners[some], parts[some], *both.encode(parts[some])):
-                        owner.add(both, *found)
+                    for owner, found in zip(owners[some], both.encode(parts[some])):
+                        owner.add(both, found)
                 columns = list(zip(*(d.row(kind) for d in done)))
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
                 given = batch.slice(begin, at - begin)
