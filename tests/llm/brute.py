@@ -41,28 +41,27 @@ def normalised(line):
     return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line)).strip(" ").lower()
 
 
-def frequent_lines(docs, max_share=0.1, min_documents=20):
-    """docs: (host, text); host -> set of normalised lines."""
-    holders, texts = defaultdict(set), defaultdict(set)
-    for host, text in docs:
-        for line in (text or "").split("\n"):
-            if words(line):
-                holders[host, normalised(line)].add(text)
-                texts[host].add(text)
-    found = defaultdict(set)
+def frequent_lines(docs, min_documents=20):
+    """docs: (doc_id, host, text); host -> normalised line -> text of the document with the smallest id that holds it."""
+    holders = defaultdict(list)
+    for doc, host, text in docs:
+        for line in {normalised(x) for x in (text or "").split("\n") if words(x)}:
+            holders[host, line].append((doc is None, doc if doc is not None else 0, text))
+    found = defaultdict(dict)
     for (host, line), held in holders.items():
-        if len(held) > min_documents and len(held) > max_share * len(texts[host]):
-            found[host].add(line)
+        if len({(none, doc, text if none else None) for none, doc, text in held}) > min_documents:
+            found[host][line] = min(held, key=lambda h: h[:2])[2]
     return found
 
 
 def clean(text, frequent):
-    """(kept, text without the frequent lines)"""
+    """(kept, text without the frequent lines of its host that another text keeps)"""
     n = len(words(text))
-    rest = "\n".join(x for x in (text or "").split("\n") if not frequent or normalised(x) not in frequent)
+    lost = [x for x in (text or "").split("\n") if frequent and words(x) and frequent.get(normalised(x), text) != text]
+    rest = "\n".join(x for x in (text or "").split("\n") if x not in lost) if lost else text
     left = len(words(rest))
-    gone = bool(frequent) and left < n and (left < 10 or 100 * left < 20 * n)
-    return not base_rules(text)[5] and not gone, rest if frequent else text
+    gone = bool(lost) and (left < 10 or 100 * left < 20 * n)
+    return not base_rules(text)[5] and not gone, rest
 
 
 def fingerprint(text):

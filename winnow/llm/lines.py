@@ -8,13 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import SPACES, WHITE, WORD, broadcast_if_small, discard, store
+from winnow.llm.shared import SPACES, WHITE, WORD, discard, store
 
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "[#*$%&|<>]"
-MAX_HOST_SHARE = 0.1
 MIN_DOCUMENTS = 20
 MIN_KEPT_PERCENT = 20
 
@@ -99,75 +98,63 @@ def host_key(host: Column) -> Column:
     return F.xxhash64(host, host.isNull())
 
 
-def frequent_lines(
-    docs: DataFrame, text: str = "text", host: str = "source", max_share: float = MAX_HOST_SHARE, min_documents: int = MIN_DOCUMENTS
-) -> DataFrame:
-    """(host, frequent): the hash of each host with frequent lines, and the array of the hashes of those lines.
+def line_rows(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """(host, id, doc, txt, at, words, line) for every line with a word: hashes of host, text and normalised line.
 
-    A line is frequent when more than `max_share` of its host's documents, and more than `min_documents`, hold it.
-    Documents of one host with the same text count once, so exact copies do not make their own lines frequent. Lines
-    are made distinct per text, then counted per host, each time before the shuffle. A host has at most 1 / max_share
-    times as many frequent lines as a document of it has lines on average, so the arrays stay short.
+    doc tells documents apart: the hash of the id, or of the text where the id is null.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(host_key(F.col(host)).alias("host"), F.xxhash64(t).alias("txt"), F.explode(F.split(t, "\n")).alias("line"))
-    lines = lines.filter(F.col("line").rlike(WORD)).select("host", "txt", line_key(F.col("line")).alias("line"))
-    lines = store(lines.distinct(), "lines")
-    hosts = lines.select("host", "txt").distinct().groupBy("host").agg(F.count("*").alias("all_docs"))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_documents)
-    frequent = counts.join(hosts, "host").filter(F.col("docs") > max_share * F.col("all_docs"))
-    found = store(frequent.groupBy("host").agg(F.collect_set("line").alias("frequent")), "frequent-lines")
-    discard(lines)
-    return found
+    txt = F.xxhash64(t)
+    doc = F.when(F.col(doc_id).isNull(), txt).otherwise(F.xxhash64(F.col(doc_id)))
+    rows = docs.select(host_key(F.col(host)).alias("host"), F.col(doc_id).alias("id"), doc.alias("doc"), txt.alias("txt"), F.posexplode(F.split(t, "\n")).alias("at", "line"))
+    rows = rows.withColumn("words", F.regexp_count("line", F.lit(WORD)).cast("long")).filter("words > 0")
+    return rows.withColumn("line", line_key(F.col("line")))
 
 
-def repeated_lines(docs: DataFrame, doc_id: str, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(host, frequent, first): like `frequent_lines`, by a limit that does not grow with the host and by documents.
+def frequent_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """(host, line, first) of the lines in more than `min_documents` documents of their host, however large it is.
 
-    A line is frequent when more than `min_documents` documents of its host hold it, copies of a text among them; rows
-    with a null id are one document per text. Of the texts that hold a line, the one with the smallest hash keeps it: first
-    has the hashes of these pairs. So one of each group of near copies stays whole, and so do exact copies.
+    Documents are told apart by id, so copies of a text count each. first is the text, by its hash, of the document with
+    the smallest id that holds the line (null ids come last). Lines are made distinct per document and then counted, both
+    times in the tasks before the shuffle; a hot host is spread by its lines.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    txt = F.xxhash64(t)
-    doc = F.when(F.col(doc_id).isNull(), txt).otherwise(F.xxhash64(F.col(doc_id)))
-    lines = docs.select(host_key(F.col(host)).alias("host"), doc.alias("doc"), txt.alias("txt"), F.explode(F.split(t, "\n")).alias("line"))
-    lines = lines.filter(F.col("line").rlike(WORD)).select("host", "doc", "txt", line_key(F.col("line")).alias("line"))
-    lines = lines.groupBy("host", "doc", "line").agg(F.min("txt").alias("txt"))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("txt").alias("txt")).filter(F.col("docs") > min_documents)
-    pairs = counts.groupBy("host").agg(F.collect_list("line").alias("frequent"), F.collect_list(F.xxhash64("line", "txt")).alias("first"))
-    return store(pairs, "repeated-lines")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "txt")
+    per_document = rows.groupBy("host", "line", "doc").agg(F.min(order).alias("first"))
+    counts = per_document.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
+    return counts.filter(F.col("docs") > min_documents).select("host", "line", "first.txt").withColumnRenamed("txt", "first")
+
 
+def dropped_lines(docs: DataFrame, text: str, host: str, doc_id: str, min_documents: int) -> DataFrame:
+    """(_host, _txt, _drop): of every text that loses lines, the places of these lines and their numbers of words.
 
-def _with_lines(docs: DataFrame, frequent: DataFrame, text: str, host: str) -> DataFrame:
-    """The documents with _kept_lines: null where the host has no frequent line, else the lines that stay."""
-    table = broadcast_if_small(frequent.withColumnRenamed("host", "_host"), bytes_per_row=1024)
-    joined = docs.withColumn("_host", host_key(F.col(host))).join(table, "_host", "left")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    if "first" in frequent.columns:
-        own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-        keeps = lambda key: ~F.array_contains(F.col("frequent"), key) | F.array_contains(F.col("first"), F.xxhash64(key, own))
-        stay = F.filter(lines, lambda line: _let(line_key(line), keeps))
-    else:
-        stay = F.filter(lines, lambda line: ~F.array_contains(F.col("frequent"), line_key(line)))
-    return joined.withColumn("_kept_lines", F.when(F.col("frequent").isNotNull(), stay)).drop("_host", "frequent", "first")
+    A frequent line stays in the document with the smallest id that holds it, and in copies of that text. Lines meet the
+    frequent ones by an equi-join on (host, line), so no host's lines are gathered in one place or sent to all tasks.
+    """
+    rows = store(line_rows(docs, text, host, doc_id), "lines")
+    lost = rows.join(frequent_lines(rows, min_documents), ["host", "line"]).filter("txt <> first")
+    found = lost.groupBy(F.col("host").alias("_host"), F.col("txt").alias("_txt")).agg(F.collect_set(F.struct("at", "words")).alias("_drop"))
+    found = store(found, "dropped-lines")
+    discard(rows)
+    return found
 
 
-def _left_text() -> Column:
-    return F.array_join("_kept_lines", "\n")
+def _marked(docs: DataFrame, dropped: DataFrame, text: str, host: str) -> DataFrame:
+    """The documents with _drop, null where no line is lost."""
+    keyed = docs.withColumns({"_host": host_key(F.col(host)), "_txt": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    return keyed.join(dropped, ["_host", "_txt"], "left").drop("_host", "_txt")
 
 
-def _depleted(n_words: Column, min_words: int, min_kept_percent: int) -> Column:
-    left = F.regexp_count(_left_text(), F.lit(WORD))
-    few = _let(left, lambda x: (x < n_words) & ((x < min_words) | (100 * x < min_kept_percent * n_words)))
-    return F.col("_kept_lines").isNotNull() & few
+def _depleted(min_words: int, min_kept_percent: int) -> Column:
+    gone = F.aggregate(F.transform("_drop", lambda d: d["words"]), F.lit(0).cast("long"), lambda total, n: total + n)
+    few = _let(F.col("n_words") - gone, lambda left: (left < min_words) | (100 * left < min_kept_percent * F.col("n_words")))
+    return F.col("_drop").isNotNull() & few
 
 
 def quality(
     docs: DataFrame,
     text: str = "text",
     host: str = "source",
-    max_share: float = MAX_HOST_SHARE,
+    doc_id: str = "doc_id",
     min_documents: int = MIN_DOCUMENTS,
     min_words: int = MIN_WORDS,
     min_kept_percent: int = MIN_KEPT_PERCENT,
@@ -175,26 +162,27 @@ def quality(
     """The documents with the base counts, base_failed and kept.
 
     kept is false for documents that fail the base rules, and for depleted ones: those of which the frequent lines of
-    their host leave less than `min_words` words or less than `min_kept_percent` of their words. Null text has no words
-    and fails; a null host is a host of its own; repeated rows share a verdict; an empty table gives an empty result;
-    columns named like the new ones are replaced.
+    their host, but for those that stay by `dropped_lines`, leave less than `min_words` words or less than
+    `min_kept_percent` of their words. Null text has no words and fails; a null host is a host of its own; rows with a
+    null id are one document per text; repeated rows share a verdict; an empty table gives an empty result; columns named
+    like the new ones are replaced.
     """
-    frequent = frequent_lines(docs, text, host, max_share, min_documents)
+    dropped = dropped_lines(docs, text, host, doc_id, min_documents)
     ruled = base_rules(docs.drop("kept"), text)
-    marked = _with_lines(ruled, frequent, text, host)
-    gone = _depleted(F.col("n_words"), min_words, min_kept_percent)
-    return marked.select(*ruled.columns, (~(F.col("base_failed") | gone)).alias("kept"))
+    marked = _marked(ruled, dropped, text, host)
+    return marked.select(*ruled.columns, (~(F.col("base_failed") | _depleted(min_words, min_kept_percent))).alias("kept"))
 
 
-def clean(docs: DataFrame, text: str = "text", host: str = "source", max_share: float = MAX_HOST_SHARE, min_documents: int = MIN_DOCUMENTS, doc_id: str | None = None) -> DataFrame:
-    """The kept documents without the frequent lines of their host, and with the columns that `quality` adds.
+def clean(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """The documents that `quality` keeps, without the frequent lines of their host, and with the columns it adds.
 
-    The counts are those of the text before the removal. With `doc_id` the lines are those of `repeated_lines`, for which
-    the size of the host does not count.
+    The counts are those of the text before the removal.
     """
-    frequent = repeated_lines(docs, doc_id, text, host, min_documents) if doc_id else frequent_lines(docs, text, host, max_share, min_documents)
+    dropped = dropped_lines(docs, text, host, doc_id, min_documents)
     ruled = base_rules(docs.drop("kept"), text)
-    marked = _with_lines(ruled, frequent, text, host)
-    kept = marked.filter(~F.col("base_failed") & ~_depleted(F.col("n_words"), MIN_WORDS, MIN_KEPT_PERCENT))
-    left = F.when(F.col("_kept_lines").isNotNull(), _left_text()).otherwise(F.col(text))
-    return kept.withColumn(text, left).select(*ruled.columns, F.lit(True).alias("kept"))
+    kept = _marked(ruled, dropped, text, host).filter(~F.col("base_failed") & ~_depleted(MIN_WORDS, MIN_KEPT_PERCENT))
+    lines = F.split(F.col(text), "\n")
+    # array_except works by a hash set, so long texts take time in proportion
+    stay = lambda all_: F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.transform("_drop", lambda d: d["at"]))
+    left = _let(lines, lambda all_: F.array_join(F.transform(stay(all_), lambda at: F.get(all_, at)), "\n"))
+    return kept.withColumn(text, F.when(F.col("_drop").isNotNull(), left).otherwise(F.col(text))).select(*ruled.columns, F.lit(True).alias("kept"))

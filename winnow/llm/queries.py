@@ -127,10 +127,9 @@ worded AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, '[^\x
   lower(trim(regexp_replace(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'))) AS norm
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM worded GROUP BY source),
-frequent AS (SELECT w.source, norm FROM worded w JOIN hosts h ON w.source IS NOT DISTINCT FROM h.source GROUP BY w.source, norm, h.n
-  HAVING count(DISTINCT text) > {lines.MIN_DOCUMENTS} AND count(DISTINCT text) > {lines.MAX_HOST_SHARE}e0 * h.n),
-removed AS (SELECT doc_id, sum(w.n) AS n FROM worded w JOIN frequent f ON w.source IS NOT DISTINCT FROM f.source AND w.norm = f.norm GROUP BY doc_id),
+frequent AS (SELECT source, norm, arg_min(text, doc_id) AS first FROM worded GROUP BY source, norm HAVING count(DISTINCT doc_id) > {lines.MIN_DOCUMENTS}),
+removed AS (SELECT doc_id, sum(w.n) AS n FROM worded w JOIN frequent f ON w.source IS NOT DISTINCT FROM f.source AND w.norm = f.norm
+  WHERE w.text <> f.first GROUP BY doc_id),
 base AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
   coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0) AS gone
