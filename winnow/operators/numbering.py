@@ -1,19 +1,23 @@
 """Ranks and medians over groups of any size.
 
-A window over one huge group is one task. Here the rows are range-partitioned on (group, order), written once, and
+A window over one huge group is one task. For ranks the rows are range-partitioned on (group, order), written once, and
 ranked inside their partition; the rows of the same group in earlier partitions are added from a count table with
-one row per (partition, group).
+one row per (partition, group). Medians are selected by counting, without order.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.scalars import number
-from winnow.session import materialise
+from winnow.session import materialise, release
+
+BIN_BITS = 16
+LARGEST = sys.float_info.max
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[Column], weight: Column, out_col: str) -> DataFrame:
@@ -74,44 +78,82 @@ def assign_ids(
     return rank_in_group(df, [], order, "_rank", order_columns).withColumn(id_col, text).drop("_rank")
 
 
+def ordered_bits(df: DataFrame, value: str, out_col: str) -> DataFrame:
+    """The frame with a long that orders like the double `value`: its sign, exponent and mantissa as one number.
+
+    Built from arithmetic that is exact (scaling by powers of two), so it stays in generated code. Both zeros give 0,
+    infinities the ends of the scale, null gives null.
+    """
+    size = F.least(F.abs(value), F.lit(LARGEST))
+    first = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2("_size")).cast("int")))
+    power = F.pow(F.lit(2.0), F.col("_e"))
+    exact = F.when(F.col("_size") < power, F.col("_e") - 1).when(F.col("_size") >= power * 2.0, F.col("_e") + 1).otherwise(F.col("_e"))
+    tiny = (F.least(F.col("_size"), F.lit(2.0**-1022)) * 2.0**537 * 2.0**537).cast("long")
+    mantissa = ((F.col("_size") / F.pow(F.lit(2.0), F.col("_x")) - 1.0) * 2.0**52).cast("long")
+    place = F.shiftleft((F.col("_x") + 1023).cast("long"), 52) + mantissa
+    bits = (
+        F.when(F.abs(value) == float("inf"), F.lit(2047 << 52))
+        .when(F.col("_size") < 2.0**-1022, tiny)
+        .otherwise(place)
+    )
+    stepped = df.withColumn("_size", size).withColumn("_e", first).withColumn("_x", exact)
+    return stepped.withColumn(out_col, F.when(F.col(value) < 0, -bits).when(F.col(value) >= 0, bits)).drop("_size", "_e", "_x")
+
+
 def medians(
     df: DataFrame, groups: Sequence[str], value_col: str, out_col: str = "median", also: Sequence[Column] = ()
 ) -> DataFrame:
-    """Exact median of the non-null values per group, with further aggregates of the same pass.
+    """Exact median of the non-null values per group, with further aggregates of the first pass.
 
-    The input is read twice. The first pass sketches the middle of each group and takes the aggregates in `also`; the
-    second counts the values inside the bracket, which are then ranked over range partitions, so no group and no part
-    of one has to fit a task.
+    Radix selection: the first pass counts the values and finds their range; each further one counts the values inside
+    the range by the leading bits of their place in it (2 ** `BIN_BITS` counters a group, added up in the tasks) and goes on in the
+    bin that holds the middle, between the least and the largest value seen there. Two middle values in different bins
+    are the largest of one and the least of the next. At most five passes read the input, and two or three do as a rule;
+    only the counters are shuffled, and one row per group is stored between passes. Jobs run when this is called.
     """
     keys = list(groups) or ["_all"]
     source = df if groups else df.withColumn("_all", F.lit(1))
     # no filter on the value: it would be pushed below the projection and copy the value's whole expression
-    middle = F.percentile_approx(number(value_col), F.array(F.lit(0.499), F.lit(0.501)), 10000)
-    first = source.groupBy(*keys).agg(F.count(number(value_col)).alias("_n"), middle.alias("_q"), *also)
-    # one row per group, computed once
-    first = materialise(first, "sketch")
-    bounds = first.select(*keys, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-    data = source.select(*keys, number(value_col).alias("_v"))
-    # without groups the bounds are one row; with groups AQE picks the join from their measured size
-    near = null_safe_join(data, bounds if groups else F.broadcast(bounds), keys)
-    # values below the bracket collapse to one row per group before the ranking
-    slot = F.when(F.col("_v") < F.col("_lo"), F.lit(None)).otherwise(F.col("_v"))
-    counted = (
-        near.filter(F.coalesce(F.col("_v") <= F.col("_hi"), F.lit(False)))
-        .select(*keys, "_n", slot.alias("_v"))
-        .groupBy(*keys, "_n", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+    value = number(value_col)
+    first = source.groupBy(*keys).agg(
+        F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.lit(0).cast("long").alias("_below"), *also
     )
-    ranked = running_totals(counted, keys, [F.asc_nulls_first("_v")], F.col("_c"), "_total")
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-
-    def at(rank: Column) -> Column:
-        hit = (F.col("_total") >= rank) & (F.col("_total") - F.col("_c") < rank)
-        return F.max(F.when(hit, F.col("_v")))
-
-    found = ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2.0).alias(out_col))
-    rest = first.drop("_n", "_q")
-    return null_safe_join(rest, found, keys, "left").select(*groups, out_col, *[c for c in rest.columns if c not in keys])
+    answer = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).cast("double")
+    state = materialise(first.withColumn(out_col, answer), "median")
+    data = source.select(*keys, value.alias("_v"))
+    kept = [c for c in state.columns if c not in ("_lo", "_hi", "_below", out_col)]
+    while not (open_groups := state.filter(F.col(out_col).isNull() & (F.col("_n") > 0))).isEmpty():
+        ranges = ordered_bits(ordered_bits(open_groups, "_lo", "_from"), "_hi", "_to")
+        width = F.ceil(F.log2(F.col("_to").cast("double") - F.col("_from").cast("double") + 1)).cast("int")
+        ranges = ranges.select(*keys, "_lo", "_hi", "_from", F.greatest(F.lit(0), width - BIN_BITS).alias("_shift"))
+        # without groups the range is one row; with groups AQE picks the join from their measured size
+        near = null_safe_join(data, ranges if groups else F.broadcast(ranges), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        placed = ordered_bits(near, "_v", "_bits")
+        shift = lambda c: F.call_function("shiftright", F.col(c), F.col("_shift"))
+        counted = placed.groupBy(*keys, (shift("_bits") - shift("_from")).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
+        )
+        upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        counted = counted.withColumn("_upto", F.sum("_c").over(upto))
+        joined = null_safe_join(state, counted, keys, "left")
+        low, high = F.floor((F.col("_n") + 1) / 2) - F.col("_below"), F.floor(F.col("_n") / 2) + 1 - F.col("_below")
+
+        def hit(rank: Column, column: str) -> Column:
+            return F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), F.col(column)))
+
+        found = joined.groupBy(*keys).agg(
+            hit(low, "_bin").alias("_b1"), hit(high, "_bin").alias("_b2"), hit(low, "_least").alias("_lo1"), hit(low, "_most").alias("_hi1"),
+            hit(high, "_least").alias("_lo2"), (hit(low, "_upto") - hit(low, "_c")).alias("_skipped"),
+        )
+        both = null_safe_join(state, found, keys)
+        apart = F.when(F.col("_b1") < F.col("_b2"), (F.col("_hi1") + F.col("_lo2")) / 2.0).when(F.col("_lo1") == F.col("_hi1"), F.col("_lo1"))
+        newer = both.select(
+            *kept, F.coalesce("_lo1", "_lo").alias("_lo"), F.coalesce("_hi1", "_hi").alias("_hi"),
+            (F.col("_below") + F.coalesce("_skipped", F.lit(0))).alias("_below"), F.coalesce(out_col, apart).alias(out_col),
+        )
+        older, state = state, materialise(newer, "median")
+        release(older)
+    return state.select(*groups, out_col, *[c for c in kept if c not in (*keys, "_n")])
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
