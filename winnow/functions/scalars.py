@@ -36,6 +36,17 @@ def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    scale = float(10**digits)
+    product = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * scale - product) + (x - high) * scale
+    below = F.floor(product)
+    beyond = ((product - below) - 0.5) + error
+    up = (beyond > 0) | ((beyond == 0) & (F.pmod(below, F.lit(2)) == 1))
+    return F.when(F.abs(x) < 2.0**52 / scale, (below + F.when(up, 1).otherwise(0)) / scale).otherwise(x)
+
+
 def round_exact(c: Column, digits: int) -> Column:
     """Round the binary value to `digits`, halves to even; infinities, NaN and values without such digits stay.
 
@@ -43,18 +54,12 @@ def round_exact(c: Column, digits: int) -> Column:
     scaled value and the error of its product (split in two halves) tell on which side of the half the value lies. The
     operand is bound once, so nested scores stay small plans.
     """
-    scale = float(10**digits)
+    return F.transform(F.array(c.cast("double")), lambda x: _rounded(x, digits))[0]
 
-    def rounded(x: Column) -> Column:
-        product = x * scale
-        high = x * 134217729.0 - (x * 134217729.0 - x)
-        error = (high * scale - product) + (x - high) * scale
-        below = F.floor(product)
-        beyond = ((product - below) - 0.5) + error
-        up = (beyond > 0) | ((beyond == 0) & (F.pmod(below, F.lit(2)) == 1))
-        return F.when(F.abs(x) < 2.0**52 / scale, (below + F.when(up, 1).otherwise(0)) / scale).otherwise(x)
 
-    return F.transform(F.array(c.cast("double")), rounded)[0]
+def round_column(name: str, digits: int) -> Column:
+    """`round_exact` of a plain double column of the frame: arithmetic only, so it stays in generated code."""
+    return _rounded(F.col(name), digits)
 
 
 # --- weighted scores -------------------------------------------------------------------------------------------
@@ -126,13 +131,21 @@ def score_maturity(strategy: ColumnLike, identity: ColumnLike) -> Column:
     return F.when(s.startswith("D"), K.BASELINE_MATURITY * 0.5).when(s.startswith("C"), inherited).otherwise(0.0)
 
 
+def raw_specificity(confidence: ColumnLike, probability: ColumnLike) -> Column:
+    return F.least(F.lit(1.0), col(confidence) * 0.9 + col(probability) * 0.1)
+
+
 def proxy_specificity(confidence: ColumnLike, probability: ColumnLike) -> Column:
-    return round_exact(F.least(F.lit(1.0), col(confidence) * 0.9 + col(probability) * 0.1), 4)
+    return round_exact(raw_specificity(confidence, probability), 4)
 
 
-def proxy_programmability(probability: ColumnLike, composite: ColumnLike) -> Column:
+def raw_programmability(probability: ColumnLike, composite: ColumnLike) -> Column:
     flag = F.when(F.coalesce(col(composite), F.lit(False)), 1.0).otherwise(0.0)
-    return round_exact(F.least(F.lit(1.0), col(probability) * 0.8 + flag * 0.2), 4)
+    return F.least(F.lit(1.0), col(probability) * 0.8 + flag * 0.2)
+
+
+def proxy_programmability(probability: ColumnLike, composite: ColumnLike) -> Column:
+    return round_exact(raw_programmability(probability, composite), 4)
 
 
 # --- labels and identifiers ------------------------------------------------------------------------------------

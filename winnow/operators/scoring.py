@@ -63,12 +63,12 @@ def rescore(
         *[axis(a).alias(f"{a}_v012") for a in new],
         before.alias("raw_old"),
         after.alias("raw_new"),
-    )
+    ).withColumn("raw_delta", F.col("raw_new") - F.col("raw_old"))
     return raw.select(
         *[c for c in raw.columns if not c.startswith("raw_")],
-        S.round_exact(F.col("raw_old"), 4).alias("score_v010"),
-        S.round_exact(F.col("raw_new"), 4).alias("score_v012"),
-        S.round_exact(F.col("raw_new") - F.col("raw_old"), 4).alias("score_delta"),
+        S.round_column("raw_old", 4).alias("score_v010"),
+        S.round_column("raw_new", 4).alias("score_v012"),
+        S.round_column("raw_delta", 4).alias("score_delta"),
         (F.col("raw_old") > old_threshold).alias("beats_v010_lockpoint"),
         (F.col("raw_new") > new_threshold).alias("beats_v012_lockpoint"),
         F.lit(version).alias("score_version"),
@@ -162,23 +162,24 @@ def score_batch(
     raw = scanned.withColumns(
         {
             "S_DSB": S.score_class(label),
-            "S_Spec": S.proxy_specificity(confidence, probability),
+            "S_Spec": S.raw_specificity(confidence, probability).cast("double"),
             "S_Cargo": S.score_cargo(label, composite),
             "S_Deliv": S.score_length(F.length(sequence)),
             "S_Immuno": S.score_immuno(measured, strategy, "_load"),
-            "S_Prog": S.proxy_programmability(probability, composite),
+            "S_Prog": S.raw_programmability(probability, composite).cast("double"),
             "S_Mature": S.score_maturity(strategy, identity),
         }
     )
-    scored = raw.withColumn(score_col, S.round_exact(S.weighted(K.PROFILE_V010), 4))
-    rounded = {a: S.round_exact(F.col(a), 4) for a in ("S_Deliv", "S_Immuno", "S_Mature")}
+    # each rounding works on plain columns of the step before, which keeps it in generated code
+    proxies = raw.withColumns({a: S.round_column(a, 4) for a in ("S_Spec", "S_Prog")})
+    scored = proxies.withColumn("_raw", S.weighted(K.PROFILE_V010)).withColumn(score_col, S.round_column("_raw", 4))
     return scored.withColumns(
         {
-            **rounded,
+            **{a: S.round_column(a, 4) for a in ("S_Deliv", "S_Immuno", "S_Mature")},
             "beats_lockpoint": F.col(score_col) > threshold,
             "score_method": F.lit(K.SCORE_METHOD),
         }
-    ).drop("_load")
+    ).drop("_load", "_raw")
 
 
 def rename_values(df: DataFrame, column: str, renames: Mapping[str, str] = K.RENAMED_PARENTS) -> DataFrame:
