@@ -135,20 +135,21 @@ def check_geometry(
         else F.lit(default_reference),
     )
     known = wanted.join(references, reference_col, "left")
-    # atoms are gathered per design before they meet it: only residues that some reference names are kept, and any
-    # atom at all says that the design has a structure. The list of all named residues is one row.
-    named = references.select(F.explode("residues").alias("r")).agg(F.collect_set("r").alias("_named"))
-    site = F.when(F.array_contains("_named", F.col("res_seq")), F.struct("res_seq", F.struct("x", "y", "z", "b").alias("p")))
+    # atoms meet the residues of their own design's reference, both dealt by the design; what a task then gathers per
+    # design is its reference's residues, however many other references name, and any atom says that it has a structure
+    needed = known.select(key, reference_col, "residues").repartition(key).dropDuplicates([key, reference_col])
+    narrow = atoms.select(key, "res_seq", "x", "y", "z", "b")
+    wanted_here = F.coalesce(F.array_contains("residues", F.col("res_seq")), F.lit(False))
+    site = F.when(wanted_here, F.struct("res_seq", F.struct("x", "y", "z", "b").alias("p")))
     found = (
-        atoms.crossJoin(F.broadcast(named))
-        .groupBy(key)
+        needed.join(narrow, key)
+        .groupBy(key, reference_col)
         .agg(F.collect_list(site).alias("_sites"), F.lit(True).alias("_has_structure"))
     )
-    joined = known.join(found, key, "left")
+    joined = known.join(found, [key, reference_col], "left")
 
-    own = F.filter("_sites", lambda s: F.coalesce(F.array_contains("residues", s["res_seq"]), F.lit(False)))
     at = F.coalesce(
-        F.map_from_entries(own), F.create_map().cast("map<int,struct<x:double,y:double,z:double,b:double>>")
+        F.map_from_entries("_sites"), F.create_map().cast("map<int,struct<x:double,y:double,z:double,b:double>>")
     )
     joined = joined.withColumn("_at", at)
     missing = F.filter("residues", lambda r: ~F.map_contains_key("_at", r))
