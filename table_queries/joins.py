@@ -10,7 +10,10 @@ from winnow.operators import joins as J
 from winnow.operators import neighbours as N
 from winnow.operators import sets as U
 from winnow.sources.predictions import parse_atoms
+from winnow.operators.gates import apply_gates
+from winnow.session import scratch_path
 from winnow.sources.catalog import load_registry
+from winnow.sources.registry import compile_gates, gate_rows, read_nested, write_nested
 
 
 @query(
@@ -306,3 +309,36 @@ def s15_geometry(spark, folder):
     )
     joined = J.lookup_required(e, load_registry(spark, "geometry"), "reference_id")
     return joined.select("vec_id", "label", F.size("residues").alias("n_sites"))
+
+
+_GATED = f"""design_id, composite_prob >= {K.GATE_PROBABILITY}e0 AS gate_1_pass, composite AS gate_2_pass,
+  protein_length_aa BETWEEN {K.GATE_LENGTH[0]} AND {K.GATE_LENGTH[1]} AS gate_3_pass, mean_plddt >= {K.GATE_GLOBAL_PLDDT}e0 AS gate_5_global_pass"""
+
+
+@query(
+    "S15_gates_from_table",
+    f"""WITH {DESIGNS}, f AS (SELECT {_GATED} FROM designs)
+    SELECT *, CASE WHEN NOT gate_1_pass THEN '1' WHEN NOT gate_2_pass THEN '2' WHEN NOT gate_3_pass THEN '3'
+      WHEN NOT gate_5_global_pass THEN '5_global' END AS first_failed_gate FROM f""",
+)
+def s15_gates(spark, folder):
+    """The gates of strategy B, written as a registry file, read back typed and compiled, run over all designs."""
+    path = scratch_path(spark, "strategies")
+    write_nested(load_registry(spark, "strategies"), path)
+    gates = compile_gates(gate_rows(read_nested(spark, path, "strategies")), "B")
+    flagged = apply_gates(designs(spark, folder), gates, "annotate")
+    return flagged.select("design_id", "gate_1_pass", "gate_2_pass", "gate_3_pass", "gate_5_global_pass", "first_failed_gate")
+
+
+_STRATEGY_ROWS = ", ".join(f"('{s[0]}', '{s[1]}', {s[3]}, {len(s[4])})" for s in K.STRATEGIES)
+
+
+@query(
+    "S15_registry_strategies",
+    f"""WITH {DESIGNS}, r(strategy, name, target, n_gates) AS (VALUES {_STRATEGY_ROWS})
+    SELECT strategy, name, target::INTEGER AS target, n_gates::INTEGER AS n_gates, count(*) AS n FROM designs JOIN r USING (strategy) GROUP BY ALL""",
+)
+def s15_strategies(spark, folder):
+    registry = load_registry(spark, "strategies").select(F.col("id").alias("strategy"), "name", F.col("target_n_designs").alias("target"), F.size("gates").alias("n_gates"))
+    joined = designs(spark, folder).select("strategy").join(registry, "strategy")
+    return joined.groupBy("strategy", "name", "target", "n_gates").agg(F.count(F.lit(1)).alias("n"))

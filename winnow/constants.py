@@ -281,6 +281,40 @@ HYPOTHESES = (
     ("H4", "survivors of all gates", "n_survivors >= 10"),
     ("H5", "distinct sources in the top five", "n_distinct >= 3"),
 )
+# How each hypothesis is judged, the query that judges it, why it matters and what to look at when it fails.
+PREDICTION_NOTES = {
+    "H1": ("count the triaged designs whose score is above the lockpoint", "V1_hypothesis_count_above",
+           "the strongest natural editor is the baseline to beat", "compare axis by axis, by strategy, and list the nearest misses"),
+    "H2": ("look for a triaged design with both axes at their limits", "V2_hypothesis_existence", "large cargo and easy delivery seldom meet", ""),
+    "H3": ("subtract the baseline from the best variant's axis value", "V3_hypothesis_best_gain",
+           "less recognition by the immune system at equal stability", "report the gain reached, the mutations spent and the stability left"),
+    "H4": ("count the candidates that pass all gates of the funnel", "V4_hypothesis_survivors", "enough candidates must be left to test", ""),
+    "H5": ("count distinct strategies among the five best designs", "V5_hypothesis_diversity", "no single strategy should explain the result", ""),
+}
+# Protospacer, cargo capacity in base pairs and axis values of the scaffolds that state them.
+SCAFFOLD_DETAILS = (
+    ("IS621", "ACCTGTACCGAGGGCCTGTA", 1000000,
+     {"S_DSB": 0.90, "S_Spec": 1.0, "S_Cargo": 1.0, "S_Deliv": 0.9421, "S_Immuno": 0.7594, "S_Prog": 1.0, "S_Mature": 0.792}),
+)
+# Strategies (id, name, method, target number, gates as name, columns, comparison, value, null rule, required).
+STRATEGIES = (
+    ("A", "domain swap", "combination of modules", 30, (("size", ("total_aa", "protein_length_aa"), "between", SIZE_RANGE),)),
+    ("B", "ortholog discovery", "triage of candidates", 50, (
+        ("1", ("composite_prob",), "ge", GATE_PROBABILITY),
+        ("2", ("composite",), "true"),
+        ("3", ("protein_length_aa",), "between", GATE_LENGTH),
+        ("5_global", ("af3_mean_plddt", "mean_plddt"), "ge", GATE_GLOBAL_PLDDT),
+        ("6", ("gate_6_distance",), "gt", GATE_NOVELTY, "keep"),
+    )),
+    ("C", "deimmunization", "substitutions at the surface", 10, (
+        ("mutations", ("total_mutations",), "le", 15),
+        ("stability", ("predicted_ddg_total", "ddg_kcal_mol"), "le", 8.0),
+    )),
+    ("D", "backbone redesign", "inverse folding", 25, (
+        ("rmsd", ("backbone_rmsd",), "le", 1.5),
+        ("identity", ("sequence_identity_to_wt",), "between", (0.50, 0.75)),
+    )),
+)
 ROLLUP_TEXT = {
     "all": "5/5 pre-registered predictions PASS",
     "four_evaluated": "4/4 evaluated predictions PASS, 1 NOT_EVALUABLE",

@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructT
 from pyspark.sql.utils import AnalysisException
 
 from winnow import constants as K
+from winnow.sources.registry import SCHEMAS, registry_frame
 
 
 def clear_nan(df: DataFrame) -> DataFrame:
@@ -26,9 +27,11 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet", schema: S
         raise ValueError(f"fmt must be 'parquet' or 'csv'; got {fmt!r}")
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", False).option("nullValue", "NaN")
+        reader = reader.option("header", True).option("multiLine", False)
     try:
-        return getattr(reader, fmt)(path)
+        # with a schema, "NaN" in a floating column is the number and becomes NULL; in a text column it stays a text
+        found = getattr(reader, fmt)(path)
+        return clear_nan(found) if fmt == "csv" else found
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"catalog not found: {path}. Write it with write_catalog first.") from error
@@ -90,14 +93,10 @@ def write_summary(df: DataFrame, path: str, id_col: str, counts: Mapping[str, Co
 
 
 def load_registry(spark: SparkSession, name: str) -> DataFrame:
-    """Dimension tables of fixed size: scaffolds, modules, cores, guides, linkers, weights, predictions, alleles,
-    geometry."""
-    if name == "scaffolds":
-        schema = (
-            "id string, accession string, structure string, score double, tier_b string, composite boolean, total_aa int, "
-            "modules array<string>, carve_out_modules array<string>"
-        )
-        return spark.createDataFrame([(*s[:7], list(s[7]), list(s[8])) for s in K.SCAFFOLDS], schema)
+    """Dimension tables of fixed size: scaffolds, strategies, predictions, modules, cores, guides, linkers, weights,
+    alleles, geometry."""
+    if name in SCHEMAS:
+        return registry_frame(spark, name)
     if name == "modules":
         schema = (
             "name string, source_scaffold string, start_residue int, end_residue int, catalytic_residues array<int>, pfam_acc string"
@@ -116,8 +115,6 @@ def load_registry(spark: SparkSession, name: str) -> DataFrame:
     if name == "weights":
         rows = [(p, a, w) for p, axes in K.PROFILES.items() for a, w in axes.items()]
         return spark.createDataFrame(rows, "profile string, axis string, weight double")
-    if name == "predictions":
-        return spark.createDataFrame(list(K.HYPOTHESES), "id string, statement string, threshold string")
     if name == "alleles":
         rows = [("I", a) for a in K.ALLELES_CLASS_1] + [("II", a) for a in K.ALLELES_CLASS_2]
         return spark.createDataFrame(rows, "class string, allele string")
