@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from table_queries.base import DESIGNS, designs, query, sequences, sql_letters, sql_round, table
 from table_queries.joins import SQL_ATOMS, atom_lines
 from table_queries.scalars import _RAW, SQL_BATCH, batch_input
-from table_queries.sequences import CODON_CASE
+from table_queries.sequences import CODON_CASE, SQL_BEST
 from winnow import constants as K
 from winnow.operators import gates as G
 from winnow.operators.joins import generate_chimeras, slice_modules
@@ -254,6 +254,41 @@ def e6(spark, folder):
     return variants.select_variants(proposals, 50, parents=parents).drop("mutations_introduced")
 
 
+@query(
+    "E6_select_variants_documents",
+    f"""WITH {SQL_BEST}, v AS (SELECT t.id, best.pos AS pos, best.mut AS mut, best.cost AS cost,
+      coalesce(n1, 0) AS b1, coalesce(n2, 0) AS b2, coalesce(n1, 0) + best.change1 AS a1, coalesce(n2, 0) + best.change2 AS a2
+      FROM totals t LEFT JOIN loads USING (id) WHERE best.change1 + best.change2 * 0.5e0 < 0),
+    raw AS (SELECT *, greatest(0e0, least(1e0, 1e0 - (a1 + a2 * 0.5e0) / {K.LOAD_SCALE}e0)) AS x FROM v),
+    immuno AS (SELECT *, {sql_round('x', 4)} AS predicted_s_immuno FROM raw),
+    gain AS (SELECT *, predicted_s_immuno - {K.BASELINE_IMMUNO}e0 AS y FROM immuno),
+    scored AS (SELECT *, {sql_round('y', 4)} AS predicted_s_immuno_delta, printf('%d_%d_%s', id, pos, mut) AS variant FROM gain),
+    one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY pos, mut ORDER BY predicted_s_immuno_delta DESC, cost, variant) = 1)
+    SELECT printf('C_%03d', row_number() OVER (ORDER BY predicted_s_immuno_delta DESC, cost, variant)) AS variant_id, id AS parent_id,
+      greatest(0, b1 - a1)::INTEGER AS n_mhc_i_epitopes_removed, greatest(0, b2 - a2)::INTEGER AS n_mhc_ii_epitopes_removed,
+      a1::INTEGER AS n1, a2::INTEGER AS n2, predicted_s_immuno, predicted_s_immuno_delta, cost AS predicted_ddg_total,
+      predicted_s_immuno_delta >= {K.MIN_IMMUNO_GAIN}e0 AS passes_gain
+    FROM one ORDER BY variant_id LIMIT 50""",
+)
+def e6_documents(spark, folder):
+    """The best substitution of every document that lowers its load, as a variant of its text; both window counts shown."""
+    from winnow.functions.windows import best_substitutions
+
+    parents = sequences(spark, folder).withColumnRenamed("id", "parent_id")
+    best = best_substitutions(parents, "parent_id", "sequence").withColumn("b", F.get("best", F.lit(0))).filter("b.load_delta < 0")
+    change = F.struct(F.col("b.position"), F.col("b.wt").alias("wt_aa"), F.col("b.mut").alias("mut_aa"), F.col("b.cost").alias("ddg_pred"))
+    proposals = best.select(
+        "parent_id",
+        F.format_string("%d_%d_%s", "parent_id", "b.position", "b.mut").alias("variant_id"),
+        F.array(change).alias("mutations_introduced"),
+    )
+    found = variants.select_variants(proposals, 50, parents=parents)
+    return found.select(
+        "variant_id", "parent_id", "n_mhc_i_epitopes_removed", "n_mhc_ii_epitopes_removed", "n1", "n2", "predicted_s_immuno", "predicted_s_immuno_delta",
+        "predicted_ddg_total", "passes_gain",
+    )
+
+
 @query(
     "E6_write_variants",
     """SELECT 'V' || lpad(o_orderkey::VARCHAR, 8, '0') AS id, round(o_totalprice / 1e6, 4)::DOUBLE AS gain,

@@ -277,6 +277,42 @@ def q15(spark, folder):
     return W.substitution_scan(sequences(spark, folder, "benchmark"), "id", "sequence").withColumnRenamed("id", "item_id")
 
 
+# the same scan over all documents: windows that cover a place as short lists, the best substitution of each text
+SQL_BEST = f"""
+src AS (SELECT doc_id AS id, {sql_letters('text')} AS s FROM documents),
+{_WINDOWS},
+{_OPEN},
+cover AS (SELECT id, pos,
+    list(CASE WHEN c9 = 9 THEN s9 END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS l9,
+    list(CASE WHEN c15 = 15 THEN s15 END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS l15 FROM sums),
+spots AS (SELECT open.id, open.pos, src.s[open.pos] AS wt, {_W_OF.format('src.s[open.pos]')} AS w, l9, l15
+  FROM open JOIN src USING (id) JOIN cover USING (id, pos)),
+alts AS (SELECT mut, {_W_OF.format('mut')} AS w FROM (SELECT unnest([{_ALTS}]) AS mut)),
+steps AS (SELECT wt, mut, alts.w AS w_new, least({sql_step('wt', 'mut')}, 5e0) AS c FROM (SELECT DISTINCT wt FROM spots) CROSS JOIN alts WHERE mut <> wt),
+priced AS (SELECT wt, mut, w_new, {sql_round('c', 2)} AS cost FROM steps),
+turned AS (SELECT id, pos, wt, w_new,
+    len(list_filter(l9, lambda x: x + w_new - w > 387)) - len(list_filter(l9, lambda x: x > 387)) AS change1,
+    len(list_filter(l15, lambda x: x + w_new - w > 570)) - len(list_filter(l15, lambda x: x > 570)) AS change2
+  FROM spots CROSS JOIN (SELECT DISTINCT w AS w_new FROM alts)),
+changed AS (SELECT id, pos, wt, mut, cost, change1, change2 FROM turned JOIN priced USING (wt, w_new) WHERE cost <= 3),
+totals AS (SELECT id, count(*) AS n_allowed, count(*) FILTER (change1 + change2 * 0.5e0 < 0) AS n_lowering,
+    arg_min(struct_pack(pos := pos, wt := wt, mut := mut, cost := cost, change1 := change1, change2 := change2),
+      struct_pack(a := change1 + change2 * 0.5e0, b := cost, c := pos, d := mut)) AS best FROM changed GROUP BY id)"""
+
+
+@query(
+    "Q15_best_substitutions_documents",
+    f"""WITH {SQL_BEST} SELECT src.id AS doc_id, coalesce(n_allowed, 0) AS n_allowed, coalesce(n_lowering, 0) AS n_lowering,
+      best.pos::INTEGER AS "position", best.wt AS wt, best.mut AS mut, best.cost AS cost, best.change1 + best.change2 * 0.5e0 AS load_delta
+    FROM src LEFT JOIN totals USING (id)""",
+)
+def q15_documents(spark, folder):
+    found = W.best_substitutions(sequences(spark, folder), "id", "sequence").withColumn("b", F.get("best", F.lit(0)))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_allowed", "n_lowering", "b.position", "b.wt", "b.mut", "b.cost", "b.load_delta"
+    )
+
+
 _FRACTIONS = ", ".join(f"{p / K.CATALYTIC_LENGTH!r}e0" for p in K.CATALYTIC_POSITIONS)
 _LISTED = ", ".join(str(p) for p in K.CATALYTIC_POSITIONS)
 

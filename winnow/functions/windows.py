@@ -10,6 +10,7 @@ from collections.abc import Iterable, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +146,34 @@ def _covering_change(sums: np.ndarray, n: int, k: int, limit: int, spots: np.nda
     return after - before[:, None]
 
 
+class _Scan:
+    """Allowed single substitutions of a text, block by block of its open positions."""
+
+    def __init__(self, frozen: Iterable[int], residues: str, alphabet: str, cap: float, single_max: float, block: int):
+        self.held = np.array(sorted(set(frozen)), dtype=np.int64)
+        self.surface, self.lut = _surface_lut(residues), _weights(K.WINDOW_WEIGHTS, K.WINDOW_WEIGHT_OTHER)
+        self.letters = np.array(list(alphabet))
+        self.codes = np.array([ord(a) for a in alphabet], dtype=np.uint8)
+        self.costs, self.single_max, self.block = _cost_table(alphabet, cap), single_max, block
+
+    def blocks(self, text: str):
+        """(places, letters, costs, change in windows of either class) of the substitutions of each block."""
+        codes = _codes(text)
+        w = self.lut[codes]
+        (k1, t1), (k2, t2) = K.WINDOW_CLASS_1, K.WINDOW_CLASS_2
+        sums1, sums2 = _window_sums(w, k1), _window_sums(w, k2)
+        spots = np.flatnonzero(_surface_mask(codes, self.surface, self.held))
+        for at in range(0, len(spots), self.block):
+            part = spots[at : at + self.block]
+            here = codes[part]
+            deltas = self.lut[self.codes][None, :] - w[part][:, None]
+            change1 = _covering_change(sums1, len(w), k1, t1 * k1, part, deltas)
+            change2 = _covering_change(sums2, len(w), k2, t2 * k2, part, deltas)
+            price = self.costs[here]
+            rows, cols = np.nonzero((here[:, None] != self.codes[None, :]) & (price <= self.single_max))
+            yield part[rows], cols, price[rows, cols], change1[rows, cols], change2[rows, cols]
+
+
 def substitution_scan(
     df: DataFrame,
     id_col: str,
@@ -161,36 +190,18 @@ def substitution_scan(
     Only the windows covering a position are re-scored. Positions are taken in blocks, so a long sequence never
     builds its whole result in memory.
     """
-    held = np.array(sorted(set(frozen)), dtype=np.int64)
-    surface = _surface_lut(residues)
-    lut = _weights(K.WINDOW_WEIGHTS, K.WINDOW_WEIGHT_OTHER)
-    letters = np.array(list(alphabet))
-    letter_codes = np.array([ord(a) for a in alphabet], dtype=np.uint8)
-    costs = _cost_table(alphabet, cap)
-    (k1, t1), (k2, t2) = K.WINDOW_CLASS_1, K.WINDOW_CLASS_2
+    scanner = _Scan(frozen, residues, alphabet, cap, single_max, block)
 
     def one(identifier, text: str):
-        codes = _codes(text)
-        w = lut[codes]
-        sums1, sums2 = _window_sums(w, k1), _window_sums(w, k2)
-        spots = np.flatnonzero(_surface_mask(codes, surface, held))
-        for at in range(0, len(spots), block):
-            part = spots[at : at + block]
-            here = codes[part]
-            deltas = lut[letter_codes][None, :] - w[part][:, None]
-            change = _covering_change(sums1, len(w), k1, t1 * k1, part, deltas) + 0.5 * _covering_change(
-                sums2, len(w), k2, t2 * k2, part, deltas
-            )
-            price = costs[here]
-            rows, cols = np.nonzero((here[:, None] != letter_codes[None, :]) & (price <= single_max))
+        for places, letters, costs, change1, change2 in scanner.blocks(text):
             yield pd.DataFrame(
                 {
                     id_col: identifier,
-                    "position": (part[rows] + 1).astype(np.int32),
-                    "wt": [text[p] for p in part[rows]],
-                    "mut": letters[cols],
-                    "cost": price[rows, cols],
-                    "load_delta": change[rows, cols],
+                    "position": (places + 1).astype(np.int32),
+                    "wt": [text[p] for p in places],
+                    "mut": scanner.letters[letters],
+                    "cost": costs,
+                    "load_delta": change1 + 0.5 * change2,
                 }
             )
 
@@ -202,3 +213,58 @@ def substitution_scan(
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, position int, wt string, mut string, cost double, load_delta double"
     return df.filter(F.col(sequence_col).isNotNull()).select(id_col, sequence_col).mapInPandas(scan, schema)
+
+
+def best_substitutions(
+    df: DataFrame,
+    id_col: str,
+    sequence_col: str,
+    n: int = 1,
+    frozen: Iterable[int] = K.FROZEN_POSITIONS,
+    residues: str = K.SURFACE_RESIDUES,
+    alphabet: str = K.SCAN_ALPHABET,
+    cap: float = 5.0,
+    single_max: float = K.SINGLE_COST_CAP,
+    block: int = 4096,
+) -> DataFrame:
+    """One row per text: counts of allowed and of load-lowering substitutions, and the `n` best as an array of structs.
+
+    Best means the lowest load change, then cost, then position and letter. The whole text is scanned as in
+    `substitution_scan`, but only the best so far are kept beside the scan, so the output does not grow with positions
+    times letters. change1 and change2 count the windows of either class that come or go. A null text gives nulls.
+    """
+    scanner = _Scan(frozen, residues, alphabet, cap, single_max, block)
+    item = pa.struct(
+        [("position", pa.int32()), ("wt", pa.string()), ("mut", pa.string()), ("cost", pa.float64()), ("change1", pa.int32()), ("change2", pa.int32()), ("load_delta", pa.float64())]
+    )
+
+    def one(text: str):
+        allowed = lowering = 0
+        kept = np.zeros((6, 0))
+        for places, letters, costs, change1, change2 in scanner.blocks(text):
+            load = change1 + 0.5 * change2
+            allowed += len(places)
+            lowering += int((load < 0).sum())
+            if kept.shape[1] == n and len(load):
+                # nothing worse than the last one kept can enter
+                keep = load <= kept[0, -1]
+                places, letters, costs, change1, change2, load = (v[keep] for v in (places, letters, costs, change1, change2, load))
+            found = np.concatenate([kept, np.array([load, costs, places, letters, change1, change2], dtype=np.float64)], axis=1)
+            kept = found[:, np.lexsort(found[3::-1])[:n]]
+        best = [
+            {"position": int(p) + 1, "wt": text[int(p)], "mut": str(scanner.letters[int(a)]), "cost": c, "change1": int(x), "change2": int(y), "load_delta": d}
+            for d, c, p, a, x, y in kept.T.tolist()
+        ]
+        return allowed, lowering, best
+
+    def scan(batches):
+        for batch in batches:
+            rows = [(None, None, None) if t is None else one(t) for t in batch.column(1).to_pylist()]
+            allowed, lowering, best = zip(*rows) if rows else ((), (), ())
+            columns = [pa.array(allowed, pa.int64()), pa.array(lowering, pa.int64()), pa.array(best, pa.list_(item))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_allowed", "n_lowering", "best"])
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    fields = "position:int,wt:string,mut:string,cost:double,change1:int,change2:int,load_delta:double"
+    schema = f"`{id_col}` {id_type}, n_allowed long, n_lowering long, best array<struct<{fields}>>"
+    return df.select(id_col, sequence_col).mapInArrow(scan, schema)
