@@ -1,4 +1,4 @@
-"""Medians by radix selection against sorting."""
+"""Medians by radix selection against sorting, and the bound on resampling noise."""
 
 import math
 import random
@@ -7,6 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from winnow.operators import aggregates as A
 from winnow.operators import numbering as R
 
 EXTREMES = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 2.0**-1022 * (1 - 2.0**-52), 1.0, 1.0 + 2.0**-52, 1.0 - 2.0**-53, 2.0, 3.0, 1e300, -1e300]
@@ -62,3 +63,29 @@ def test_few_bins_need_more_passes_and_change_nothing(spark, monkeypatch):
     rows = [(rng.random(),) for _ in range(999)]
     monkeypatch.setattr(R, "BIN_BITS", 3)
     assert R.medians(spark.createDataFrame(rows, "v double"), [], "v").first()["median"] == middle([v for (v,) in rows])
+
+
+def brute_presence(spark, rows, iterations, sigma, top):
+    noise = A.noisy_scores(spark.createDataFrame(rows, "id string, score double, stratum string"), "id", "score", iterations, sigma, 7).collect()
+    hits = {}
+    for k in range(1, iterations + 1):
+        ranked = sorted((r for r in noise if r["iteration"] == k), key=lambda r: (r["noisy_score"] is None, -(r["noisy_score"] or 0), r["id"]))
+        for s in {r["stratum"] for r in ranked[:top]}:
+            hits[s] = hits.get(s, 0) + 1
+    return {s: hits.get(s, 0) / iterations for s in {r[2] for r in rows}}
+
+
+@pytest.mark.parametrize("sigma, top", [(0.02, 5), (0.3, 3), (0.0, 4), (0.02, 500)])
+def test_rows_out_of_reach_change_no_presence(spark, sigma, top):
+    rng = random.Random(11)
+    rows = [(f"d{k}", rng.choice([None, rng.random(), 0.9, 0.9 - rng.random() * 0.2]), rng.choice("ABCD")) for k in range(120)]
+    df = spark.createDataFrame(rows, "id string, score double, stratum string")
+    got = A.top_presence(df, "id", "score", "stratum", iterations=20, sigma=sigma, seed=7, top=top)
+    assert {r["stratum"]: r["top_probability"] for r in got.collect()} == brute_presence(spark, rows, 20, sigma, top)
+
+
+def test_noise_stays_within_its_bound(spark):
+    extreme = math.sqrt(-2 * math.log(0.5 / 2**48))
+    assert extreme <= A.NOISE_BOUND * (1 + 1e-12)
+    found = spark.range(20000).select(A.hash_normal(F.col("id").cast("string")).alias("x")).agg(F.max(F.abs("x"))).first()[0]
+    assert 3 < found <= A.NOISE_BOUND

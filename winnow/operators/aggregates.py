@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -193,6 +194,10 @@ def hash_uniform(*parts: Column) -> Column:
     return (digits + 0.5) / float(2**48)
 
 
+# the uniform behind the radius is at least half of 2 ** -48
+NOISE_BOUND = math.sqrt(2 * 49 * math.log(2))
+
+
 def hash_normal(*parts: Column) -> Column:
     u1, u2 = hash_uniform(*parts, F.lit("u")), hash_uniform(*parts, F.lit("v"))
     return F.sqrt(F.log(u1) * -2.0) * F.cos(u2 * 6.283185307179586)
@@ -244,8 +249,19 @@ def top_presence(
     seed: int = K.RESAMPLING["seed"],
     top: int = K.RESAMPLING["top"],
 ) -> DataFrame:
-    """Share of noisy re-rankings with the stratum in the top. Rows beyond the top are cut before the shuffle."""
-    noisy = noisy_scores(df.select(id_col, score_col, stratum_col), id_col, score_col, iterations, sigma, seed)
+    """Share of noisy re-rankings with the stratum in the top.
+
+    The noise is bounded (`NOISE_BOUND` sigmas, by the digits it is made of), so a row that lies more than twice the bound
+    below the last of the best `top` scores is below all of these in every iteration: it is dropped before any copy is
+    made. Copies of the others are cut to the top in the tasks, before the shuffle.
+    """
+    score = S.number(score_col)
+    narrow = df.select(id_col, score_col, stratum_col)
+    best = narrow.select(score.alias("_s")).orderBy(F.desc_nulls_last("_s")).limit(top).agg(F.min("_s").alias("_last"), F.count("_s").alias("_n"))
+    floor = best.select(F.when(F.col("_n") >= top, F.col("_last") - 2 * NOISE_BOUND * abs(sigma)).alias("_floor"))
+    # one row; without enough scores there is no floor and all rows stay
+    able = narrow.join(F.broadcast(floor), F.coalesce(score >= F.col("_floor"), F.col("_floor").isNull())).drop("_floor")
+    noisy = noisy_scores(able, id_col, score_col, iterations, sigma, seed)
     order = Window.partitionBy("iteration").orderBy(F.desc_nulls_last("noisy_score"), F.asc(id_col))
     best = noisy.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     seen = best.select("iteration", stratum_col).distinct().groupBy(stratum_col).agg(F.count(F.lit(1)).alias("n_hit"))
