@@ -1,4 +1,4 @@
-"""Text rules, stored frames, measured joins and connected components shared by the operators."""
+"""Text rules, measured joins and connected components shared by the operators."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.session import scratch_path
+from winnow.session import materialise as store
+from winnow.session import release as discard
 
 WHITE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -19,21 +20,6 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame below the shared folder and read it back: lineage is cut and later passes read the same rows."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a frame that `store` returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def broadcast_if_small(df: DataFrame, bytes_per_row: int = 64) -> DataFrame:
     """Mark a stored frame for broadcast when its counted rows are few; beyond that Spark shuffles both sides."""
     limit = BROADCAST_ROWS * 64 // bytes_per_row
