@@ -14,6 +14,7 @@ from winnow.operators.gates import beats_predicate, cargo_delivery_predicate
 from winnow.operators.joins import membership_flag
 from winnow.operators.ranking import beaters, by_score, diverse_top
 from winnow.operators.scoring import add_evidence_flags, axis_contributions, migrate_parents, rename_values, rescore
+from winnow.session import materialise, release
 from winnow.sources.catalog import read_catalog, write_catalog, write_records_json
 from winnow.sources.fasta import write_fasta
 from winnow.sources.manifest import checksum_manifest, write_manifest
@@ -29,19 +30,24 @@ HEADER_TAGS = (
 
 
 def release_catalog(triaged: DataFrame, folder: str, threshold: float = K.LOCKPOINT_VERBATIM, k: int = 5) -> DataFrame:
-    """Scorecard, subsets, FASTA, records and manifest. Every later sink reads the written scorecard."""
+    """Scorecard, subsets, FASTA, records and manifest.
+
+    Every later sink reads the written scorecard; each subset is evaluated once, stored for its sinks and then deleted.
+    """
     spark = triaged.sparkSession
     write_catalog(triaged, f"{folder}/catalog")
     stored = read_catalog(spark, f"{folder}/catalog", schema=triaged.schema)
     write_catalog(stored, f"{folder}/catalog_csv", fmt="csv")
-    above = beaters(stored, threshold)
-    top = diverse_top(stored, k)
+    above = materialise(beaters(stored, threshold), "above")
+    top = materialise(diverse_top(stored, k), "top")
     write_catalog(above, f"{folder}/beaters_csv", fmt="csv")
     write_catalog(top, f"{folder}/top_csv", fmt="csv")
     tags = [t for t in HEADER_TAGS if t[1] in stored.columns]
     for name, frame in (("all_designs", stored), ("beaters", above), ("top", top)):
         write_fasta(frame, f"{folder}/{name}_fasta", "design_id", "protein_sequence", tags)
     write_records_json(stored, f"{folder}/designs")
+    for frame in (above, top):
+        release(frame)
     manifest = checksum_manifest(spark, folder)
     write_manifest(manifest, f"{folder}/manifest")
     return stored
