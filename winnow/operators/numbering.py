@@ -118,42 +118,45 @@ def medians(
     first = source.groupBy(*keys).agg(
         F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.lit(0).cast("long").alias("_below"), *also
     )
+    first = materialise(first, "groups")
     answer = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).cast("double")
-    state = materialise(first.withColumn(out_col, answer), "median")
+    columns = [*keys, "_n", "_lo", "_hi", "_below", out_col]
+    state, stored = first.withColumn(out_col, answer).select(columns), None
     data = source.select(*keys, value.alias("_v"))
-    kept = [c for c in state.columns if c not in ("_lo", "_hi", "_below", out_col)]
-    while not (open_groups := state.filter(F.col(out_col).isNull() & (F.col("_n") > 0))).isEmpty():
+    carried = [*keys, "_n", "_below"]
+    is_open = F.col(out_col).isNull() & (F.col("_n") > 0)
+    while not (open_groups := state.filter(is_open)).isEmpty():
         ranges = ordered_bits(ordered_bits(open_groups, "_lo", "_from"), "_hi", "_to")
         width = F.ceil(F.log2(F.col("_to").cast("double") - F.col("_from").cast("double") + 1)).cast("int")
-        ranges = ranges.select(*keys, "_lo", "_hi", "_from", F.greatest(F.lit(0), width - BIN_BITS).alias("_shift"))
+        ranges = ranges.select(*carried, "_lo", "_hi", "_from", F.greatest(F.lit(0), width - BIN_BITS).alias("_shift"))
         # without groups the range is one row; with groups AQE picks the join from their measured size
         near = null_safe_join(data, ranges if groups else F.broadcast(ranges), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         placed = ordered_bits(near, "_v", "_bits")
         shift = lambda c: F.call_function("shiftright", F.col(c), F.col("_shift"))
-        counted = placed.groupBy(*keys, (shift("_bits") - shift("_from")).alias("_bin")).agg(
+        counted = placed.groupBy(*carried, (shift("_bits") - shift("_from")).alias("_bin")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
         )
-        upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        upto = Window.partitionBy(*carried).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
         counted = counted.withColumn("_upto", F.sum("_c").over(upto))
-        joined = null_safe_join(state, counted, keys, "left")
         low, high = F.floor((F.col("_n") + 1) / 2) - F.col("_below"), F.floor(F.col("_n") / 2) + 1 - F.col("_below")
 
         def hit(rank: Column, column: str) -> Column:
             return F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), F.col(column)))
 
-        found = joined.groupBy(*keys).agg(
+        found = counted.groupBy(*carried).agg(
             hit(low, "_bin").alias("_b1"), hit(high, "_bin").alias("_b2"), hit(low, "_least").alias("_lo1"), hit(low, "_most").alias("_hi1"),
             hit(high, "_least").alias("_lo2"), (hit(low, "_upto") - hit(low, "_c")).alias("_skipped"),
         )
-        both = null_safe_join(state, found, keys)
         apart = F.when(F.col("_b1") < F.col("_b2"), (F.col("_hi1") + F.col("_lo2")) / 2.0).when(F.col("_lo1") == F.col("_hi1"), F.col("_lo1"))
-        newer = both.select(
-            *kept, F.coalesce("_lo1", "_lo").alias("_lo"), F.coalesce("_hi1", "_hi").alias("_hi"),
-            (F.col("_below") + F.coalesce("_skipped", F.lit(0))).alias("_below"), F.coalesce(out_col, apart).alias(out_col),
-        )
-        older, state = state, materialise(newer, "median")
-        release(older)
-    return state.select(*groups, out_col, *[c for c in kept if c not in (*keys, "_n")])
+        newer = found.select(
+            *keys, "_n", F.col("_lo1").alias("_lo"), F.col("_hi1").alias("_hi"), (F.col("_below") + F.col("_skipped")).alias("_below"), apart.alias(out_col)
+        )
+        older, stored = stored, materialise(state.filter(~is_open).unionByName(newer), "median")
+        state = stored
+        if older is not None:
+            release(older)
+    rest = [c for c in first.columns if c not in (*keys, "_n", "_lo", "_hi", "_below")]
+    return null_safe_join(first.select(*keys, *rest), state.select(*keys, out_col), keys).select(*groups, out_col, *rest)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
