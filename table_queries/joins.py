@@ -330,7 +330,7 @@ def s15_gates(spark, folder):
     return flagged.select("design_id", "gate_1_pass", "gate_2_pass", "gate_3_pass", "gate_5_global_pass", "first_failed_gate")
 
 
-_STRATEGY_ROWS = ", ".join(f"('{s[0]}', '{s[1]}', {s[3]}, {len(s[4])})" for s in K.STRATEGIES)
+_STRATEGY_ROWS = ", ".join(f"('{s[0]}', '{s[1]}', {s[3]}, {len(s[4])})" for s in K.STRATEGY_REGISTRY)
 
 
 @query(

@@ -1,11 +1,14 @@
 """Registry files that drive gates."""
 
+import ast
 import json
+from pathlib import Path
 
 import pytest
 
 from winnow import constants as K
 from winnow.operators import gates as G
+from winnow.operators.checks import check_contract
 from winnow.sources import registry as R
 from winnow.sources.catalog import load_registry, read_catalog
 
@@ -66,3 +69,17 @@ def test_csv_texts_that_read_nan_stay(spark, tmp_path):
     (tmp_path / "c.csv").write_text("id,score\nNaN,NaN\nb,0.5\n")
     rows = read_catalog(spark, str(tmp_path / "c.csv"), "csv", "id string, score double").collect()
     assert [tuple(r) for r in rows] == [("NaN", None), ("b", 0.5)]
+
+
+def test_every_constant_is_assigned_once():
+    body = ast.parse(Path(K.__file__).read_text(encoding="utf-8")).body
+    names = [t.id for node in body if isinstance(node, ast.Assign) for t in node.targets]
+    assert [n for n in names if names.count(n) > 1] == []
+
+
+def test_strata_of_filters_and_contracts_are_the_ids_of_the_registry(spark):
+    assert list(K.STRATEGIES) == [s[0] for s in K.STRATEGY_REGISTRY]
+    rows = spark.createDataFrame([("d1", "D", 0.5), ("d2", "A", 0.7)], "design_id string, strategy string, score double")
+    assert [r.design_id for r in G.filter_strategy(rows, "D").collect()] == ["d1"]
+    contract = check_contract(rows, axes=())
+    assert all(r.passed for r in contract.collect())

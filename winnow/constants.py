@@ -297,7 +297,7 @@ SCAFFOLD_DETAILS = (
      {"S_DSB": 0.90, "S_Spec": 1.0, "S_Cargo": 1.0, "S_Deliv": 0.9421, "S_Immuno": 0.7594, "S_Prog": 1.0, "S_Mature": 0.792}),
 )
 # Strategies (id, name, method, target number, gates as name, columns, comparison, value, null rule, required).
-STRATEGIES = (
+STRATEGY_REGISTRY = (
     ("A", "domain swap", "combination of modules", 30, (("size", ("total_aa", "protein_length_aa"), "between", SIZE_RANGE),)),
     ("B", "ortholog discovery", "triage of candidates", 50, (
         ("1", ("composite_prob",), "ge", GATE_PROBABILITY),

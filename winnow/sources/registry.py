@@ -46,7 +46,7 @@ def write_nested(registry: DataFrame, path: str) -> None:
 def registry_frame(spark: SparkSession, kind: str) -> DataFrame:
     """The built-in registry of a kind."""
     if kind == "strategies":
-        rows = [(*s[:4], [_gate_row(*g) for g in s[4]]) for s in K.STRATEGIES]
+        rows = [(*s[:4], [_gate_row(*g) for g in s[4]]) for s in K.STRATEGY_REGISTRY]
     elif kind == "predictions":
         rows = [(*h, *K.PREDICTION_NOTES[h[0]]) for h in K.HYPOTHESES]
         rows = [(i, s, how, limit, script, why, failure) for i, s, limit, how, script, why, failure in rows]
