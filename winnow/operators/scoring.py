@@ -133,7 +133,9 @@ def score_batch(
 ) -> DataFrame:
     """All axes, score, flag and method. Absent columns take the documented defaults.
 
-    The flag uses the rounded score. The window scan runs only for rows that need the proxy.
+    The flag uses the rounded score. The window scan runs only for rows that need the proxy. Filters on the result run
+    after the scoring: pushed below it, they would copy each rounded value's expression into the next, and scan again.
+    Filter on input columns before.
     """
     present = set(df.columns)
 
@@ -172,7 +174,8 @@ def score_batch(
     )
     # each rounding works on plain columns of the step before, which keeps it in generated code
     proxies = raw.withColumns({a: S.round_column(a, 4) for a in ("S_Spec", "S_Prog")})
-    scored = proxies.withColumn("_raw", S.weighted(K.PROFILE_V010)).withColumn(score_col, S.round_column("_raw", 4))
+    rounded = F.when(F.monotonically_increasing_id() >= 0, S.round_column("_raw", 4))  # holds filters above
+    scored = proxies.withColumn("_raw", S.weighted(K.PROFILE_V010)).withColumn(score_col, rounded)
     return scored.withColumns(
         {
             **{a: S.round_column(a, 4) for a in ("S_Deliv", "S_Immuno", "S_Mature")},

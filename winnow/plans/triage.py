@@ -7,19 +7,23 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow import constants as K
 from winnow.functions.sequences import mapped_positions
 from winnow.operators.aggregates import confidence_at_positions
 from winnow.operators.gates import TRIAGE_GATES, Gate, active_site_gate, apply_gates, confidence_gate
 from winnow.operators.ranking import diverse_top, enforce_diversity, tiered_selection
-from winnow.operators.scoring import score_batch
+from winnow.operators.scoring import first_present, score_batch
 
 
 def score_and_triage(
     designs: DataFrame, gates: Sequence[Gate] = TRIAGE_GATES, mode: str = "filter", **scoring
 ) -> DataFrame:
-    """Axes, score and gates: one projection and one filter, no shuffle."""
-    scored = score_batch(designs, **scoring)
-    return apply_gates(scored, gates, mode)
+    """Axes, score and gates, no shuffle. In filter mode, gates on columns that scoring does not write also run before it."""
+    if mode == "filter":
+        written = {*K.AXES, scoring.get("score_col", "score"), "beats_lockpoint", "score_method"}
+        early = [g for g in gates if written.isdisjoint(g.columns) and first_present(designs, g.columns)]
+        designs = apply_gates(designs, early).select(designs.columns)
+    return apply_gates(score_batch(designs, **scoring), gates, mode)
 
 
 def triaged_ranking(
