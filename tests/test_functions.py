@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -265,3 +267,37 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT beats(0.929D) a, beats_calibrated(0.926D) b, score_load(15, 92) c, score_density(7, 100) d, gc_fraction('GCGCAT') e, score_length(580) f").first()
     assert (row["a"], row["b"]) == (False, True)
     assert [row[c] for c in "cdef"] == pytest.approx([0.7594, 0.8, 4 / 6, 0.825])
+
+
+def test_best_substitutions_of_parts_match_the_scan(spark, monkeypatch):
+    """Counts by difference of weights give what re-scoring each substitution gives, across parts of a text too."""
+    monkeypatch.setattr(W, "PART", 16)
+    text = "".join("KREDQNSTHYLVIMFWYACGP"[(i * i + 3 * i) % 21] for i in range(90))
+    scanner = W._Scan((3, 40), W.K.SURFACE_RESIDUES, W.K.SCAN_ALPHABET, 5.0, W.K.SINGLE_COST_CAP, 7)
+    weight = lambda t: [W.K.WINDOW_WEIGHTS.get(c, W.K.WINDOW_WEIGHT_OTHER) for c in t]
+    above = lambda t, k, limit: sum(sum(weight(t)[i : i + k]) > limit * k for i in range(len(t) - k + 1))
+    rows = []
+    for places, letters, costs, change1, change2 in scanner.blocks(text):
+        for p, a, cost, c1, c2 in zip(places.tolist(), letters.tolist(), costs.tolist(), change1.tolist(), change2.tolist()):
+            changed = text[:p] + scanner.letters[a] + text[p + 1 :]
+            assert (c1, c2) == tuple(above(changed, *rule) - above(text, *rule) for rule in (W.K.WINDOW_CLASS_1, W.K.WINDOW_CLASS_2))
+            rows.append((c1 + 0.5 * c2, cost, p, a, c1, c2))
+    for n in (1, 5, len(rows) + 3):
+        allowed, lowering, kept = scanner.best(text, n)
+        assert (allowed, lowering) == (len(rows), sum(r[0] < 0 for r in rows))
+        assert [tuple(r) for r in kept.T.tolist()] == sorted(rows)[:n]
+
+
+def test_substitutions_are_counted_once_for_each_difference_of_weights(monkeypatch):
+    """The work of a scan does not grow with letters times windows: one row of counts for each difference, for all places."""
+    asked = []
+    real = W._sliding
+    monkeypatch.setattr(W, "_sliding", lambda hits, k: asked.append(hits.nbytes) or real(hits, k))
+    scanner = W._Scan((), W.K.SURFACE_RESIDUES, W.K.SCAN_ALPHABET, 5.0, W.K.SINGLE_COST_CAP, 4096)
+    scanner.best("KREWYFLIVM" * 1000, 1)
+    assert len(asked) == 2 and sum(asked) < 10_100 * 2 * (len(scanner.deltas) + 1)
+
+
+def test_places_are_lists_without_objects():
+    found = W._lists([np.array([1, 5], dtype=np.int32), W._NONE, W._NONE], np.array([False, True, False]))
+    assert found.to_pylist() == [[1, 5], None, []] and found.type == pa.list_(pa.int32())
