@@ -30,3 +30,19 @@ def test_triaged_ranking_stands_only_with_three_strategies_among_the_first(spark
     found = QUERIES["E2_triaged_ranking"](spark, str(tmp_path))
     assert compare(found, con, ORACLES["E2_triaged_ranking"]) is None
     assert found.count() == rows
+
+
+def test_chimeras_of_suppliers_that_share_a_name(spark, tmp_path):
+    suppliers = [(k, f"Supplier#{k % 3:09d}", 2, 0.0) for k in range(9)]
+    con = tables(
+        spark, tmp_path,
+        supplier=("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", suppliers),
+        nation=("n_nationkey int, n_name string, n_regionkey int", [(i, f"NATION_OF_THE_NAME_{i:02d}", i % 2) for i in range(8)]),
+        region=("r_regionkey int, r_name string", [(i, "ASIA_AND_MORE"[: 10 + i]) for i in range(3)]),
+        documents=(DOCUMENTS, [(k, "KREWY" * (30 + k), "en", "s", 1) for k in range(9)]),
+    )
+    for name, rows in (("J4_generate_chimeras", 2 * 9 * 3), ("E7_chimera_library", 3 * 9)):
+        found = QUERIES[name](spark, str(tmp_path))
+        if name[0] == "J":
+            assert compare(found, con, ORACLES[name]) is None
+        assert found.count() == rows

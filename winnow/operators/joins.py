@@ -262,9 +262,10 @@ def generate_chimeras(
 
     modules: name, source_scaffold, sequence; cores: core_rank, core, parts (array of module names);
     guides: guide_rank, guide, guide_module; linkers: linker_rank, linker, linker_sequence. The product is the
-    result itself, so its size is the output size; module sequences arrive by equi-joins first.
+    result itself, so its size is the output size; module sequences arrive by equi-joins first. Equal rows of `modules`
+    count once; names that stand for different modules must be told apart by the caller.
     """
-    info = modules.select("name", "source_scaffold", F.col("sequence").alias("part_sequence"))
+    info = modules.select("name", "source_scaffold", F.col("sequence").alias("part_sequence")).distinct()
     core_rows = cores.select("core_rank", "core", F.posexplode("parts").alias("at", "name"))
     filled = (
         core_rows.join(info, "name", "left")
