@@ -88,3 +88,24 @@ def test_no_known_vectors(spark):
         got = N.nearest_known(a, spark.createDataFrame(known, COLUMNS), "id", "v").collect()
         assert {(r["id"], r["distance"]) for r in got} == {(1, want), (2, want)}
     assert N.nearest_known(a.limit(0), a, "id", "v").count() == 0
+
+
+def test_shards_grow_with_the_known_set_before_they_become_many():
+    """Small shards of a large set: a candidate is copied to a bounded number of shards, and copies are made in bounded lots."""
+    pivots = np.eye(8)[:4]
+    stats = (np.full(4, 50_000), np.zeros(4), np.full(4, 1.5))
+    cells = N.Cells.pack(pivots, *stats, 16)
+    assert cells.n_shards <= 2 * N.SHARDS and cells.rows == 200_000 // N.SHARDS
+    assert max(len(s) for s in cells.route(pivots)[2]) <= cells.n_shards
+
+
+def test_products_of_a_shard_are_taken_in_lots(monkeypatch):
+    rng = np.random.default_rng(6)
+    known, asked = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rng.normal(size=(300, 8)), rng.normal(size=(50, 8))))
+    angles = N._angles(known, known[:1])[:, 0]
+    cells = N.Cells.pack(known[:1], np.array([300]), angles.min(keepdims=True), angles.max(keepdims=True), 400)
+    shard = N.Shard(cells, np.zeros(300, np.int64), known)
+    near = N._angles(asked, known[:1])[:, 0]
+    expected = (1.0 - asked @ known.T).min(axis=1)
+    monkeypatch.setattr(N, "PRODUCTS", 700)
+    assert np.allclose(shard.nearest(asked, near, np.full(50, 4.0)), expected, atol=1e-12)

@@ -19,6 +19,12 @@ BATCH_VECTORS = 2_048
 SLACK = 1e-6
 DIRECT_SHARDS = 1_024
 CELLS = 2_000_000
+# a candidate may need every shard: no more than these, while the vectors of one fit these bytes
+SHARDS = 32
+SHARD_BYTES = 64 << 20
+# copies of candidates that a task makes at once, and products that it holds
+COPIES = 8_192
+PRODUCTS = 4_000_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -46,7 +52,7 @@ class Cells:
     """Known vectors by their nearest pivot: count, and the least and largest angle to the pivot, of every cell.
 
     Cells are laid along the first axis of the pivots and packed into shards of at most `rows` vectors; a larger cell is
-    dealt over several shards by a hash.
+    dealt over several shards by a hash. Where that makes more than `SHARDS`, shards are larger, up to `SHARD_BYTES`.
     """
 
     pivots: np.ndarray
@@ -56,9 +62,11 @@ class Cells:
     first: np.ndarray  # shard where a cell begins
     parts: np.ndarray  # shards that a cell is dealt over
     n_shards: int
+    rows: int
 
     @classmethod
     def pack(cls, pivots: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.ndarray, rows: int) -> Cells:
+        rows = max(rows, min(SHARD_BYTES // (8 * pivots.shape[1]), -(-int(counts.sum()) // SHARDS)))
         first, parts = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
         middle = pivots - pivots.mean(axis=0)
         along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]
@@ -72,7 +80,7 @@ class Cells:
                 shard, filled = shard + int(parts[cell]), 0
             else:
                 filled += n
-        return cls(pivots, counts, low, high, first, parts, shard + (filled > 0))
+        return cls(pivots, counts, low, high, first, parts, shard + (filled > 0), rows)
 
     def bounds(self, angles: np.ndarray, near: np.ndarray, cells: np.ndarray | slice = slice(None)) -> np.ndarray:
         """No member of a cell can be nearer than this: by the cell's ring around its pivot, and by the plane between."""
@@ -107,7 +115,8 @@ class Shard:
             need = np.flatnonzero(bounds[:, k] <= limit + SLACK)
             if len(need):
                 low, high = self.spans[k]
-                found = (1.0 - rows[need] @ self.rows[low:high].T).min(axis=1)
+                step = max(1, PRODUCTS // (high - low))
+                found = np.concatenate([1.0 - (rows[need[at : at + step]] @ self.rows[low:high].T).max(axis=1) for at in range(0, len(need), step)])
                 best[need] = np.minimum(best[need], found)
                 limit[need] = np.minimum(limit[need], np.arccos(np.clip(1.0 - found, -1.0, 1.0)))
         return best
@@ -172,7 +181,7 @@ def nearest_known(
     if cells is None:
         one = F.lit(1.0) if some_blank else F.lit(None).cast("double")
         return have.groupBy(key).agg(F.max(one).alias("distance"))
-    block = rows or BLOCK_ROWS
+    block = cells.rows
     names = ["shard", "cell", "near", "upper", "vector", "distance"]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.float64()]
     schema = f"`{key}` {id_type}, shard long, cell long, near double, upper double, vector binary, distance double"
@@ -186,10 +195,15 @@ def nearest_known(
             usable = np.flatnonzero(~blank & ~odd)
             if len(usable):
                 near, upper, shards = cells.route(unit[usable])
-                take = np.repeat(np.arange(len(usable)), [len(s) for s in shards])
-                packed = [unit[k].tobytes() for k in usable]
-                values = [np.concatenate(shards), [None] * len(take), near[take], upper[take], [packed[k] for k in take], [None] * len(take)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(usable[take])), *(pa.array(v, t) for v, t in zip(values, kinds))], [key, *names])
+                packed = pa.array([unit[k].tobytes() for k in usable], pa.binary())
+                to, sizes = np.concatenate(shards), np.array([len(s) for s in shards])
+                ends = np.cumsum(sizes)
+                for at in range(0, len(to), COPIES):
+                    part = to[at : at + COPIES]
+                    take = np.searchsorted(ends, np.arange(at, at + len(part)), side="right")
+                    copied = [pa.array(part), pa.nulls(len(part), pa.int64()), pa.array(near[take]), pa.array(upper[take]), packed.take(pa.array(take))]
+                    found = [batch.column(0).take(pa.array(usable[take])), *copied, pa.nulls(len(part), pa.float64())]
+                    yield pa.RecordBatch.from_arrays(found, [key, *names])
 
     def placed(batches):
         for batch in batches:
