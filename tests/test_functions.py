@@ -301,3 +301,24 @@ def test_substitutions_are_counted_once_for_each_difference_of_weights(monkeypat
 def test_places_are_lists_without_objects():
     found = W._lists([np.array([1, 5], dtype=np.int32), W._NONE, W._NONE], np.array([False, True, False]))
     assert found.to_pylist() == [[1, 5], None, []] and found.type == pa.list_(pa.int32())
+
+
+@pytest.mark.parametrize("k,piece", [(1, 4), (3, 4), (9, 2048), (5, 2)])
+def test_kmer_windows_across_pieces_and_wide_characters(spark, k, piece):
+    texts = ["a𝔸b\nc𝔹𝔹def" * 3, "é" * 11, "ab", "", None]
+    got = sorted(tuple(r) for r in Q.kmer_windows(spark.createDataFrame(list(enumerate(texts)), "id int, s string"), "id", "s", k, piece).collect())
+    assert got == sorted((i, at + 1, t[at : at + k]) for i, t in enumerate(texts) if t for at in range(len(t) - k + 1))
+
+
+def test_rows_of_windows_carry_no_text(spark):
+    """Neither the pieces of a text nor a piece itself is copied to each of its rows."""
+    df = spark.createDataFrame([(1, "abcdef")], "id int, s string")
+    plan = Q.kmer_windows(df, "id", "s", 3)._jdf.queryExecution().optimizedPlan()
+    steps = [plan]
+    while steps[-1].children().nonEmpty():
+        steps.append(steps[-1].children().head())
+    generates = [s for s in steps if s.nodeName() == "Generate"]
+    assert len(generates) == 2
+    for step in generates:
+        names = [step.output().apply(i).name() for i in range(step.output().size())]
+        assert len(names) <= 4 and "s" not in names and (step is generates[1] or "_text" not in names)

@@ -55,31 +55,22 @@ def wrap_text(text: ColumnLike, width: int = 60) -> Column:
     return F.regexp_replace(col(text), "(.{%d})(?=.)" % width, "$1\n")
 
 
-def window_starts(length: Column, k: int) -> Column:
-    """1..n-k+1, or an empty array when the text is shorter than the window."""
-    # sequence() counts downwards for a reversed range, so the stop is floored first and the filter empties it
-    return F.when(length >= k, F.sequence(F.lit(1), F.greatest(length - (k - 1), F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
-    )
-
-
 def kmer_windows(df: DataFrame, id_col: str, sequence_col: str, k: int, piece: int = 2048) -> DataFrame:
     """One row per window: id, 1-based start, window text.
 
-    Characters are found by counting from the start of a text, so the text is first cut into pieces of bounded length
-    (never below the window), each with the first k - 1 characters of the next, and windows are taken inside the
-    pieces: the work is linear in the text.
+    The text is cut into pieces of bounded length (never below the window), each with the first k - 1 characters of the
+    next, and one pass of a pattern over a piece gives its windows: the work is linear in the text, and no row carries
+    more than its piece or window.
     """
     piece = max(piece, k)
-    parts = F.regexp_extract_all(F.col(sequence_col), F.lit("(?s).{1,%d}" % piece), F.lit(0))
-    cut = df.select(id_col, parts.alias("_parts")).select(id_col, "_parts", F.posexplode("_parts").alias("_nth", "_part"))
-    following = F.coalesce(F.get("_parts", F.col("_nth") + 1), F.lit(""))
-    text = F.concat("_part", F.substring(following, 1, k - 1)) if k > 1 else F.col("_part")
-    pieces = cut.select(id_col, (F.col("_nth") * piece).alias("_before"), text.alias("_text"))
-    inside = pieces.select(id_col, "_before", "_text", F.explode(window_starts(F.length("_text"), k)).alias("_at"))
-    return inside.select(
-        id_col, (F.col("_before") + F.col("_at")).cast("int").alias("start"), F.col("_text").substr(F.col("_at"), F.lit(k)).alias("window")
-    )
+    cut = "(?s)(.{1,%d})(?=(.{0,%d}))" % (piece, k - 1)
+    part, following = (F.regexp_extract_all(F.col(sequence_col), F.lit(cut), F.lit(g)) for g in (1, 2))
+    texts = F.zip_with(part, following, lambda a, b: F.concat(a, b))
+    pieces = df.select(id_col, F.posexplode(texts).alias("_nth", "_text"))
+    # a character is consumed after each look ahead, so that a window never starts inside one
+    windows = F.regexp_extract_all("_text", F.lit("(?s)(?=(.{%d}))." % k), F.lit(1))
+    inside = pieces.select(id_col, "_nth", F.posexplode(windows).alias("_at", "window"))
+    return inside.select(id_col, (F.col("_nth") * piece + F.col("_at") + 1).cast("int").alias("start"), "window")
 
 
 def matches(a: ColumnLike, b: ColumnLike) -> Column:
