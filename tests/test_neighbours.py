@@ -109,3 +109,19 @@ def test_products_of_a_shard_are_taken_in_lots(monkeypatch):
     expected = (1.0 - asked @ known.T).min(axis=1)
     monkeypatch.setattr(N, "PRODUCTS", 700)
     assert np.allclose(shard.nearest(asked, near, np.full(50, 4.0)), expected, atol=1e-12)
+
+
+def test_mean_identity_moves_pieces_not_characters(spark, monkeypatch):
+    """Texts of different lengths and alphabets across many pieces, against pairs; the shuffle has a row per piece."""
+    texts = ["KREWY" * n + "é𝔸"[: n % 3] for n in range(1, 60)] + ["", "A", "é" * 130, "𝔸" * 130, "KREWY" * 30]
+    share = lambda a, b: sum(x == y for x, y in zip(a, b)) / max(len(a), len(b), 1)
+    pairs = [share(a, b) for i, a in enumerate(texts) for b in texts[:i]]
+    found = N.mean_pairwise_identity(spark.createDataFrame([(t,) for t in texts], "s string"), "s")
+    assert found.first().n_pairs == len(pairs) and found.first().mean_identity == pytest.approx(sum(pairs) / len(pairs))
+
+
+def test_seen_counts_within_and_across_lots():
+    seen = N.Seen()
+    rows = [b"ab", "aé".encode("latin-1"), "a𝔸".encode("utf-32-le"), b"ab"]
+    assert seen.add(rows[:2], np.array([1, 1])).tolist() == [0, 1]
+    assert seen.add(rows[2:], np.array([4, 1])).tolist() == [2, 4]

@@ -18,7 +18,7 @@ BATCH_VECTORS = 2_048
 # angles near zero lose half the digits of a cosine; bounds are trusted up to this
 SLACK = 1e-6
 DIRECT_SHARDS = 1_024
-CELLS = 2_000_000
+PLACES = 64
 # a candidate may need every shard: no more than these, while the vectors of one fit these bytes
 SHARDS = 32
 SHARD_BYTES = 64 << 20
@@ -293,43 +293,100 @@ def known_set(default_ids: DataFrame, extra_ids: DataFrame, key: str) -> DataFra
     return default_ids.select(key).union(extra_ids.select(key)).distinct()
 
 
+def _packed(text: str) -> tuple[bytes, int]:
+    """The characters as one byte each, or four where one of them needs more, and that width."""
+    try:
+        return text.encode("latin-1"), 1
+    except UnicodeEncodeError:
+        return text.encode("utf-32-le", "surrogatepass"), 4
+
+
+class Seen:
+    """How often each character stood at each of `PLACES` places."""
+
+    def __init__(self):
+        self.known = np.zeros(0, dtype=np.int64)
+        self.counts = np.zeros((PLACES, 0), dtype=np.int64)
+
+    def add(self, parts: list[bytes], widths: np.ndarray) -> np.ndarray:
+        """Take the parts in order; for each, the number of parts before it with its character, summed over its places."""
+        rows, codes = [], []
+        for width, kind in ((1, np.uint8), (4, np.uint32)):
+            mine = np.flatnonzero(widths == width)
+            rows.append(np.repeat(mine, [len(parts[i]) // width for i in mine]))
+            codes.append(np.frombuffer(b"".join([parts[i] for i in mine]), dtype=kind).astype(np.int64))
+        rows, codes = np.concatenate(rows).astype(np.int64), np.concatenate(codes)
+        sizes = np.array([len(p) for p in parts]) // widths
+        in_order = np.argsort(rows, kind="stable") if (widths != 1).any() else slice(None)
+        rows, codes = rows[in_order], codes[in_order]
+        places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        fresh = np.setdiff1d(codes, self.known)
+        if len(fresh):
+            wider = np.union1d(self.known, fresh)
+            counts = np.zeros((PLACES, len(wider)), dtype=np.int64)
+            counts[:, np.searchsorted(wider, self.known)] = self.counts
+            self.known, self.counts = wider, counts
+        cell = places * len(self.known) + np.searchsorted(self.known, codes)
+        order = np.argsort(cell, kind="stable")
+        sorted_cells = cell[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_cells[1:] != sorted_cells[:-1])))
+        times = np.diff(np.append(first, len(cell)))
+        before = np.empty(len(cell), dtype=np.int64)
+        before[order] = np.arange(len(cell)) - np.repeat(first, times)
+        flat = self.counts.reshape(-1)
+        before += flat[cell]
+        flat[sorted_cells[first]] += times
+        return np.add.reduceat(before, np.cumsum(sizes) - sizes)
+
+
 def mean_pairwise_identity(df: DataFrame, sequence_col: str) -> DataFrame:
     """Mean positional identity over all unordered pairs; NULL when there is no pair.
 
-    A pair contributes its matches divided by the longer length. Matches are counted from the number of sequences
-    sharing a character at a position, by length, so the cost is linear in the text and no pair is formed.
+    A pair contributes its matches divided by the longer length. Texts are dealt in pieces by place and read by length:
+    each meets the counts of the characters that shorter ones have at its places. The text is moved once, the cost is
+    linear in it, no pair is formed, and a task holds the counts of `PLACES` places.
     """
 
-    def cells(batches):
-        # characters as (position, code point) numbers, counted by length: one sort per length and number of characters
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
-
-        def counted():
-            for length, parts in held.items():
-                cell, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(cell), length)), pa.array(n)], ["cell", "len", "n"])
-            held.clear()
-
+    def pieces(batches):
+        # texts in pieces of `PLACES` characters, one byte each where all characters of the text have one
         for batch in batches:
             for text in batch.column(0):
-                codes = np.frombuffer(text.as_py().encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-                held.setdefault(len(codes), []).append((np.arange(len(codes), dtype=np.int64) << 21) | codes)
-                size += len(codes)
-                if size >= CELLS:
-                    yield from counted()
-                    size = 0
-        yield from counted()
+                given = text.as_py()
+                data, width = _packed(given)
+                step = PLACES * width
+                parts = [data[at : at + step] for at in range(0, len(data), step)]
+                for low in range(0, len(parts), BATCH_VECTORS):
+                    some = parts[low : low + BATCH_VECTORS]
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(low, low + n)), pa.array(np.full(n, len(given))), pa.array(np.full(n, width)), pa.array(some, pa.binary())],
+                        ["block", "len", "width", "part"],
+                    )
+
+    def met(batches):
+        # the pieces of a block by length: each meets the characters of the shorter ones at its places
+        current, seen = None, Seen()
+        for batch in batches:
+            blocks, lengths, widths = (batch.column(i).to_numpy() for i in range(3))
+            edges = np.flatnonzero(np.diff(blocks)) + 1
+            for low, high in zip([0, *edges], [*edges, len(blocks)]):
+                if low == high:
+                    continue
+                if blocks[low] != current:
+                    current, seen = blocks[low], Seen()
+                # a piece has up to `PLACES` characters, so a lot is bounded
+                for at in range(low, high, BATCH_VECTORS):
+                    end = min(high, at + BATCH_VECTORS)
+                    found = seen.add(batch.column(3).slice(at, end - at).to_pylist(), widths[at:end])
+                    kinds, row = np.unique(lengths[at:end], return_inverse=True)
+                    sums = np.zeros(len(kinds), dtype=np.int64)
+                    np.add.at(sums, row, found)
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(sums)], ["len", "m"])
 
     texts = df.filter(F.length(sequence_col) > 0).select(F.col(sequence_col).alias("s"))
-    counted = (
-        # counts are added up in the tasks first; a cell then has one row per length, so no cell is hot in the window
-        texts.mapInArrow(cells, "cell long, len long, n long").groupBy("cell", "len").agg(F.sum("n").alias("n"))
-    )
-    shorter = Window.partitionBy("cell").orderBy("len").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(shorter), F.lit(0))
-    pairs = F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * before
-    by_length = counted.withColumn("m", pairs).groupBy("len").agg(F.sum("m").alias("m"))
+    cut = texts.mapInArrow(pieces, "block long, len long, width long, part binary")
+    dealt = cut.repartition("block").sortWithinPartitions("block", "len")
+    by_length = dealt.mapInArrow(met, "len long, m long").groupBy("len").agg(F.sum("m").alias("m"))
     total = by_length.agg(F.sum(F.col("m") / F.col("len")).alias("identity_sum"))
     count = df.filter(F.col(sequence_col).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
     both = total.unionByName(count, allowMissingColumns=True).agg(
