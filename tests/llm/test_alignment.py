@@ -243,3 +243,20 @@ def test_held_out_quality_of_the_table(spark):
     folder = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op11_pairwise_quality"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
+
+
+def test_threshold_and_label_counts_come_from_all_training_documents(spark, monkeypatch):
+    """A sample of a few documents fits the strengths; labels of documents that are not given count nowhere."""
+    monkeypatch.setattr(pairwise, "MAX_DOCS_PER_LABEL", 15)
+    texts = [(i, ("plain words of a text " * (1 + i % 9) if i % 3 else "A1 $$ ## | <> " * (2 + i % 7)) + "x" * (i % 11)) for i in range(240)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = [(i, int(i % 3 > 0)) for i in range(240)] + [(i, 0) for i in range(1000, 1500)]
+    model = pairwise.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    strength = np.sort(model.strength(np.array([pairwise.measures(t) for _, t in texts])))
+    assert model.threshold == pytest.approx((strength[79] + strength[80]) / 2)
+
+
+def test_order_statistic_is_exact(spark):
+    values = [0.1, 0.1, 0.1, -5.0, 3.0, 3.0000000000000004, 1e9, 1e-9, 2.0]
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    assert [pairwise.order_statistic(df, "s", k + 1, 2) for k in range(len(values))] == sorted(values)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.llm.shared import discard, store
+
 MAX_DOCS_PER_LABEL = 2000
 PAIRS_PER_DOC = 40
 KNOTS = 6
@@ -131,7 +133,8 @@ class Ranking:
         return np.concatenate([z, hinges.reshape(len(z), -1)], axis=1)
 
     def strength(self, x: np.ndarray) -> np.ndarray:
-        return self.features(x) @ self.weights
+        # row by row: a matrix product may round otherwise for other numbers of rows
+        return (self.features(x) * self.weights).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1: `CUT` at the threshold, so that a score of `CUT` or more means the strength reaches the quantile."""
@@ -166,8 +169,9 @@ def weighted_quantile(values: np.ndarray, weights: np.ndarray, q: float) -> floa
 def train(x: np.ndarray, labels: np.ndarray, sizes: tuple[int, int], seed: int = SEED) -> Ranking | None:
     """Fit the strengths by Newton steps on the logistic loss of feature differences; None without a label.
 
-    `sizes` are the labelled documents of label 0 and 1 that the sample stands for: the threshold is the quantile of the
-    strengths at the share of label 0 among them. Equal inputs give equal models.
+    `sizes` are the labelled documents of label 0 and 1 that the rows stand for: the threshold is the quantile of the
+    strengths at the share of label 0 among them, which `settle` replaces by that of all documents. Equal inputs give
+    equal models.
     """
     if not len(x):
         return None
@@ -218,25 +222,66 @@ def clean_labels(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Ranking | None:
-    """Model learned from at most about `MAX_DOCS_PER_LABEL` documents of each label, chosen by a hash of their ids.
+    """Model learned from the labelled documents; None if nothing is labelled.
 
-    The driver gets their measures, never their texts. An id with several texts gives the one with the smallest hash;
-    ids without a label, with both labels or without a document are left out. None if nothing is labelled.
+    Every labelled document is measured, counted and takes part in the threshold: the exact quantile of all their
+    strengths at the share of label 0. The strengths themselves are fitted on at most about `MAX_DOCS_PER_LABEL` documents
+    of each label, chosen by a hash of their ids. The driver gets measures, never texts. An id with several texts gives the
+    one with the smallest hash; ids without a label, with both labels or without a document are left out.
     """
     known = clean_labels(labels, doc_id, label)
-    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    given = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    found = _measure(given.filter("id IS NOT NULL"), "text", ["id", "h"]).join(known, "id")
+    found = found.groupBy("id", "label").agg(F.min(F.struct("h", "measures"))["measures"].alias("measures"))
+    stored = store(found, "measures")
+    sizes = {r["label"]: r["n"] for r in stored.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
+        discard(stored)
         return None
     part = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(SEED)), F.lit(1 << 30))
     wide = F.lit(0.0)
     for kind, n in sorted(sizes.items()):
         wide = F.when(F.col("label") == kind, F.lit(float((1 << 30) * min(1.0, MAX_DOCS_PER_LABEL / n)))).otherwise(wide)
-    picked = known.filter(part < wide)
-    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
-    found = found.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "label", "t.text")
-    rows = sorted(_measure(found, "text", ["id", "label"]).collect(), key=lambda r: str(r["id"]))
+    rows = sorted(stored.filter(part < wide).collect(), key=lambda r: str(r["id"]))
     x = np.array([r["measures"] for r in rows]).reshape(len(rows), len(MEASURES))
-    return train(x, np.array([r["label"] for r in rows]), (sizes.get(0, 0), sizes.get(1, 0)))
+    model = train(x, np.array([r["label"] for r in rows]), (sizes.get(0, 0), sizes.get(1, 0)))
+    if model is not None:
+        model = settle(stored, model, sizes.get(0, 0), sum(sizes.values()))
+    discard(stored)
+    return model
+
+
+def settle(measured: DataFrame, model: Ranking, poor: int, n: int) -> Ranking:
+    """The model with its threshold between the strengths of ranks `poor` and `poor` + 1 of all `n`, and the slope about it."""
+
+    def strengths(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, len(MEASURES))
+                yield pa.RecordBatch.from_arrays([pa.array(model.strength(x))], ["s"])
+
+    stored = store(measured.select("measures").mapInArrow(strengths, "s double"), "strengths")
+    below, above = (order_statistic(stored, "s", min(max(rank, 1), n)) for rank in (poor, poor + 1))
+    threshold = below if poor == 0 else (below + above) / 2
+    gap = stored.agg(F.avg(F.abs(F.col("s") - threshold))).first()[0]
+    discard(stored)
+    # the order of a sum must not show in the scores
+    return replace(model, threshold=threshold, slope=1 / max(1e-6, float(f"{gap:.6g}") / 2))
+
+
+def order_statistic(df: DataFrame, column: str, rank: int, bins: int = 4096) -> float:
+    """The value of that rank (from 1) of a column of finite doubles, exactly: counted in ever narrower ranges."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    skipped, value = 0, F.col(column)
+    while low < high:
+        place = F.least(F.floor((value - low) / (high - low) * bins), F.lit(bins - 1))
+        counted = df.filter(value.between(low, high)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
+        for r in sorted(counted.collect(), key=lambda r: r["bin"]):
+            if skipped + r["n"] >= rank:
+                low, high = r["a"], r["b"]
+                break
+            skipped += r["n"]
+    return low
 
 
 def score(docs: DataFrame, model: Ranking | None, text: str = "text") -> DataFrame:
