@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from winnow.llm import language, lines, mixing, simhash
-from winnow.llm.shared import components, stars
+from winnow.llm.shared import components, split_by_keys, stars
 
 DOCS = "doc_id long, text string, source string, lang string"
 
@@ -112,6 +113,21 @@ def test_lines_repeated_in_a_large_host_are_removed_but_for_one_copy(spark):
     assert all(got[700 + i].endswith(notice) for i in range(20))  # not more than the limit
 
 
+def test_texts_that_lose_no_line_do_not_meet_the_dropped_lines(spark, monkeypatch):
+    rows = repetitive_rows()
+    rng = random.Random(9)
+    rows += [(1000 + i, f"{prose(rng, 30)}\n{prose(rng, 30)}", "plain") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    moved, marked = [], lines._marked
+    monkeypatch.setattr(lines, "_marked", lambda docs, *rest: moved.extend(r["doc_id"] for r in docs.collect()) or marked(docs, *rest))
+    got = sorted((r["doc_id"], r["text"]) for r in lines.clean(docs).collect())
+    frequent = brute.frequent_lines([(d, h, t) for d, t, h in rows])
+    want = [(d, brute.clean(t, frequent.get(h))) for d, t, h in rows]
+    assert got == sorted((d, text) for d, (ok, text) in want if ok)
+    loses = {d for (d, (_, text)), (_, t, _) in zip(want, rows) if text != t}
+    assert loses <= set(moved) and len(moved) < len(rows) - 290
+
+
 def test_quality_edge_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert lines.quality(empty).collect() == []
@@ -142,6 +158,20 @@ def test_simhash_matches_brute_force(spark, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(groups.values()))
 
 
+def test_texts_of_ids_that_are_kept_once_are_not_dealt_out(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 60, 3000), f"row {i}") for i in range(300)]
+    rows += [(300 + i, rows[i][1], "copy") for i in range(20)] + [(i, rows[i][1], "again") for i in range(50, 60)]
+    rows += [(50, prose(rng, 60, 3000), "other text"), (None, rows[70][1], "no id"), (None, prose(rng, 60, 3000), "alone, no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    dealt, once = [], type(docs).dropDuplicates
+    monkeypatch.setattr(type(docs), "dropDuplicates", lambda self, *a: dealt.extend(r["doc_id"] for r in self.select("doc_id").collect()) or once(self, *a))
+    kept = simhash.keep_one(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(300))
+    assert all(r["note"] == f"row {r['doc_id']}" for r in kept if not 50 <= r["doc_id"] < 60)
+    assert set(range(50, 60)) <= set(dealt) and len(dealt) < 40
+
+
 def test_pigeonring_keeps_every_link_and_prunes():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 400, np.uint64)
@@ -193,6 +223,21 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert got[9] == 9
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_split_by_keys_misses_no_key(spark, bits):
+    rng = random.Random(4)
+    values = [rng.getrandbits(64) - 2**63 for _ in range(4000)] + [0, -1, 1, 32767, 32768, 32769, 2**63 - 1, -(2**63), None]
+    keys = values[:300] + values[4000:]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "k long, at long")
+    inside, outside = split_by_keys(df, F.col("k"), spark.createDataFrame([(k,) for k in keys], "key long"), bits)
+    found, rest = ([tuple(r) for r in x.collect()] for x in (inside, outside))
+    assert inside.columns == df.columns and sorted(r[1] for r in found + rest) == list(range(len(values)))
+    assert {k for k in keys if k is not None} <= {k for k, _ in found} and (None, len(values) - 1) in rest
+    assert bits == 64 or len(found) == 308
+    inside, outside = split_by_keys(df, F.col("k"), spark.createDataFrame([], "key long"), bits)
+    assert inside.isEmpty() and outside.count() == len(values)
+
+
 def test_stars():
     assert stars(np.array([1, 2, 5]), np.array([0, 1, 4]), 7).tolist() == [0, 0, 0, 3, 4, 4, 6]
     assert stars(np.zeros(0, int), np.zeros(0, int), 0).tolist() == []

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import components, discard, stars, store
+from winnow.llm.shared import components, discard, split_by_keys, stars, store
 
 SHINGLE = 3
 SEED = 42
@@ -164,6 +164,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component: that of the smallest id, once if it is repeated. Rows without an id are dropped."""
-    kept = near_duplicates(docs, text, doc_id).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id] == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    """One row of each component: that of the smallest id, once if it is repeated. Rows without an id are dropped.
+
+    Texts whose id is kept and not repeated stay where they are read; the others are moved to meet the ids that go.
+    """
+    found = near_duplicates(docs, text, doc_id).filter("doc_id IS NOT NULL")
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    judged = store(ids.filter("n > 1 OR NOT kept"), "judged-ids")
+    named = docs.filter(F.col(doc_id).isNotNull())
+    maybe, alone = split_by_keys(named, F.xxhash64(F.col(doc_id)), judged.select(F.xxhash64("_id")))
+    gone = judged.filter("NOT kept").select("_id")
+    return maybe.join(gone, F.col(doc_id) == F.col("_id"), "left_anti").dropDuplicates([doc_id]).unionByName(alone)
