@@ -9,7 +9,7 @@ import time
 import numpy as np
 import pytest
 
-from winnow.llm import kneser, language, rans, tagpaths, warc
+from winnow.llm import hnsw, kneser, language, rans, tagpaths, warc
 
 STORY = ["A first paragraph, with commas, and some length to it; it goes on. " * 3, "The second one, as long, says what is left to say. It ends here, at last. " * 3]
 STORY = [s.strip() for s in STORY]
@@ -165,3 +165,80 @@ def test_ratios_match_a_plain_form(spark):
         blocks, want = brute_extract_scores(page)
         got = tagpaths.path_ratios(blocks) if blocks else []
         assert np.allclose(got, want)
+
+
+def vectors_by_level(n, dim, seed):
+    """Unit vectors in pairs of near copies, sorted as a shard sorts them, and their levels."""
+    rng = np.random.default_rng(seed)
+    half = rng.normal(size=(n // 2, dim))
+    values = hnsw.unit(np.concatenate([half, half + rng.normal(scale=0.1, size=half.shape)])).astype(np.float32)
+    levels = hnsw.levels_of(np.arange(n))
+    order = np.argsort(-levels, kind="stable")
+    return values[order], levels[order]
+
+
+def test_graph_whose_upper_layer_is_longer_than_a_first_batch(monkeypatch):
+    monkeypatch.setattr(hnsw, "FIRST", 64)
+    unit, levels = vectors_by_level(3000, 24, 0)
+    graph = hnsw.build(unit, levels)
+    assert len(graph.layers[-2]) > 64 and [len(x) for x in graph.layers][-1] == 3000
+    assert all(((x >= -1) & (x < len(x))).all() for x in graph.layers)
+    truth = unit @ unit.T >= 0.9
+    q, x = hnsw.all_within(graph, unit, 0.9, hnsw.BEAM)
+    found = np.zeros_like(truth)
+    found[q, x] = True
+    assert not (found & ~truth).any() and found.sum() >= 0.99 * truth.sum() and truth.sum() > 5500
+
+
+def test_crowded_shards_are_compared_in_bounded_parts():
+    rng = np.random.default_rng(3)
+    unit = hnsw.unit(rng.normal(size=32) + rng.normal(scale=0.01, size=(12_000, 32))).astype(np.float32)
+    graph = hnsw.Graph(unit, [np.full((12_000, 32), -1, np.int32)])
+    sizes = [len(q) for q, _ in hnsw._compare(graph, unit[:700], np.arange(700), 0.9)]
+    assert sum(sizes) == 700 * 12_000 and max(sizes) <= hnsw.VISITED // 16
+
+
+def test_links_are_counted_and_grouped_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(hnsw, "HELD", 10)
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 60, (40, 2))
+    links, parent = hnsw._Links(5), list(range(60))
+    for at in range(0, 40, 3):
+        links.add(pairs[at : at + 3, 0], pairs[at : at + 3, 1])
+        assert links.held < 10
+    for _ in range(60):
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert dict(zip(*map(np.ndarray.tolist, links.groups()))) == {k: p for k, p in enumerate(parent) if p != k}
+
+
+def brute_links(rows):
+    """(n_links, component) of (id, vector) by comparing all pairs; ids are distinct."""
+    ids, values = [i for i, _ in rows], np.array([v for _, v in rows])
+    unit = values / np.sqrt(np.einsum("ij,ij->i", values, values))[:, None]
+    near = unit @ unit.T >= 0.9
+    component = np.array(ids)
+    while (least := np.where(near, component[None], max(ids) + 1).min(axis=1)).tolist() != component.tolist():
+        component = least
+    return {i: (int(n) - 1, int(c)) for i, n, c in zip(ids, near.sum(axis=1), component)}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_shards_of_few_bytes_meet_through_their_files(spark, monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 8))
+    rows = [(3 * i, np.float32(centres[i % 30] + rng.normal(scale=(i % 4) * 0.1, size=8)).astype(float).tolist()) for i in range(300)]
+    rows += [(2000 + k, rows[7 * k][1]) for k in range(20)] + [(3000, [0.0, 1.0] * 4), (3001, [-0.0, 1.0] * 4)]
+    for name, value in (("SHARD_BYTES", 2000), ("BLOCK", 16), ("BLOCKS_PER_TASK", 2)):
+        monkeypatch.setattr(hnsw, name, value)
+    opened = []
+    monkeypatch.setattr(hnsw, "discard_folder", lambda _, folder: opened.extend(os.listdir(folder)))
+    vectors = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_vectors(vectors, min_shards=2).collect()}
+    assert got == brute_links(rows)
+    assert len(opened) >= 8 and not any(x.startswith(".") for x in opened)
+
+
+def test_a_graph_without_its_file_raises(tmp_path):
+    with pytest.raises(RuntimeError, match="shared folder"):
+        hnsw.open_shard(f"{tmp_path}", 0, 8, 100)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.shared import components, discard, stars, store
+from winnow.llm.kneser import mounted
+from winnow.llm.shared import components, discard_folder, split_by_keys, stars, store
+from winnow.session import scratch_path
 
 THRESHOLD = 0.9
 DEGREE = 16
@@ -19,11 +24,17 @@ BEAM = 32
 EXPAND = 4
 MIN_SHARDS = 6
 SHARD_VECTORS = 200_000
+SHARD_BYTES = 1 << 27
 BLOCK = 2048
 BLOCKS_PER_TASK = 8
+MAX_TASKS = 10_000
 AUDITED = 16
 RECALL = 0.99
 VISITED = 1 << 25
+WIDEST = 1024
+COMPARED = 256
+HELD = 1 << 20
+GATHERED = 64
 FIRST = 1024
 
 
@@ -78,10 +89,12 @@ def search_layer(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, en
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
         near[(near >= 0) & seen[rows[:, None], near]] = -1
         r, c = np.nonzero(near >= 0)
-        found = near[r, c]
-        seen[rows[r], found] = True
-        new = np.full(near.shape, -np.inf, np.float32)
-        new[r, c] = np.einsum("ij,ij->i", queries[rows[r]], vectors[found])
+        seen[rows[r], near[r, c]] = True
+        new = np.empty(near.shape, np.float32)
+        for at in range(0, len(rows), GATHERED):
+            part = near[at : at + GATHERED]
+            new[at : at + GATHERED] = (vectors[np.maximum(part, 0)] @ queries[rows[at : at + GATHERED], :, None])[:, :, 0]
+        new[near < 0] = -np.inf
         all_sims = np.concatenate([sims[rows], new], axis=1)
         keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         sims[rows] = np.take_along_axis(all_sims, keep, 1)
@@ -110,7 +123,7 @@ def _diverse(vectors: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: in
 
 
 def _add_links(vectors: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.ndarray) -> None:
-    """Set the links of new nodes and the links back; full lists are chosen anew."""
+    """Set the links of new nodes and the links back; lists that would be too long are chosen anew."""
     degree = links.shape[1]
     links[new] = chosen
     r, c = np.nonzero(chosen >= 0)
@@ -123,7 +136,10 @@ def _add_links(vectors: np.ndarray, links: np.ndarray, new: np.ndarray, chosen:
     other = np.concatenate([back, links[touched][old_r, old_c]])
     once = np.unique(node * len(links) + other)
     node, other = once // len(links), once % len(links)
-    sims = np.einsum("ij,ij->i", vectors[node], vectors[other])
+    sims = np.empty(len(node), np.float32)
+    for at in range(0, len(node), BLOCK):
+        part = slice(at, at + BLOCK)
+        sims[part] = np.einsum("ij,ij->i", vectors[node[part]], vectors[other[part]])
     order = np.lexsort((-sims, node))
     node, other, sims = node[order], other[order], sims[order]
     starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
@@ -135,7 +151,9 @@ def _add_links(vectors: np.ndarray, links: np.ndarray, new: np.ndarray, chosen:
     near = np.full((len(starts), width), -np.inf, np.float32)
     cand[row[fits], place[fits]] = other[fits]
     near[row[fits], place[fits]] = sims[fits]
-    links[node[starts]] = _diverse(vectors, cand, near, degree)
+    over = cand[:, degree] >= 0
+    links[node[starts]] = cand[:, :degree]
+    links[node[starts[over]]] = _diverse(vectors, cand[over], near[over], degree)
 
 
 def _top(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +164,22 @@ def _top(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(at, order, 1), np.take_along_axis(s, order, 1)
 
 
+def _nearest_beside(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k others most similar to each vector, best first."""
+    parts = []
+    for at in range(0, len(vectors), COMPARED):
+        own = vectors[at : at + COMPARED] @ vectors.T
+        own[np.arange(len(own)), np.arange(at, at + len(own))] = -np.inf
+        parts.append(_top(own, k))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def build(vectors: np.ndarray, levels: np.ndarray) -> Graph:
     """Graph of unit vectors that are sorted by level, highest first.
 
     Layer by layer from the top: the nodes of a layer are a prefix, and enter in growing batches. A batch searches the
-    nodes before it, starting from the layer above, and compares its own members directly.
+    nodes before it, starting from the layer above, and compares its own members directly. A search may start at any node
+    of the layer above, so where that has more nodes than a first batch, they bring their links from it.
     """
     graph = Graph(vectors, [])
     for level in range(int(levels.max()) if len(levels) else 0, -1, -1):
@@ -160,12 +189,13 @@ def build(vectors: np.ndarray, levels: np.ndarray) -> Graph:
         degree = 2 * DEGREE if level == 0 else DEGREE
         links = np.full((n, degree), -1, np.int64)
         at = 0
+        if graph.layers and len(graph.layers[-1]) > FIRST:
+            at = len(graph.layers[-1])
+            links[:at, :DEGREE] = graph.layers[-1]
         while at < n:
             size = min(n - at, max(FIRST, min(at, 2 * BLOCK)))
             new = np.arange(at, at + size)
-            own = vectors[new] @ vectors[new].T
-            np.fill_diagonal(own, -np.inf)
-            cand, sims = _top(own, BUILD_BEAM)
+            cand, sims = _nearest_beside(vectors[at : at + size], BUILD_BEAM)
             cand = np.where(np.isneginf(sims), -1, cand + at)
             if at:
                 found, near = _search(graph, links, vectors[new], BUILD_BEAM, at)
@@ -180,7 +210,7 @@ def build(vectors: np.ndarray, levels: np.ndarray) -> Graph:
 
 def _search(graph: Graph, links: np.ndarray, queries: np.ndarray, beam: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Beams at a layer among its first n nodes; the entry comes from the layers above."""
-    size = max(1, min(len(queries), VISITED // n))
+    size = max(1, min(BLOCK, VISITED // n))
     parts = []
     for at in range(0, len(queries), size):
         q = queries[at : at + size]
@@ -196,30 +226,45 @@ def search(graph: Graph, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np
     return _search(graph, graph.layers[-1], queries, beam, len(graph.vectors))
 
 
-def all_within(graph: Graph, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of everything a search finds at or above `least`.
+def _worth(beam: int, n: int) -> bool:
+    """Whether a search with this beam costs less than comparing with all n nodes; the first beam is left out in small shards only."""
+    return beam < n // 8 and (beam <= BEAM or beam < n // WIDEST)
+
 
-    Beams whose last member is still at or above it are widened fourfold; a query whose beam would hold an eighth of the
+def within(graph: Graph, queries: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of (query, node) of everything a search finds at or above `least`.
+
+    Beams whose last member is still at or above it are widened fourfold; a query whose next beam costs more than the
     shard is compared with all of it.
     """
-    n, todo, out = len(graph.vectors), np.arange(len(queries)), []
-    while len(todo) and beam < n // 8:
+    n, todo = len(graph.vectors), np.arange(len(queries))
+    while len(todo) and _worth(beam, n):
         ids, sims = search(graph, queries[todo], beam)
         full = (ids[:, -1] >= 0) & (sims[:, -1] >= least)
         r, c = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None])
-        out.append((todo[r], ids[r, c]))
+        yield todo[r], ids[r, c]
         todo, beam = todo[full], beam * 4
-    out += _compare(graph, queries, todo, least)
-    return np.concatenate([q for q, _ in out]), np.concatenate([x for _, x in out])
+    yield from _compare(graph, queries, todo, least)
 
 
-def _compare(graph: Graph, queries: np.ndarray, todo: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    size = max(1, VISITED // 4 // max(1, len(graph.vectors)))
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for at in range(0, len(todo), size):
-        r, c = np.nonzero(queries[todo[at : at + size]] @ graph.vectors.T >= least)
-        out.append((todo[at + r], c))
-    return out
+def all_within(graph: Graph, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of `within` in one."""
+    return _joined(within(graph, queries, least, beam))
+
+
+def _joined(parts) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *parts]
+    return np.concatenate([q for q, _ in parts]), np.concatenate([x for _, x in parts])
+
+
+def _compare(graph: Graph, queries: np.ndarray, todo: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) at or above `least` by comparing all, in tiles that bound the memory."""
+    wide = VISITED // 16 // COMPARED
+    for at in range(0, len(todo), COMPARED):
+        part = queries[todo[at : at + COMPARED]]
+        for first in range(0, len(graph.vectors), wide):
+            r, c = np.nonzero(part @ graph.vectors[first : first + wide].T >= least)
+            yield todo[at + r], first + c
 
 
 # --- shards in Spark ----------------------------------------------------------------------------------------------
@@ -230,92 +275,159 @@ def unit(values: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vector: str, vec_id: str) -> DataFrame:
-    """(vec_id, v double array) of vectors that are not null, empty or zero and hold finite numbers only."""
-    v = F.col(vector).cast("array<double>")
+    """(vec_id, v array of doubles, or of floats as they are) of vectors that are not null, empty or zero and hold finite numbers only."""
+    single = vectors.select(vector).schema[0].dataType.simpleString() == "array<float>"
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
     good = F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(F.coalesce(x, F.lit(0.0))))
     return vectors.select(F.col(vec_id).alias("vec_id"), v.alias("v")).filter(F.col("v").isNotNull() & good & F.exists("v", lambda x: x != 0))
 
 
-def _build_shard(key, table):
-    rep = table.column("rep").to_numpy()
-    dim = len(table.column("v")[0].as_py())
-    values = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-    order = np.lexsort((rep, -levels_of(rep)))
-    rep, values, weight = rep[order], values[order], table.column("weight").to_numpy()[order]
-    graph = build(unit(values).astype(np.float32), levels_of(rep))
-    sizes = np.array([x for layer in graph.layers for x in layer.shape], np.int64)
-    packed = (key[0].as_py(), key[1].as_py(), rep.tobytes(), weight.tobytes(), values.tobytes(), sizes.tobytes(), b"".join(x.tobytes() for x in graph.layers))
-    return pa.table({c: [x] for c, x in zip(("shard", "dim", "reps", "weights", "vecs", "sizes", "links"), packed)}).cast(
-        pa.schema([("shard", pa.int32()), ("dim", pa.int32()), *((c, pa.binary()) for c in ("reps", "weights", "vecs", "sizes", "links"))])
-    )
+def _singles(values: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Unit vectors in single precision, in an order."""
+    out = np.empty(values.shape, np.float32)
+    for at in range(0, len(out), BLOCK):
+        part = slice(at, at + BLOCK)
+        out[part] = unit(values[part if order is None else order[part]].astype(np.float64))
+    return out
+
+
+@dataclass
+class Shard:
+    """A graph's file, mapped: nodes by level with their ids, copies and vectors as given, and the links of each layer."""
+
+    reps: np.ndarray
+    weights: np.ndarray
+    values: np.ndarray
+    layers: list[np.ndarray]
+
+    def graph(self) -> Graph:
+        return Graph(_singles(self.values), self.layers)
+
+    def exact(self, nodes: np.ndarray | slice) -> np.ndarray:
+        return unit(self.values[nodes].astype(np.float64))
+
+
+def _path(folder: str, shard: int, dim: int) -> str:
+    return f"{folder}/graph-{shard}-{dim}"
+
+
+def _build_shards(folder: str):
+    """Build the graph of a shard and write it under its final name at once, so that a repeated task leaves the same file."""
+
+    def run(key, table):
+        shard, dim = key[0].as_py(), key[1].as_py()
+        rep, weight = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "weight"))
+        values = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        levels = levels_of(rep)
+        order = np.lexsort((rep, -levels))
+        graph = build(_singles(values, order), levels[order])
+        head = [len(rep), values.itemsize, len(graph.layers), *(x for layer in graph.layers for x in layer.shape)]
+        os.makedirs(folder, exist_ok=True)
+        draft = f"{folder}/.{uuid.uuid4().hex}"
+        with open(draft, "wb") as out:
+            for x in (np.array(head, np.int64), rep[order], weight[order]):
+                out.write(x.tobytes())
+            for at in range(0, len(order), BLOCK):
+                out.write(values[order[at : at + BLOCK]].tobytes())
+            for layer in graph.layers:
+                out.write(layer.tobytes())
+        size = os.path.getsize(draft)
+        os.replace(draft, _path(folder, shard, dim))
+        return pa.table({"shard": pa.array([shard], pa.int32()), "dim": pa.array([dim], pa.int32()), "nodes": pa.array([len(rep)]), "size": pa.array([size])})
+
+    return run
 
 
-def _blocks(batches):
-    """Rows packed to blocks of one dimension."""
-    held: dict[int, list] = {}
+def open_shard(folder: str, shard: int, dim: int, size: int) -> Shard:
+    """The mapped file of a shard, an error where it is gone or has another size."""
+    path = _path(folder, shard, dim)
+    found = os.path.getsize(path) if os.path.exists(path) else None
+    if found != size:
+        raise RuntimeError(f"{path} should have {size} bytes but {'is missing' if found is None else f'has {found}'}; is the shared folder mounted here?")
+    data, at = np.memmap(path, np.uint8, "r").view(np.ndarray), 0
 
-    def pack(dim):
-        rows = held.pop(dim)
-        ids, values = np.array([r for r, _ in rows], np.int64), np.array([v for _, v in rows], np.float64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([dim], pa.int32()), pa.array([int(ids.min())]), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())],
-            ["dim", "block", "ids", "qs"],
-        )
+    def take(kind, *shape):
+        nonlocal at
+        begin, at = at, at + math.prod(shape) * np.dtype(kind).itemsize
+        return data[begin:at].view(kind).reshape(shape)
 
-    for batch in batches:
-        for r, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.setdefault(len(v), []).append((r, v))
-            if len(held[len(v)]) == BLOCK:
-                yield pack(len(v))
-    for dim in list(held):
-        yield pack(dim)
+    n, item, depth = take(np.int64, 3).tolist()
+    sizes = take(np.int64, depth, 2).tolist()
+    return Shard(take(np.int64, n), take(np.int64, n), take(f"f{item}", n, dim), [take(np.int32, *x) for x in sizes])
 
 
-def _audited(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Search with a beam that is doubled until the links of some audited queries are found at the wanted recall."""
+def _audited(graph: Graph, queries: np.ndarray, least: float) -> int:
+    """A beam, doubled until the links of some audited queries are found at the wanted recall."""
     audit = np.unique(np.linspace(0, len(queries) - 1, AUDITED).astype(int))
-    truth = np.concatenate([c for _, c in _compare(graph, queries, audit, least)])
+    truth = sum(len(c) for _, c in _compare(graph, queries, audit, least))
     beam = BEAM
-    while truth.size and beam < len(graph.vectors) // 8:
-        found = all_within(graph, queries[audit], least, beam)[1]
-        if len(found) >= RECALL * len(truth):
+    while truth and _worth(beam, len(graph.vectors)):
+        if sum(len(c) for _, c in within(graph, queries[audit], least, beam)) >= RECALL * truth:
             break
         beam *= 2
-    return all_within(graph, queries, least, beam)
+    return beam
+
+
+class _Links:
+    """Link counts of some queries and the groups of linked nodes, which never hold more than some of the pairs."""
+
+    def __init__(self, queries: int):
+        self.counts = np.zeros(queries, np.int64)
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.pairs.append((a, b))
+        self.held += len(a)
+        if self.held >= HELD:
+            self.pairs = [self.groups()]
+            self.held = 0
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node, smallest node of its group) of every node that is not the smallest."""
+        a, b = _joined(self.pairs)
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = stars(place[: len(a)], place[len(a) :], len(nodes))
+        far = np.flatnonzero(label != np.arange(len(nodes)))
+        return nodes[far], nodes[label[far]]
+
+
+def _links_between(own: Shard, other: Shard, same: bool, first: int, last: int, threshold: float, block: int) -> pa.RecordBatch:
+    """Link counts of some nodes of a shard with another shard (or the same), and one star per linked group."""
+    graph, n = other.graph(), len(other.reps)
+    begin = first if same else n  # the first query's number beside those of the other shard's nodes
+    found = _Links(last - first)
+    for at in range(first, last, block):
+        exact = own.exact(slice(at, min(last, at + block)))
+        queries = exact.astype(np.float32)
+        least = threshold - 1e-4
+        for q, x in within(graph, queries, least, _audited(graph, queries, least)):
+            for k in range(0, len(q), 65536):
+                i, j = q[k : k + 65536], x[k : k + 65536]
+                near = (np.einsum("ij,ij->i", exact[i], other.exact(j)) >= threshold) & (own.reps[at + i] != other.reps[j])
+                i, j = i[near] + at - first, j[near]
+                found.counts += np.bincount(i, weights=other.weights[j], minlength=last - first).astype(np.int64)
+                found.add(begin + i, j)
+    far, least_node = found.groups()
+    ids = other.reps if same else np.concatenate([other.reps, own.reps[first:last]])
+    some = np.flatnonzero(found.counts)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([own.reps[first + some], ids[far]])),
+            pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[least_node]]), mask=np.arange(len(some) + len(far)) < len(some)),
+            pa.array(np.concatenate([found.counts[some], np.zeros(len(far), np.int64)])),
+        ],
+        ["a", "b", "links"],
+    )
 
 
-def _query_shards(threshold: float):
+def _query_shards(folder: str, threshold: float, step: int, block: int):
     def run(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                cell = {name: batch.column(k)[row] for k, name in enumerate(batch.schema.names)}
-                array = lambda name, kind: np.frombuffer(cell[name].as_buffer(), kind)
-                dim = cell["dim"].as_py()
-                ids, exact = array("ids", np.int64), unit(array("qs", np.float64).reshape(-1, dim))
-                reps, weights, values = array("reps", np.int64), array("weights", np.int64), unit(array("vecs", np.float64).reshape(-1, dim))
-                sizes, flat, layers, at = array("sizes", np.int64).reshape(-1, 2), array("links", np.int32), [], 0
-                for n, degree in sizes:
-                    layers.append(flat[at : at + n * degree].reshape(n, degree))
-                    at += n * degree
-                graph = Graph(values.astype(np.float32), layers)
-                q, x = _audited(graph, exact.astype(np.float32), threshold - 1e-4)
-                near = np.concatenate(
-                    [np.einsum("ij,ij->i", exact[q[k : k + 65536]], values[x[k : k + 65536]]) >= threshold for k in range(0, len(q), 65536)] or [np.zeros(0, bool)]
-                )
-                q, x = q[near & (ids[q] != reps[x])], x[near & (ids[q] != reps[x])]
-                links = np.bincount(q, weights=weights[x], minlength=len(ids)).astype(np.int64)
-                nodes, place = np.unique(np.concatenate([ids[q], reps[x]]), return_inverse=True)
-                label = stars(place[: len(q)], place[len(q) :], len(nodes))
-                far = np.flatnonzero(label != np.arange(len(nodes)))
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([ids[some], nodes[far]])),
-                        pa.array(np.concatenate([np.zeros(len(some), np.int64), nodes[label[far]]]), mask=np.arange(len(some) + len(far)) < len(some)),
-                        pa.array(np.concatenate([links[some], np.zeros(len(far), np.int64)])),
-                    ],
-                    ["a", "b", "links"],
-                )
+            for row in batch.to_pylist():
+                own, other = (open_shard(folder, row[s], row["dim"], row[f"{s}_size"]) for s in ("q", "x"))
+                first = row["first"]
+                yield _links_between(own, other, row["q"] == row["x"], first, min(first + step, len(own.reps)), threshold, block)
 
     return run
 
@@ -323,33 +435,40 @@ def _query_shards(threshold: float):
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vector: str = "embedding", vec_id: str = "vec_id", min_shards: int = MIN_SHARDS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector.
 
-    Equal vectors form one node. Nodes are dealt to shards by hash, each small enough for one task, and every block of
-    nodes queries every shard. A task sends link counts and one star per linked group, never the pairs. Null, zero and
-    non-finite vectors link with nothing; vectors of other lengths do not meet; repeated ids count as vectors of their
-    own but share one row of the result's key; an empty table gives an empty result.
+    Equal vectors form one node. Nodes are dealt to shards by hash, each small enough for one task, whose graphs are
+    written once below the shared folder (mounted on all machines) and mapped in the tasks; every shard's nodes query
+    every shard, some blocks of them in a task. A task gets names of files and sends link counts and one star per linked
+    group, never vectors or pairs. Null, zero and non-finite vectors link with nothing; vectors of other lengths do not
+    meet; repeated ids count as vectors of their own but share one row of the result's key; an empty table gives an empty
+    result.
     """
+    spark = vectors.sparkSession
     good = usable(vectors, vector, vec_id).filter("vec_id IS NOT NULL")
     nodes = store(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors")
-    total = nodes.count()
-    shards = max(min_shards, -(-total // SHARD_VECTORS))
+    total, numbers = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()
+    shards = max(min_shards, -(-total // SHARD_VECTORS), -(-8 * numbers // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")
-    graphs = nodes.select(shard.alias("shard"), F.size("v").alias("dim"), "rep", "weight", "v").groupBy("shard", "dim")
-    schema = "shard int, dim int, reps binary, weights binary, vecs binary, sizes binary, links binary"
-    graphs = store(graphs.applyInArrow(_build_shard, schema), "graphs")
-    blocks = nodes.select("rep", "v").repartition(max(1, -(-total // (4 * BLOCK))), "rep").mapInArrow(_blocks, "dim int, block long, ids binary, qs binary")
-    groups = max(1, -(-total // (BLOCK * BLOCKS_PER_TASK)))
-    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
-    left = blocks.select("dim", "ids", "qs", group.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    met = left.join(right, ["shard", "dim", "part"]).select("dim", "ids", "qs", "reps", "weights", "vecs", "sizes", "links")
-    found = store(met.mapInArrow(_query_shards(threshold), "a long, b long, links long"), "vector-links")
-    discard(graphs)
+    dealt = nodes.select(shard.alias("shard"), F.size("v").alias("dim"), "rep", "weight", "v")
+    dealt = dealt.repartitionByRange(4 * shards, "shard").groupBy("shard", "dim")
+    folder = mounted(scratch_path(spark, "graphs"))
+    graphs = store(dealt.applyInArrow(_build_shards(folder), "shard int, dim int, nodes long, size long"), "graphs")
+    step = BLOCK * BLOCKS_PER_TASK
+    firsts = F.explode(F.expr(f"sequence(0L, nodes - 1, {step}L)")).alias("first")
+    own = graphs.select("dim", F.col("shard").alias("q"), F.col("size").alias("q_size"), firsts)
+    tasks = store(own.join(graphs.select("dim", F.col("shard").alias("x"), F.col("size").alias("x_size")), "dim"), "graph-pairs")
+    met = tasks.repartition(max(1, min(MAX_TASKS, tasks.count())))
+    found = store(met.mapInArrow(_query_shards(folder, threshold, step, BLOCK), "a long, b long, links long"), "vector-links")
+    discard_folder(spark, folder)
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("b IS NOT NULL").select("a", "b"))
-    nodes_all = nodes.join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    nodes_all = nodes_all.select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    # only vectors with copies have to meet their node; of the others the node has the id
+    copied = nodes.filter("weight > 1")
+    maybe, _ = split_by_keys(good, F.xxhash64("v"), copied.select(F.xxhash64("v")))
+    members = nodes.filter("weight = 1").select(F.col("rep").alias("vec_id"), "rep", "weight").unionByName(maybe.join(copied, "v").select("vec_id", "rep", "weight"))
+    members = members.join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    links = F.coalesce("links", F.lit(0)) + F.col("weight") - 1
+    linked = members.select(F.col("vec_id").alias("_id"), links.alias("n"), F.coalesce("component", "rep").alias("c")).distinct()
     every = vectors.select(F.col(vec_id).alias("vec_id"))
-    linked = good.join(nodes_all, "v").select(F.col("vec_id").alias("_id"), "n", "c").distinct()
     joined = every.join(linked, F.col("vec_id") == F.col("_id"), "left")
     component = F.coalesce("c", "vec_id")
     return joined.select(
