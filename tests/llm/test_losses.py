@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from winnow.llm import hnsw, kneser, language, rans, tagpaths, warc
 
 STORY = ["A first paragraph, with commas, and some length to it; it goes on. " * 3, "The second one, as long, says what is left to say. It ends here, at last. " * 3]
@@ -242,3 +243,36 @@ def test_shards_of_few_bytes_meet_through_their_files(spark, monkeypatch, kind):
 def test_a_graph_without_its_file_raises(tmp_path):
     with pytest.raises(RuntimeError, match="shared folder"):
         hnsw.open_shard(f"{tmp_path}", 0, 8, 100)
+
+
+def spoken_rows(labelled):
+    """Documents of two languages with and without labels, one of several pieces, and two without a letter."""
+    rng = np.random.default_rng(6)
+    words = {"aa": [f"the{k}and" for k in "abcdefghijklmnop"], "cc": [f"και{k}της" for k in "αβγδεζηθικλμνξοπ"]}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) + str(rng.integers(1e6)) for _ in range(n))
+    langs = ["aa", "cc"] * 30
+    rows = [(i, text(lang, 3000 if i == 7 else 40), lang if labelled and i % 3 else None, f"h{i % 2}") for i, lang in enumerate(langs)]
+    return rows + [(100 + k, " ".join(str(rng.integers(1e6)) for _ in range(40)), "aa", "h0") for k in range(2 * labelled)], langs
+
+
+def test_the_language_found_reaches_the_sequences(spark, tmp_path):
+    rows, langs = spoken_rows(True)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stage = corpus_pipeline.language_id(spark, docs, f"{tmp_path}")
+    assert stage.columns == [*docs.columns, "lang_pred", "score"]
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in stage.collect()}
+    assert {i: lang for i, (lang, _) in found.items()} == dict(enumerate(langs))
+    pieces = corpus_pipeline.pack_sequences(spark, stage, f"{tmp_path}").collect()
+    assert {r["doc_id"] for r in pieces} == set(found) and len([r for r in pieces if r["doc_id"] == 7]) > 1
+    assert all((r["lang_pred"], r["score"]) == found[r["doc_id"]] for r in pieces)
+    packed = corpus_pipeline.run(spark, f"{tmp_path}").collect()
+    assert len(packed) > 30 and all(r["lang_pred"] == found[r["doc_id"]][0] and 0.5 < r["score"] <= 1 for r in packed)
+
+
+def test_documents_stay_where_no_language_can_be_learnt(spark):
+    rows, langs = spoken_rows(False)
+    docs = spark.createDataFrame([*rows, (200, "1 2 3", None, "h0"), (201, None, None, "h0")], "doc_id long, text string, lang string, source string")
+    found = corpus_pipeline.language_id(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(len(langs)))
+    assert {(r["lang_pred"], r["score"]) for r in found} == {("und", 0.0)}

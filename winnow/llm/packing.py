@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,13 @@ END_BYTES = (1).to_bytes(4, "little")
 RANK_BITS = 44
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and end id, cut only where longer than a sequence."""
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", keep: Sequence[str] = ()
+) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and end id, cut only where longer than a sequence.
+
+    The document's columns in `keep` are added to each of its pieces.
+    """
 
     def run(batches):
         enc = encoder(tokenizer)
@@ -34,14 +40,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
+            first, *others = (c.take(pa.array(row, pa.int32())) for c in (batch.column(0), *batch.columns[2:]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int32())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                [first, pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *others],
+                ["doc_id", "piece", "start", "length", "ids_crc32", *keep],
             )
 
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep)
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return ids.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + _fields(ids, keep))
+
+
+def _fields(df: DataFrame, names: Sequence[str]) -> str:
+    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
 
 class _Sums:
@@ -157,15 +168,17 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.
     return table[:, 0], table[:, 1], table[:, 2]
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the document's columns in `keep`.
 
     The pieces are stored once. Only the count of each length, at most `capacity` numbers, goes to the driver and comes
     back as runs of ranks. A piece's rank among its length is its place in its stored part plus the counts of the parts
     before, so a length that most pieces share is ranked in all tasks. Null text is empty and gives one piece, the end
     id; null ids and repeated rows are packed like others, each for itself; an empty table gives an empty result.
     """
-    cut = pieces(docs, tokenizer, capacity, text, doc_id)
+    cut = pieces(docs, tokenizer, capacity, text, doc_id, keep)
     stored = store(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     part = F.shiftright("_row", 33)
     cells = store(stored.groupBy("length", part.alias("part")).agg(F.count("*").alias("n")), "piece-counts")
@@ -185,9 +198,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str =
             key = (length << RANK_BITS) + rank
             at = np.searchsorted(keys, key, "right") - 1
             found = [pa.array(sequences[at] + key - keys[at]), pa.array(offsets[at])]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + found, [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in names] + found + [batch.column(c) for c in keep], [*names, "sequence_id", "offset", *keep]
+            )
 
     kind = stored.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    packed = ranked.select(*names, "_rank").mapInArrow(place, schema)
+    packed = ranked.select(*names, "_rank", *keep).mapInArrow(place, schema + _fields(stored, keep))
     return packed
